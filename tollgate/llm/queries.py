@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding
+from . import decontaminate, pieces, sharding, simhash
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_simhash": simhash.op2_simhash,
+        "op8_pieces": pieces.op8_pieces,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
