@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, sharding, simhash
+from . import decontaminate, pieces, secrets, sharding, simhash, warc
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_simhash": simhash.op2_simhash,
+        "op4_warc": warc.op4_warc,
+        "op6_secrets": secrets.op6_secrets,
         "op8_pieces": pieces.op8_pieces,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
 
 def oracle_sql():
-    return {"op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op6_secrets": secrets.OP6_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
