@@ -17,6 +17,7 @@ once per task while it stays in a bounded cache.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import ahocorasick
@@ -29,8 +30,18 @@ from pyspark.sql import types as T
 from .common import slices, table, with_columns
 
 MARK = "▁"
-#: Words of more characters aren't cached, nor more words than this.
-CACHE_CHARS, CACHE_WORDS = 40, 400_000
+#: Words of more characters aren't cached; each of a cache's two generations holds so many words.
+CACHE_CHARS, CACHE_WORDS = 40, 300_000
+_WARM: dict[tuple, "Encoder"] = {}
+
+
+def warm_encoder(v: "Vocabulary") -> "Encoder":
+    """The encoder of a vocabulary, kept with its cache for later tasks of the same worker."""
+    key = (len(v.ids), hash(frozenset(v.ids.items())), hash(frozenset(v.scores.items())), v.end_id)
+    if key not in _WARM:
+        _WARM.clear()
+        _WARM[key] = Encoder(v)
+    return _WARM[key]
 
 
 @dataclass
@@ -79,15 +90,17 @@ class Encoder:
         self.text_of = {i: p for p, i in v.ids.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         chars = {c for p in v.ids for c in p}
         self.merging = {c for c in chars if c in v.ids} | {c for p in v.ids if len(p) > 1 for c in p}
         self.automaton = ahocorasick.Automaton()
         usable = {p: i for p, i in v.ids.items() if self.remerge(p) == [p]}
         for p, i in usable.items():
-            self.automaton.add_word(p, i)
+            self.automaton.add_word(p, (i, len(p) - 1))
         self.automaton.make_automaton()
         #: The next shorter usable piece that a piece begins with.
         self.shorter = {i: next((usable[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in usable), -1) for p, i in usable.items()}
+        self.usable = usable
         self.size = {i: len(p) for p, i in usable.items()}
         breaks = "" if "\n" in self.merging else "\n"
         self.split = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + ("|\n" if breaks else "")).findall
@@ -119,17 +132,17 @@ class Encoder:
     def _run(self, text: str) -> list[int]:
         """Encode a run of characters that all are pieces."""
         longest = [-1] * len(text)
-        for end, i in self.automaton.iter(text):
-            longest[end + 1 - self.size[i]] = i
+        for end, (i, back) in self.automaton.iter(text):
+            longest[end - back] = i
         out: list[int] = []
         failed = bytearray(len(text) // 8 + 1)
-        at, piece, size, shorter = 0, longest[0], self.size, self.shorter
+        at, piece, size, shorter, known, last = 0, longest[0], self.size, self.shorter, self.compatible, len(text)
         while True:
             end = at + size[piece]
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.fits(out[-1], piece)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (not out or (known.get((out[-1], piece)) or self.fits(out[-1], piece))):
                 out.append(piece)
                 at = end
-                if at == len(text):
+                if at == last:
                     return out
                 piece = longest[at]
             elif shorter[piece] >= 0:
@@ -142,6 +155,11 @@ class Encoder:
                 at -= size[piece]
 
     def word(self, word: str) -> list[int]:
+        whole = self.usable.get(word)
+        if whole is not None:
+            return [whole]
+        if self.merging.issuperset(word):
+            return self._run(word)
         out, start = [], 0
         for k, c in enumerate(word):
             if c not in self.merging:
@@ -153,15 +171,15 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text (null: empty) with the end id, as int32."""
-        out, cache = [], self.cache
+        out, cache, older = [], self.cache, self.older
         if text:
             for w in self.split(MARK + text.replace(" ", MARK)):
                 ids = cache.get(w)
                 if ids is None:
-                    ids = np.array(self.word(w), dtype=np.int32).tobytes()
+                    ids = older.get(w) or array("i", self.word(w)).tobytes()
                     if len(w) <= CACHE_CHARS:
                         if len(cache) >= CACHE_WORDS:
-                            cache.clear()
+                            self.older, self.cache = older, cache = cache, {}
                         cache[w] = ids
                 out.append(ids)
         out.append(np.int32(self.v.end_id).tobytes())
@@ -217,7 +235,7 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text") -> DataFra
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches):
-        encoder = Encoder(vocabulary.value)
+        encoder = warm_encoder(vocabulary.value)
         for batch in slices(batches):
             ids = [encoder.encode(t) for t in batch.column(text_col).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
