@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, secrets, sharding, simhash, warc
+from . import decontaminate, pieces, quality, secrets, sharding, simhash, toxicity, warc
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_simhash": simhash.op2_simhash,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_warc": warc.op4_warc,
         "op6_secrets": secrets.op6_secrets,
         "op8_pieces": pieces.op8_pieces,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_quality": quality.op10_quality,
     }
 
 
