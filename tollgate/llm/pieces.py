@@ -31,7 +31,7 @@ from .common import slices, table, with_columns
 
 MARK = "▁"
 #: Words of more characters aren't cached; each of a cache's two generations holds so many words.
-CACHE_CHARS, CACHE_WORDS = 40, 300_000
+CACHE_CHARS, CACHE_WORDS = 40, 500_000
 _WARM: dict[tuple, "Encoder"] = {}
 
 
@@ -91,6 +91,7 @@ class Encoder:
         self.compatible: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.adjacent = {p[k : k + 2] for p in v.ids for k in range(len(p) - 1)}
         chars = {c for p in v.ids for c in p}
         self.merging = {c for c in chars if c in v.ids} | {c for p in v.ids if len(p) > 1 for c in p}
         self.automaton = ahocorasick.Automaton()
@@ -154,12 +155,16 @@ class Encoder:
                 piece = out.pop()
                 at -= size[piece]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        """Ids of a word as int32: cut around characters that are in no piece, and
+        before a last character that no piece holds behind the one before it."""
+        if len(word) > 2 and word[-2:] not in self.adjacent:
+            return self._cached(word[:-1]) + self._cached(word[-1])
         whole = self.usable.get(word)
         if whole is not None:
-            return [whole]
+            return array("i", (whole,)).tobytes()
         if self.merging.issuperset(word):
-            return self._run(word)
+            return array("i", self._run(word)).tobytes()
         out, start = [], 0
         for k, c in enumerate(word):
             if c not in self.merging:
@@ -167,21 +172,34 @@ class Encoder:
                     out += self._run(word[start:k])
                 out += [self.v.byte_ids[b] for b in c.encode("utf-8", "replace")]
                 start = k + 1
-        return out + self._run(word[start:]) if start < len(word) else out
+        if start < len(word):
+            out += self._run(word[start:])
+        return array("i", out).tobytes()
+
+    def _cached(self, word: str) -> bytes:
+        """Ids of a word, from the younger or the older generation of the cache if it has them."""
+        ids = self.cache.get(word)
+        if ids is None:
+            ids = self.older.get(word) or self.word(word)
+            if len(word) <= CACHE_CHARS:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.older, self.cache = self.cache, {}
+                self.cache[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text (null: empty) with the end id, as int32."""
-        out, cache, older = [], self.cache, self.older
+        out: list[bytes] = []
         if text:
-            for w in self.split(MARK + text.replace(" ", MARK)):
-                ids = cache.get(w)
-                if ids is None:
-                    ids = older.get(w) or array("i", self.word(w)).tobytes()
-                    if len(w) <= CACHE_CHARS:
-                        if len(cache) >= CACHE_WORDS:
-                            self.older, self.cache = older, cache = cache, {}
-                        cache[w] = ids
-                out.append(ids)
+            ws = self.split(MARK + text.replace(" ", MARK))
+            out = list(map(self.cache.get, ws))
+            at = -1
+            while True:
+                try:
+                    at = out.index(None, at + 1)
+                except ValueError:
+                    break
+                out[at] = self._cached(ws[at])
         out.append(np.int32(self.v.end_id).tobytes())
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
