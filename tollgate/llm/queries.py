@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, pieces, pii, quality, secrets, sharding, simhash, topk, toxicity, warc
 
 
@@ -17,6 +19,7 @@ def queries():
         "op8_pieces": pieces.op8_pieces,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -35,6 +35,8 @@ from .components import components
 SEED = 42
 #: Estimated probes and candidates beyond which a fingerprint counts as crowded.
 CROWD = 256
+#: Groups of up to so many members are compared pair by pair, all groups of a batch at once.
+FEW = 16
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -220,22 +222,29 @@ def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
 
     def run(batches):
         for x, cuts in groups(batches):
-            found = []
             size = np.diff(cuts)
-            for s, n in zip(cuts[:-1][size > 1].tolist(), size[size > 1].tolist()):
-                g = x[s : s + n]
-                codes = g[:, 3:].view(np.uint64)
-                if g[0, 0] == -1:
-                    found += [(s, s + k) for k in range(1, n)]
-                elif n == 2:
-                    if (g[0, 2] & 1 and g[1, 2] & 2 or g[1, 2] & 1 and g[0, 2] & 2) and 0 <= int(np.bitwise_count(codes[0] ^ codes[1]).sum()) <= limit:
-                        found.append((s, s + 1))
-                else:
-                    found += [(s + i, s + j) for i, j in spanning_links(codes, (g[:, 2] & 1) > 0, (g[:, 2] & 2) > 0, limit)]
-            if found:
-                a, b = np.array(found).T
-                pairs = np.concatenate([x[a, 3:], x[b, 3:]], axis=1)
-                pairs = np.unique(pairs[(x[a, 3:] != x[b, 3:]).any(axis=1)], axis=0)
+            group = np.repeat(np.arange(len(size)), size)
+            small, free = size[group] <= FEW, x[:, 0] == -1
+            head = cuts[:-1][group]
+            at = np.flatnonzero(free & (head != np.arange(len(x))))
+            found = [np.column_stack([head[at], at])]
+            codes, role = np.ascontiguousarray(x[:, 3:]).view(np.uint64), x[:, 2]
+            for step in range(1, min(FEW, int(size.max()))):
+                i = np.flatnonzero((group[step:] == group[:-step]) & small[step:] & ~free[step:])
+                j = i + step
+                ok = ((role[i] & 1) & (role[j] >> 1)) | ((role[j] & 1) & (role[i] >> 1))
+                i, j = i[ok > 0], j[ok > 0]
+                near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int64) <= limit
+                found.append(np.column_stack([i[near], j[near]]))
+            for k in np.flatnonzero(size > FEW):
+                s, n = cuts[k], size[k]
+                if not free[s]:
+                    links = spanning_links(codes[s : s + n], (role[s : s + n] & 1) > 0, (role[s : s + n] & 2) > 0, limit)
+                    found.append(np.array(links, dtype=np.int64).reshape(-1, 2) + s)
+            a, b = np.concatenate(found).astype(np.int64).T
+            pairs = np.concatenate([x[a, 3:], x[b, 3:]], axis=1)
+            pairs = np.unique(pairs[(x[a, 3:] != x[b, 3:]).any(axis=1)], axis=0)
+            if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(2 * words)], names=out_names)
 
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in out_names))
@@ -335,7 +344,9 @@ def similar_links(codes: DataFrame, similarity: float = 0.8) -> DataFrame:
     fewer: by the pigeonhole principle always if they differ in 3m - 1 bits
     or fewer, with m partitions, and often beyond that.
     """
-    limit = int(128 * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 1.5)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    # The expected distance at that similarity, and a standard deviation more.
+    limit = int(128 * share + (128 * share * (1 - share)) ** 0.5 + 0.5)
     codes = codes.select("fp0", "fp1").distinct()
     parts = widen(codes.count())
     bounds = np.linspace(0, 128, parts + 1).astype(int)
