@@ -149,8 +149,8 @@ def _holds(query, bit: dict[str, int]) -> Column:
 
 def trigram_index(docs: DataFrame, trigrams: list[str], key: str, text: Column) -> DataFrame:
     """Postings (trigram, key) of lower-cased texts."""
-    low = F.lower(text)
-    there = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t))
+    # Bound to a variable, the lower-cased text is made once and not for each trigram.
+    there = F.transform(F.array(F.lower(text)), lambda low: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t)))[0]
     return docs.select(F.explode(there).alias("trigram"), F.col(key))
 
 
