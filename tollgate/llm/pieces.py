@@ -31,7 +31,7 @@ from .common import slices, table, with_columns
 
 MARK = "▁"
 #: Words of more characters aren't cached; each of a cache's two generations holds so many words.
-CACHE_CHARS, CACHE_WORDS = 40, 500_000
+CACHE_CHARS, CACHE_WORDS = 40, 300_000
 _WARM: dict[tuple, "Encoder"] = {}
 
 
@@ -104,7 +104,8 @@ class Encoder:
         self.usable = usable
         self.size = {i: len(p) for p, i in usable.items()}
         breaks = "" if "\n" in self.merging else "\n"
-        self.split = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + ("|\n" if breaks else "")).findall
+        # Words keep plain spaces: that makes them smaller and quicker to look up.
+        self.split = re.compile(f" *[^ {breaks}]+| +" + ("|\n" if breaks else "")).findall
 
     def remerge(self, text: str) -> list[str]:
         """The merges themselves, for short texts."""
@@ -158,8 +159,9 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """Ids of a word as int32: cut around characters that are in no piece, and
         before a last character that no piece holds behind the one before it."""
+        word = word.replace(" ", MARK)
         if len(word) > 2 and word[-2:] not in self.adjacent:
-            return self._cached(word[:-1]) + self._cached(word[-1])
+            return self._cached(word[:-1].replace(MARK, " ")) + self._cached(word[-1])
         whole = self.usable.get(word)
         if whole is not None:
             return array("i", (whole,)).tobytes()
@@ -191,7 +193,7 @@ class Encoder:
         """Ids of a whole text (null: empty) with the end id, as int32."""
         out: list[bytes] = []
         if text:
-            ws = self.split(MARK + text.replace(" ", MARK))
+            ws = self.split(" " + text.replace(MARK, " "))
             out = list(map(self.cache.get, ws))
             at = -1
             while True:
@@ -243,23 +245,31 @@ class Decoder:
         return "".join(out)
 
 
-def encode_texts(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` array<int>: the whole text encoded with an end id.
+def _encoded(encoder: Encoder, texts: list) -> tuple[list[np.ndarray], pa.Array]:
+    ids = [encoder.encode(t) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+
+
+def encode_texts(docs: DataFrame, model: str, text_col: str = "text", decode: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` array<int>: the whole text encoded with an end id; with
+    ``decode`` also ``decoded``, the ids decoded again in the same pass.
 
     Null and empty texts give the end id alone; a very long text is one row as
-    any other. A column ids of ``docs`` is replaced.
+    any other. Columns ids and decoded of ``docs`` are replaced.
     """
-    docs = docs.drop("ids")
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())][: 1 + decode]
+    names = [f.name for f in made]
+    docs = docs.drop(*names)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches):
-        encoder = warm_encoder(vocabulary.value)
+        encoder, decoder = warm_encoder(vocabulary.value), Decoder(vocabulary.value)
         for batch in slices(batches):
-            ids = [encoder.encode(t) for t in batch.column(text_col).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield with_columns(batch, ["ids"], [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))])
+            ids, column = _encoded(encoder, batch.column(text_col).to_pylist())
+            yield with_columns(batch, names, [column, pa.array([decoder.decode(x.tolist()) for x in ids], pa.string())][: 1 + decode])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *made]))
 
 
 def decode_ids(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
@@ -284,6 +294,5 @@ def default_model() -> str:
 def op8_pieces(spark, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     model = default_model()
-    ids = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    out = decode_ids(ids, model)
+    out = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decode=True).drop("text")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
