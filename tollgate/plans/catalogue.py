@@ -1,11 +1,708 @@
-"""Every registered query of the traffic engine with its SQL twin."""
+"""Every registered query of the traffic engine with its SQL twin.
+
+Doubles are rounded in queries, because the last bits of sums and of
+trigonometric functions differ between engines.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import demand, display, geo, osm
+from ..functions.cost import Bpr, Linear
+from ..functions.segment import direction_name, format_segment_id, parse_instant, parse_segment_id
+from ..operators import assign, congestion, derive, evaluate, frames, network, validate
+from ..operators.network import Network
+from ..sources import geojson, odset
+from ..sources import messages as msgs
+from . import adapters as A
+from . import api, report, sweep
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+# Fixed colours of the ramp, from free flow to full.
+RAMP = ((38, 166, 91), (241, 196, 15), (230, 126, 34), (192, 57, 43))
+# The toy network: coordinates of nodes 0 to 5, and edges (segment, from, to, length, free-flow seconds, capacity).
+TOY_NODES = ((40.73736, -73.97491), (40.73861, -73.97241), (40.73986, -73.96991), (40.74036, -73.96866), (40.74111, -73.96741), (40.74186, -73.96616))
+TOY_EDGES = (
+    ("9000001:0:F", 0, 2, 900.0, 108.0, 900.0),
+    ("905512:0:F", 0, 1, 500.0, 18.0, 5400.0),
+    ("905512:1:F", 1, 2, 400.0, 14.4, 5400.0),
+    ("27583001:0:F", 2, 3, 240.0, 14.4, 2880.0),
+    ("48800123:0:F", 3, 4, 180.0, 12.96, 2520.0),
+    ("48800123:0:R", 4, 3, 180.0, 12.96, 2520.0),
+    ("33112200:0:F", 4, 5, 400.0, 18.0, 3240.0),
+)
+PIGOU_EDGES = (("1:0:F", 0, 1, 600.0, 36.0, 900.0), ("2:0:F", 0, 1, 600.0, 72.0, 7200.0))
+
+
+def small_network(spark: SparkSession, nodes, edges) -> Network:
+    """A network from literal rows."""
+    n = spark.createDataFrame([(k, *p) for k, p in enumerate(nodes)], "node_id int, lat double, lon double")
+    e = spark.createDataFrame([(k, *x) for k, x in enumerate(edges)], "edge_id int, segment_id string, src int, dst int, length_m double, freeflow_s double, capacity_vph double")
+    return Network(n, e)
+
+
+def toy(spark: SparkSession) -> Network:
+    return small_network(spark, TOY_NODES, TOY_EDGES)
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# --- cost and load -----------------------------------------------------------------
+
+
+@query("edge_times_under_load", f"WITH {A.LOAD} SELECT segment_id, load_vph, round(vc, 6) AS vc, round(time_s, 4) AS time_s FROM state ORDER BY vc DESC, segment_id")
+def _(spark, sf):
+    """v/c and travel time of every edge under the observed load."""
+    s = evaluate.edge_state(A.network(spark, sf), A.observed_load(spark, sf))
+    return s.select("segment_id", "load_vph", _r("vc").alias("vc"), _r("time_s", 4).alias("time_s")).orderBy(F.desc("vc"), "segment_id")
+
+
+@query("cost_functions", f"WITH {A.LOAD} SELECT segment_id, round(freeflow_s * (1 + 0.15 * 5 * vc ** 4), 4) AS marginal_s, round(freeflow_s * (1 + 0.15 * vc), 4) AS linear_s, round(freeflow_s * (1 + 0.15 * (vc / 2) ** 4), 4) AS half_s, round(freeflow_s * (1 + 0.5 * vc ** 1.5), 4) AS broken_s FROM state")
+def _(spark, sf):
+    s = evaluate.edge_state(A.network(spark, sf), A.observed_load(spark, sf))
+    ff, v, c = F.col("freeflow_s"), F.col("load_vph"), F.col("capacity_vph")
+    return s.select("segment_id", _r(Bpr().marginal(ff, v, c), 4).alias("marginal_s"), _r(Linear().cost(ff, v, c), 4).alias("linear_s"), _r(Bpr(scale=2.0).cost(ff, v, c), 4).alias("half_s"), _r(Bpr(alpha=0.5, beta=1.5).cost(ff, v, c), 4).alias("broken_s"))
+
+
+@query("buckets_and_colours", f"""WITH {A.LOAD},
+b AS (SELECT segment_id, vc, CASE WHEN vc <= 0 THEN 0 ELSE CAST(least(23, floor(vc / 0.1 + 1e-9)) AS INTEGER) END AS bucket FROM state),
+s AS (SELECT *, bucket / 23.0::DOUBLE * 3 AS pos, least(2, floor(bucket / 23.0::DOUBLE * 3))::INTEGER AS i FROM b),
+ramp AS (SELECT * FROM (VALUES (0, 38, 166, 91), (1, 241, 196, 15), (2, 230, 126, 34), (3, 192, 57, 43)) AS t(k, r, g, b))
+SELECT segment_id, bucket, CAST(floor(lo.r + (hi.r - lo.r) * (pos - i) + 0.5) AS INTEGER) AS red, CAST(floor(lo.g + (hi.g - lo.g) * (pos - i) + 0.5) AS INTEGER) AS green, CAST(floor(lo.b + (hi.b - lo.b) * (pos - i) + 0.5) AS INTEGER) AS blue
+FROM s JOIN ramp lo ON lo.k = i JOIN ramp hi ON hi.k = i + 1""")
+def _(spark, sf):
+    s = evaluate.edge_state(A.network(spark, sf), A.observed_load(spark, sf)).withColumn("bucket", display.vc_bucket(F.col("vc")))
+    s = s.withColumn("c", display.bucket_rgb(F.col("bucket"), RAMP))
+    return s.select("segment_id", "bucket", F.col("c")[0].alias("red"), F.col("c")[1].alias("green"), F.col("c")[2].alias("blue"))
+
+
+@query("vehicle_rates", f"WITH {A.PINGS}, {A.WINDOWS} SELECT segment_id, vehicle_count * 12.0::DOUBLE AS load_vph FROM latest")
+def _(spark, sf):
+    latest = congestion.keep_latest(A.messages(spark, sf))
+    return latest.select("segment_id", (F.col("vehicle_count") * congestion.PER_HOUR).alias("load_vph"))
+
+
+# --- scalar functions -----------------------------------------------------------------
+
+_IDS = "(SELECT l_orderkey AS k, CASE l_linenumber % 6 WHEN 0 THEN l_orderkey || ':' || l_linenumber || ':F' WHEN 1 THEN l_orderkey || ':0' || l_linenumber || ':F' WHEN 2 THEN l_orderkey || ':' || l_linenumber || ':R' WHEN 3 THEN ' ' || l_orderkey || ':1:F' WHEN 4 THEN l_orderkey || ':1:X' ELSE l_orderkey || '999999999999999:0:R' END AS t FROM lineitem)"
+
+
+@query("segment_ids", f"""SELECT t AS segment_id, TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) AS way, CASE WHEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) IS NOT NULL THEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 2) AS BIGINT) END AS seq,
+CASE WHEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) IS NOT NULL THEN regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 3) END AS dir,
+CASE WHEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) IS NOT NULL THEN t END AS round_trip FROM {_IDS}""")
+def _(spark, sf):
+    """Strict parsing and formatting of good and bad ids."""
+    n, k = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    t = F.when(n % 6 == 0, F.concat_ws(":", k, n, F.lit("F"))).when(n % 6 == 1, F.concat(k, F.lit(":0"), n, F.lit(":F"))).when(n % 6 == 2, F.concat_ws(":", k, n, F.lit("R"))).when(n % 6 == 3, F.concat(F.lit(" "), k, F.lit(":1:F"))).when(n % 6 == 4, F.concat(k, F.lit(":1:X"))).otherwise(F.concat(k, F.lit("999999999999999:0:R")))
+    p = A.table(spark, sf, "lineitem").select(t.alias("segment_id")).withColumn("p", parse_segment_id(F.col("segment_id")))
+    trip = F.when(F.col("p").isNotNull(), format_segment_id(F.col("p.way"), F.col("p.seq"), F.col("p.dir")))
+    return p.select("segment_id", "p.way", "p.seq", "p.dir", trip.alias("round_trip"))
+
+
+@query("direction_names", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'R' ELSE 'Direction(2)' END AS direction FROM part")
+def _(spark, sf):
+    return A.table(spark, sf, "part").select("p_partkey", direction_name(F.col("p_size") % 3).alias("direction"))
+
+
+@query("chord_lengths", f"WITH {A.EDGES} SELECT segment_id, round(length_m, 3) AS length_m, round({A.HAVERSINE.format(a='', b='').replace('lat - lat', 'lat2 - lat1').replace('lon - lon', 'lon2 - lon1').replace('cos(radians(lat)) * cos(radians(lat))', 'cos(radians(lat1)) * cos(radians(lat2))')}, 5) AS chord_m FROM edges")
+def _(spark, sf):
+    """Declared length and length of the drawn line."""
+    return A.roads(spark, sf).select("segment_id", _r("length_m", 3).alias("length_m"), _r(geo.polyline_m(F.col("geometry")), 5).alias("chord_m"))
+
+
+_FACTOR = "0.18 + 0.82 * greatest(exp(-0.5 * ((h - 8.0) / 1.75) ** 2), exp(-0.5 * ((h - 17.5) / 1.75) ** 2))"
+
+
+@query("diurnal_demand", f"SELECT event_id, round({_FACTOR}, 9) AS factor FROM (SELECT event_id, hour(ts) + minute(ts) / 60.0::DOUBLE + floor(second(ts)) / 3600.0::DOUBLE AS h FROM events)")
+def _(spark, sf):
+    return A.table(spark, sf, "events").select("event_id", _r(demand.diurnal_factor(F.col("ts").cast("timestamp")), 9).alias("factor"))
+
+
+@query("departure_spread", f"""WITH f AS (SELECT i, {_FACTOR} AS d FROM (SELECT i, floor(25200 + i * 15.0) / 3600.0::DOUBLE AS h FROM (SELECT unnest(range(0, 241)) AS i))),
+c AS (SELECT i, coalesce(sum(part) OVER (ORDER BY i), 0) AS cdf FROM (SELECT i, 0.5 * (d + lag(d) OVER (ORDER BY i)) * 15.0 AS part FROM f)),
+q AS (SELECT j, (j + 0.5) / 1000 * (SELECT max(cdf) FROM c) AS q FROM (SELECT unnest(range(0, 1000)) AS j)),
+k AS (SELECT j, q, min(i) AS i FROM q JOIN c ON c.cdf >= q.q GROUP BY j, q)
+SELECT CAST(j AS BIGINT) AS idx, round((k.i - 1 + (q - lo.cdf) / (hi.cdf - lo.cdf)) * 15.0, 5) AS depart_s FROM k JOIN c hi ON hi.i = k.i JOIN c lo ON lo.i = k.i - 1""")
+def _(spark, sf):
+    """1000 departures in the hour from 07:00."""
+    return demand.departure_spread(spark, 25200.0, 3600.0, 1000).select("idx", _r("depart_s", 5).alias("depart_s"))
+
+
+_PART_TAGS = """tags AS (SELECT p_partkey AS osm_id, (['motorway', 'trunk_link', 'primary', ' secondary', 'tertiary_link', 'residential', 'service', 'footway'])[1 + p_size % 8] AS highway,
+  (['2', '3;2', '1.5', '0', 'x', NULL, '6'])[1 + p_partkey % 7] AS lanes, ([NULL, '4', NULL, '1', NULL])[1 + p_size % 5] AS own, (['50', '30 mph', 'none', 'ro:urban', NULL, '80.5', '0'])[1 + p_partkey * 3 % 7] AS maxspeed,
+  (['yes', '-1', NULL, 'no', ' TRUE', NULL, 'reverse'])[1 + p_size * 5 % 7] AS oneway, ([NULL, 'roundabout', NULL, 'circular', NULL])[1 + p_partkey % 5] AS junction FROM part)"""
+_TAG_RULES = f"""{_PART_TAGS},
+cls AS (SELECT *, CASE WHEN regexp_replace(trim(highway), '_link$', '') IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'residential', 'service') THEN regexp_replace(trim(highway), '_link$', '') END AS c, lower(trim(coalesce(oneway, ''))) AS ow FROM tags),
+dirs AS (SELECT *, CASE WHEN ow IN ('yes', 'true', '1') THEN ['F'] WHEN ow IN ('-1', 'reverse') THEN ['R'] WHEN ow IN ('no', 'false', '0') THEN ['F', 'R'] WHEN c = 'motorway' OR coalesce(junction, '') IN ('roundabout', 'circular') THEN ['F'] ELSE ['F', 'R'] END AS dirs FROM cls WHERE c IS NOT NULL),
+nums AS (SELECT *, CASE WHEN TRY_CAST(regexp_extract(trim(lanes), '^([0-9]+)', 1) AS INTEGER) >= 1 THEN TRY_CAST(regexp_extract(trim(lanes), '^([0-9]+)', 1) AS INTEGER) END AS bare, CASE WHEN TRY_CAST(regexp_extract(trim(own), '^([0-9]+)', 1) AS INTEGER) >= 1 THEN TRY_CAST(regexp_extract(trim(own), '^([0-9]+)', 1) AS INTEGER) END AS mine,
+  TRY_CAST(regexp_extract(lower(trim(maxspeed)), '^([0-9.]+)', 1) AS DOUBLE) * CASE WHEN maxspeed LIKE '%mph%' THEN 1.609344 ELSE 1 END AS speed FROM dirs),
+ruled AS (SELECT *, coalesce(mine, CASE WHEN len(dirs) = 1 THEN bare ELSE greatest(1, bare // 2) END, CASE c WHEN 'motorway' THEN 3 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 2 WHEN 'secondary' THEN 2 ELSE 1 END) AS lanes_effective,
+  CASE WHEN speed > 0 THEN speed ELSE CASE c WHEN 'motorway' THEN 100.0 WHEN 'trunk' THEN 80.0 WHEN 'primary' THEN 60.0 WHEN 'secondary' THEN 50.0 WHEN 'tertiary' THEN 40.0 WHEN 'residential' THEN 30.0 ELSE 20.0 END END AS kmh,
+  CASE c WHEN 'motorway' THEN 1.0 WHEN 'trunk' THEN 0.9 WHEN 'primary' THEN 0.8 WHEN 'secondary' THEN 0.7 WHEN 'tertiary' THEN 0.6 WHEN 'residential' THEN 0.5 ELSE 0.4 END AS factor FROM nums)"""
+
+
+def _pick(values, at):
+    return F.get(F.array(*map(F.lit, values)), at)
+
+
+def _tags(spark, sf) -> DataFrame:
+    """Messy road tags made of the part table."""
+    p = A.table(spark, sf, "part")
+    k, n = F.col("p_partkey"), F.col("p_size")
+    return p.select(k.alias("osm_id"), _pick(("motorway", "trunk_link", "primary", " secondary", "tertiary_link", "residential", "service", "footway"), n % 8).alias("highway"), _pick(("2", "3;2", "1.5", "0", "x", None, "6"), (k % 7).cast("int")).alias("lanes"), _pick((None, "4", None, "1", None), n % 5).alias("own"), _pick(("50", "30 mph", "none", "ro:urban", None, "80.5", "0"), (k * 3 % 7).cast("int")).alias("maxspeed"), _pick(("yes", "-1", None, "no", " TRUE", None, "reverse"), n * 5 % 7).alias("oneway"), _pick((None, "roundabout", None, "circular", None), (k % 5).cast("int")).alias("junction"))
+
+
+@query("road_tag_rules", f"WITH {_TAG_RULES} SELECT osm_id, c AS highway_class, array_to_string(dirs, '') AS directions, CAST(lanes_effective AS INTEGER) AS lanes_effective, round(kmh::DOUBLE, 6) AS maxspeed_kmh, round((lanes_effective * 1800.0 * factor)::DOUBLE, 6) AS capacity_vph FROM ruled")
+def _(spark, sf):
+    """Class, directions, lanes, speed and capacity out of messy tags."""
+    t = _tags(spark, sf).withColumn("highway_class", osm.road_class(F.col("highway"))).where("highway_class is not null")
+    c = F.col("highway_class")
+    t = t.withColumn("dirs", osm.directions(F.col("oneway"), F.col("junction"), c))
+    t = t.withColumn("lanes_effective", osm.effective_lanes(F.col("own"), F.col("lanes"), F.size("dirs") == 1, c))
+    return t.select("osm_id", "highway_class", F.array_join("dirs", "").alias("directions"), "lanes_effective", _r(F.coalesce(osm.speed_kmh(F.col("maxspeed")), osm.of_class(osm.SPEED_KMH, c))).alias("maxspeed_kmh"), osm.capacity_vph(F.col("lanes_effective"), c).alias("capacity_vph"))
+
+
+def _ways(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Topology of two sub-segments per part, some of them degenerate, and its tags."""
+    p = A.table(spark, sf, "part").select("p_partkey", "p_size")
+    k, g = F.col("p_partkey"), F.col("g")
+    lon = lambda x: F.lit(-8.63) + 0.0001 * (x % 300)
+    lat = lambda x: F.lit(41.14) + 0.0001 * (x % 200)
+    w = p.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    s, t = k * 3 + g, F.when((k + g) % 5 == 0, k * 3 + g).otherwise(k * 3 + g + 1)
+    coords = F.array(F.array(lon(s), lat(s)), F.array(lon(s) + 0.00005, lat(s) + 0.00001), F.array(lon(t), lat(t)))
+    tags = _tags(spark, sf).where("highway is not null")
+    m = F.map_filter(F.create_map(*(x for n, c in (("highway", "highway"), ("lanes", "lanes"), ("lanes:forward", "own"), ("lanes:backward", "own"), ("maxspeed", "maxspeed"), ("oneway", "oneway"), ("junction", "junction")) for x in (F.lit(n), F.col(c)))), lambda _, v: v.isNotNull())
+    return w.select(k.alias("osm_id"), (k * 3 + g).alias("gid"), s.alias("source"), t.alias("target"), coords.alias("coords")), tags.select("osm_id", m.alias("tags"))
+
+
+_HAV = lambda a, b: A.HAVERSINE.format(a=f"{a}.", b=f"{b}.")
+_DERIVED = f"""{_TAG_RULES},
+w0 AS (SELECT p_partkey AS osm_id, p_partkey * 3 + g AS gid, p_partkey * 3 + g AS s, CASE WHEN (p_partkey + g) % 5 = 0 THEN p_partkey * 3 + g ELSE p_partkey * 3 + g + 1 END AS t FROM part, (VALUES (0), (1), (2)) AS v(g)),
+w1 AS (SELECT *, {{'lon': round(-8.63 + 0.0001 * (s % 300), 7)::DOUBLE, 'lat': round(41.14 + 0.0001 * (s % 200), 7)::DOUBLE}} AS a, {{'lon': round(-8.63 + 0.0001 * (s % 300) + 0.00005, 7)::DOUBLE, 'lat': round(41.14 + 0.0001 * (s % 200) + 0.00001, 7)::DOUBLE}} AS b, {{'lon': round(-8.63 + 0.0001 * (t % 300), 7)::DOUBLE, 'lat': round(41.14 + 0.0001 * (t % 200), 7)::DOUBLE}} AS c FROM w0),
+w2 AS (SELECT *, {_HAV('a', 'b')} + {_HAV('b', 'c')} AS length_m FROM w1),
+w3 AS (SELECT w2.*, r.c AS cls, r.dirs, r.lanes_effective, r.kmh, r.factor, row_number() OVER (PARTITION BY w2.osm_id ORDER BY gid) - 1 AS seq FROM w2 JOIN ruled r ON r.osm_id = w2.osm_id WHERE s <> t AND length_m > 0),
+w4 AS (SELECT *, unnest(dirs) AS dir FROM w3),
+derived AS (SELECT osm_id || ':' || seq || ':' || dir AS segment_id, CAST(row_number() OVER (ORDER BY osm_id, gid, dir) - 1 AS INTEGER) AS edge_id, CAST(CASE dir WHEN 'F' THEN s ELSE t END AS INTEGER) AS source_node, CAST(CASE dir WHEN 'F' THEN t ELSE s END AS INTEGER) AS target_node, cls AS highway_class, CAST(lanes_effective AS INTEGER) AS lanes_effective, length_m, kmh::DOUBLE AS maxspeed_kmh, length_m / (kmh / 3.6) AS freeflow_time_s, (lanes_effective * 1800.0 * factor)::DOUBLE AS capacity_vph, a, b, c FROM w4)"""
+
+
+@query("edge_derivation", f"WITH {_DERIVED} SELECT segment_id, edge_id, source_node, target_node, highway_class, lanes_effective, round(length_m, 3) AS length_m, round(maxspeed_kmh, 6) AS maxspeed_kmh, round(freeflow_time_s, 3) AS freeflow_time_s, round(capacity_vph, 6) AS capacity_vph FROM derived")
+def _(spark, sf):
+    e = derive.derive_edges(*_ways(spark, sf))
+    return e.select("segment_id", "edge_id", "source_node", "target_node", "highway_class", "lanes_effective", _r("length_m", 3).alias("length_m"), _r("maxspeed_kmh").alias("maxspeed_kmh"), _r("freeflow_time_s", 3).alias("freeflow_time_s"), _r("capacity_vph").alias("capacity_vph"))
+
+
+@query("class_histogram", f"WITH {_DERIVED} SELECT highway_class, count(*) AS edges FROM derived GROUP BY highway_class")
+def _(spark, sf):
+    return derive.derive_edges(*_ways(spark, sf)).groupBy("highway_class").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("skip_report", f"WITH {_TAG_RULES}, w0 AS (SELECT p_partkey AS osm_id, (p_partkey + g) % 5 = 0 AS flat FROM part, (VALUES (0), (1), (2)) AS v(g)) SELECT count(*) FILTER (c IS NULL) AS skipped_class, count(*) FILTER (c IS NOT NULL AND flat) AS skipped_degenerate FROM w0 LEFT JOIN cls USING (osm_id)")
+def _(spark, sf):
+    return derive.skip_report(*_ways(spark, sf))
+
+
+@query("bounding_box", f"WITH {_DERIVED}, p AS (SELECT unnest([a, b, c]) AS p FROM derived) SELECT min(p.lon) AS lon_min, min(p.lat) AS lat_min, max(p.lon) AS lon_max, max(p.lat) AS lat_max FROM p")
+def _(spark, sf):
+    return derive.bounding_box(derive.derive_edges(*_ways(spark, sf)))
+
+
+_BROKEN = "p_partkey % 11"
+
+
+def _exports(spark, sf) -> DataFrame:
+    """Edge rows of which every eleventh breaks a rule of its own kind."""
+    p = A.table(spark, sf, "part").where("p_partkey > 0")
+    k = F.col("p_partkey")
+    kind = k % 11
+    row = k - 1
+    geometry = F.when(kind == 8, F.array(F.array(F.lit(-8.6), F.lit(41.1)))).when(kind == 9, F.array(F.array(F.lit(-208.6), F.lit(41.1)), F.array(F.lit(-8.6), F.lit(41.1)))).otherwise(F.array(F.array(F.lit(-8.6) + 0.0001 * (k % 100), F.lit(41.1)), F.array(F.lit(-8.6) + 0.0001 * (k % 100) + 0.001, F.lit(41.1))))
+    return p.select(
+        row.alias("row"),
+        F.when(kind == 1, F.concat(F.lit("0"), k, F.lit(":0:F"))).when(kind == 2, F.concat(k + 1, F.lit(":0:F"))).otherwise(F.concat(k, F.lit(":0:F"))).alias("segment_id"),
+        F.when(kind == 10, row + 10_000_000).otherwise(row).alias("edge_id"), (k * 2).alias("source_node"), (k * 2 + 1).alias("target_node"), k.alias("osm_way_id"),
+        F.when(kind == 3, "living_street").otherwise("primary").alias("highway_class"), F.when(kind == 4, 0).otherwise(2).alias("lanes_effective"),
+        F.when(kind == 5, F.lit(0.0)).when(kind == 7, F.lit(10.0)).otherwise(F.lit(500.0)).alias("length_m"), F.when(kind == 6, F.lit(float("nan"))).otherwise(F.lit(50.0)).alias("maxspeed_kmh"),
+        F.lit(36.0).alias("freeflow_time_s"), F.lit(2880.0).alias("capacity_vph"), geometry.alias("geometry"),
+    )
+
+
+@query("contract_violations", f"""SELECT p_partkey - 1 AS row, (['segment_id', 'segment_id names another way', 'highway_class', 'lanes_effective', 'length_m', 'maxspeed_kmh', 'shorter than its chord', 'fewer than two coordinates', 'longitude', 'edge_id out of range'])[{_BROKEN}] AS violation FROM part WHERE {_BROKEN} > 0 AND p_partkey > 0""")
+def _(spark, sf):
+    """Every broken row with the first rule that it breaks."""
+    return validate.violations(_exports(spark, sf)).select("row", "violation")
+
+
+@query("repeated_ids", "SELECT p_partkey - 1 AS row, 'edge_id repeats' AS violation FROM part WHERE p_partkey % 13 = 0 AND p_partkey > 1")
+def _(spark, sf):
+    """Rows whose edge id an earlier row has."""
+    e = _exports(spark, sf).withColumn("k", F.col("row") + 1)
+    good = e.withColumn("segment_id", F.concat(F.col("k"), F.lit(":0:F"))).withColumn("highway_class", F.lit("primary")).withColumn("lanes_effective", F.lit(2)).withColumn("length_m", F.lit(500.0)).withColumn("maxspeed_kmh", F.lit(50.0)).withColumn("geometry", F.array(F.array(F.lit(-8.6), F.lit(41.1)), F.array(F.lit(-8.599), F.lit(41.1))))
+    good = good.withColumn("edge_id", F.when((F.col("k") % 13 == 0) & (F.col("k") > 1), F.col("row") - 1).otherwise(F.col("row")))
+    return validate.violations(good).select("row", "violation")
+
+
+@query("dense_nodes", f"WITH {_DERIVED}, refs AS (SELECT source_node AS r FROM derived UNION SELECT target_node FROM derived), ids AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS id FROM refs) SELECT edge_id, CAST(a.id AS INTEGER) AS src, CAST(b.id AS INTEGER) AS dst FROM derived JOIN ids a ON a.r = source_node JOIN ids b ON b.r = target_node")
+def _(spark, sf):
+    """Sparse node refs as dense ids."""
+    return network.compact(derive.derive_edges(*_ways(spark, sf))).select("edge_id", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
+
+
+# --- messages and windows -----------------------------------------------------------------
+
+_MSG = """m AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'unknown field' WHEN 1 THEN 'missing field' WHEN 2 THEN 'schema_version' WHEN 3 THEN 'vehicle_count' WHEN 4 THEN 'avg_speed_kmh' WHEN 5 THEN 'window_start' WHEN 6 THEN 'emit_time' END AS error FROM events)"""
+
+
+@query("message_errors", f"WITH {_MSG} SELECT event_id, error FROM m")
+def _(spark, sf):
+    """Messages as JSON, most of them broken in one way."""
+    e, k = A.table(spark, sf, "events"), F.col("event_id") % 9
+    body = F.concat(F.lit('{"schema_version":'), F.when(k == 2, "2").otherwise("1"), F.lit(',"segment_id":"1:0:F","window_start":"'), F.when(k == 5, "2026-06-08T08:00:00+00:00").otherwise("2026-06-08T08:00:00Z"), F.lit('","window_end":"2026-06-08T08:05:00Z","vehicle_count":'), F.when(k == 3, "-1").otherwise("3"), F.lit(',"avg_speed_kmh":'), F.when(k == 4, "0").otherwise("31.5"), F.lit(',"sample_pings":9,"is_final":true,"emit_time":"'), F.when(k == 6, "2026-06-31T08:07:00Z").otherwise("2026-06-08T08:07:00Z"), F.when(k == 1, '"').otherwise('","producer":"p"'), F.when(k == 0, ',"extra":1').otherwise(""), F.lit("}"))
+    return msgs.decode(e.select("event_id", body.alias("value"))).select("event_id", "error")
+
+
+@query("canonical_instants", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) END AS instant FROM events")
+def _(spark, sf):
+    """Timestamps in other than the canonical form are none."""
+    e, k = A.table(spark, sf, "events"), F.col("event_id") % 4
+    ts = F.col("ts").cast("timestamp")
+    text = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss'Z'")).otherwise(F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("\n")))
+    return e.select("event_id", parse_instant(text).cast("timestamp_ntz").alias("instant"))
+
+
+_NTZ = lambda *c: [F.col(x).cast("timestamp_ntz").alias(x) for x in c]
+
+
+@query("sliding_windows", f"WITH {A.PINGS}, {A.WINDOWS} SELECT segment_id, window_start, window_end, vehicle_count, round(avg_speed_kmh, 6) AS avg_speed_kmh, sample_pings FROM windows")
+def _(spark, sf):
+    w = congestion.sliding_windows(A.pings(spark, sf))
+    return w.select("segment_id", *_NTZ("window_start", "window_end"), "vehicle_count", _r("avg_speed_kmh").alias("avg_speed_kmh"), "sample_pings")
+
+
+@query("keep_latest", f"WITH {A.PINGS}, {A.WINDOWS} SELECT segment_id, window_start, emit_time, vehicle_count, is_final FROM latest")
+def _(spark, sf):
+    return congestion.keep_latest(A.messages(spark, sf)).select("segment_id", *_NTZ("window_start", "emit_time"), "vehicle_count", "is_final")
+
+
+@query("segment_loads", f"WITH {A.PINGS}, {A.WINDOWS} SELECT edge_id, vehicle_count * 12.0::DOUBLE AS load_vph FROM latest JOIN edges USING (segment_id) WHERE edge_id % 3 > 0")
+def _(spark, sf):
+    """Loads of the edges that a smaller network knows."""
+    e = A.roads(spark, sf).where("edge_id % 3 > 0")
+    return congestion.loads(A.messages(spark, sf), e)
+
+
+@query("unknown_segments", f"WITH {A.PINGS}, {A.WINDOWS} SELECT segment_id, vehicle_count FROM latest JOIN edges USING (segment_id) WHERE edge_id % 3 = 0")
+def _(spark, sf):
+    return congestion.unknown_segments(A.messages(spark, sf), A.roads(spark, sf).where("edge_id % 3 > 0")).select("segment_id", "vehicle_count")
+
+
+@query("congestion_snapshot", f"WITH {A.PINGS}, {A.WINDOWS} SELECT segment_id, vehicle_count * 12.0::DOUBLE AS load_vph FROM latest JOIN edges USING (segment_id) WHERE vehicle_count > 0")
+def _(spark, sf):
+    n = A.network(spark, sf)
+    return api.congestion(n, congestion.loads(A.messages(spark, sf), n.edges))
+
+
+@query("injected_load", f"WITH {A.LOAD} SELECT edge_id, greatest(0.0, load_vph - 500.0 * (edge_id % 4)) AS load_vph FROM state")
+def _(spark, sf):
+    """Loads with a disturbance added, never below zero."""
+    n = A.network(spark, sf)
+    now = n.with_load(A.observed_load(spark, sf)).select("edge_id", "load_vph")
+    return congestion.inject(now, now.select("edge_id", (F.col("edge_id") % 4 * -500.0).alias("load_vph")))
+
+
+_U = "('0x' || substr(md5({seed} || ':' || {idx}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("perturbed_load", f"WITH {A.LOAD} SELECT edge_id, round(load_vph * (0.9 + 0.2 * {_U.format(seed=7, idx='(' + chr(39) + '0:' + chr(39) + ' || edge_id)')}) * (0.9 + 0.2 * {_U.format(seed=7, idx='(' + chr(39) + '1:' + chr(39) + ' || edge_id)')}), 6) AS load_vph FROM state")
+def _(spark, sf):
+    """Two random steps from a seed."""
+    now = A.network(spark, sf).with_load(A.observed_load(spark, sf))
+    return congestion.perturb(now, 7, 2).select("edge_id", _r("load_vph").alias("load_vph"))
+
+
+# --- graph -----------------------------------------------------------------
+
+
+@query("adjacency", f"WITH {A.EDGES} SELECT src AS node_id, edge_id, dst FROM edges")
+def _(spark, sf):
+    n = A.network(spark, sf)
+    return network.out_edges(n.nodes, n.edges)
+
+
+@query("nearest_nodes", f"""WITH {A.NODES}, p AS (SELECT c_custkey AS point_id, 41.139 + (c_custkey * 37 % 1000) * 0.0000253 AS lat, -8.632 + (c_custkey * 91 % 1000) * 0.0000253 AS lon FROM customer)
+SELECT point_id, arg_min(node_id, (round(d, 6), node_id)) AS node_id, round(min(d), 4) AS distance_m FROM (SELECT point_id, node_id, {_HAV('p', 'nodes')} AS d FROM p, nodes) GROUP BY point_id""")
+def _(spark, sf):
+    c = F.col("c_custkey")
+    p = A.table(spark, sf, "customer").select(c.alias("point_id"), (F.lit(41.139) + (c * 37 % 1000) * 0.0000253).alias("lat"), (F.lit(-8.632) + (c * 91 % 1000) * 0.0000253).alias("lon"))
+    return network.nearest_node(p, A.nodes(spark, sf)).select("point_id", "node_id", _r("distance_m", 4).alias("distance_m"))
+
+
+@query("matched_pings", f"""WITH {A.EDGES},
+p AS (SELECT event_id, edge_id AS true_edge, lat1 + (lat2 - lat1) * (0.3 + event_id % 5 * 0.1) + 0.00005 AS lat, lon1 + (lon2 - lon1) * (0.3 + event_id % 5 * 0.1) + 0.00003 AS lon FROM events JOIN edges ON event_id % 80 = edge_id)
+SELECT event_id AS ping_id, true_edge AS edge_id, true AS right_edge FROM p""")
+def _(spark, sf):
+    """Pings placed beside known edges, with their heading, find these edges again."""
+    n, e = A.nodes(spark, sf), A.network(spark, sf)
+    at = e.edges.select("edge_id", "src", "dst").join(n.toDF("src", "lat1", "lon1"), "src").join(n.toDF("dst", "lat2", "lon2"), "dst")
+    share = F.lit(0.3) + F.col("event_id") % 5 * 0.1
+    p = A.table(spark, sf, "events").withColumn("true_edge", (F.col("event_id") % 80).cast("int")).join(F.broadcast(at.withColumnRenamed("edge_id", "true_edge")), "true_edge")
+    p = p.select(F.col("event_id").alias("ping_id"), "true_edge", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * share + 0.00005).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * share + 0.00003).alias("lon"), geo.bearing_deg(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("heading_deg"))
+    m = network.match_pings(p, e)
+    return m.join(p.select("ping_id", "true_edge"), "ping_id").select("ping_id", "edge_id", (F.col("edge_id") == F.col("true_edge")).alias("right_edge"))
+
+
+_SPLIT_EDGES = f"{A.EDGES}, part_edges AS (SELECT * FROM edges WHERE NOT (src % 5 = 2 AND dst % 5 = 3) AND NOT (src % 5 = 3 AND dst % 5 = 2) AND NOT (src % 5 = 0 AND dst % 5 = 1))"
+
+
+def _some_edges(n: Network) -> DataFrame:
+    """The lattice cut between two columns, with one-way roads between two others."""
+    s, d = F.col("src") % 5, F.col("dst") % 5
+    return n.edges.where(~((s == 2) & (d == 3)) & ~((s == 3) & (d == 2)) & ~((s == 0) & (d == 1)))
+
+
+@query("weak_components", f"WITH RECURSIVE {_SPLIT_EDGES}, r AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT r.a, CASE WHEN part_edges.src = r.b THEN part_edges.dst ELSE part_edges.src END FROM r JOIN part_edges ON r.b IN (part_edges.src, part_edges.dst)) SELECT a AS node_id, CAST(min(b) AS INTEGER) AS component FROM r GROUP BY a")
+def _(spark, sf):
+    n = A.network(spark, sf)
+    return network.weak_components(n.nodes, _some_edges(n))
+
+
+@query("component_report", "SELECT CAST(2 AS BIGINT) AS components, 0 AS largest, CAST(15 AS BIGINT) AS largest_size, 0.6::DOUBLE AS fraction, '3,4,8,9,13,14,18,19,23,24' AS outside FROM (SELECT 1)")
+def _(spark, sf):
+    n = A.network(spark, sf)
+    r = network.component_report(network.weak_components(n.nodes, _some_edges(n)))
+    return r.select("components", "largest", "largest_size", "fraction", F.array_join(F.col("outside").cast("array<string>"), ",").alias("outside"))
+
+
+@query("reachable_pairs", f"WITH RECURSIVE {_SPLIT_EDGES}, r AS (SELECT src, dst FROM part_edges UNION SELECT r.src, part_edges.dst FROM r JOIN part_edges ON r.dst = part_edges.src) SELECT src, dst FROM r WHERE src <> dst")
+def _(spark, sf):
+    return network.reachable_pairs(_some_edges(A.network(spark, sf)))
+
+
+def _all_pairs(n: Network) -> DataFrame:
+    v = n.nodes.select("node_id")
+    return v.toDF("src").join(v.toDF("dst"))
+
+
+@query("shortest_costs", f"WITH {A.EDGES}, {A.distances('freeflow_s', 'edges')} SELECT src, dst, round(d, 4) AS cost_s FROM d5")
+def _(spark, sf):
+    """Least free-flow times of all pairs of nodes."""
+    n = A.network(spark, sf)
+    return assign.pair_paths(_all_pairs(n), n, n.arrays[0].freeflow).select("src", "dst", _r("cost_s", 4).alias("cost_s"))
+
+
+@query("goal_directed_costs", f"WITH {A.EDGES}, {A.distances('freeflow_s', 'edges')} SELECT src, dst, round(d, 4) AS cost_s FROM d5")
+def _(spark, sf):
+    """The same by goal-directed searches."""
+    n = A.network(spark, sf)
+    return assign.pair_paths(_all_pairs(n), n, n.arrays[0].freeflow, accelerated=True).select("src", "dst", _r("cost_s", 4).alias("cost_s"))
+
+
+@query("loaded_costs", f"WITH {A.LOAD}, {A.distances('time_s', 'state')} SELECT src, dst, round(d, 3) AS cost_s FROM d5")
+def _(spark, sf):
+    """Least times of all pairs under the observed load."""
+    n = A.network(spark, sf)
+    return assign.pair_paths(_all_pairs(n), n, _loaded(n, A.observed_load(spark, sf))).select("src", "dst", _r("cost_s", 3).alias("cost_s"))
+
+
+def _dense(n: Network, load: DataFrame):
+    out = np.zeros(n.arrays[0].edges)
+    for r in n.with_load(load).select("edge_id", "load_vph").collect():
+        out[r["edge_id"]] = r["load_vph"]
+    return out
+
+
+def _loaded(n: Network, load: DataFrame):
+    return assign.Price().of(n.arrays[0], _dense(n, load))
+
+
+_TOY_SQL = "edges(edge_id, segment_id, src, dst, length_m, freeflow_s, capacity_vph) AS (VALUES " + ", ".join(str((k, *x)) for k, x in enumerate(TOY_EDGES)) + ")"
+
+
+@query("toy_paths", f"""WITH RECURSIVE {_TOY_SQL}, p AS (SELECT src AS s, dst AS d, freeflow_s::DOUBLE AS cost, [segment_id] AS path, [src, dst] AS seen FROM edges
+UNION ALL SELECT s, dst, cost + freeflow_s, list_append(path, segment_id), list_append(seen, dst) FROM p JOIN edges ON d = src WHERE NOT list_contains(seen, dst))
+SELECT s AS src, d AS dst, CAST(row_number() OVER (PARTITION BY s, d ORDER BY cost) AS INTEGER) AS rank, round(cost, 6) AS cost_s, array_to_string(path, ' ') AS segments FROM p WHERE s <> d QUALIFY rank <= 3""")
+def _(spark, sf):
+    """The three best loopless paths of every pair of the toy network."""
+    n = toy(spark)
+    k = assign.k_paths(network.reachable_pairs(n.edges), n, n.arrays[0].freeflow)
+    p = k.select("src", "dst", F.posexplode("paths").alias("rank", "p")).select("src", "dst", (F.col("rank") + 1).alias("rank"), F.col("p.cost_s"), F.posexplode("p.edges").alias("at", "edge_id"))
+    p = p.join(F.broadcast(n.edges.select("edge_id", "segment_id")), "edge_id").groupBy("src", "dst", "rank", "cost_s").agg(F.array_sort(F.collect_list(F.struct("at", "segment_id"))).alias("s"))
+    return p.select("src", "dst", "rank", _r("cost_s").alias("cost_s"), F.array_join(F.transform("s", lambda x: x["segment_id"]), " ").alias("segments"))
+
+
+_SHARES = f"""WITH RECURSIVE {_TOY_SQL}, p AS (SELECT src AS s, dst AS d, freeflow_s::DOUBLE AS cost, [src, dst] AS seen FROM edges
+UNION ALL SELECT s, dst, cost + freeflow_s, list_append(seen, dst) FROM p JOIN edges ON d = src WHERE NOT list_contains(seen, dst)),
+k AS (SELECT s, d, row_number() OVER (PARTITION BY s, d ORDER BY cost) AS rank, 1 / cost AS w FROM p WHERE s <> d QUALIFY rank <= 3),
+shares AS (SELECT s, d, rank, w / sum(w) OVER (PARTITION BY s, d) AS share, sum(w) OVER (PARTITION BY s, d ORDER BY rank) / sum(w) OVER (PARTITION BY s, d) AS upto FROM k)"""
+
+
+@query("split_draws", f"""{_SHARES}, t AS (SELECT o_orderkey AS idx, CAST(o_orderkey % 2 AS INTEGER) AS src, CAST(2 + o_orderkey % 4 AS INTEGER) AS dst, {_U.format(seed=1, idx='o_orderkey')} AS u FROM orders)
+SELECT idx, CAST(count(*) FILTER (u >= upto - 1e-12) AS INTEGER) AS choice FROM t JOIN shares ON s = src AND d = dst GROUP BY idx""")
+def _(spark, sf):
+    """Which of its pair's paths each request draws."""
+    n = toy(spark)
+    k = F.col("o_orderkey")
+    t = A.table(spark, sf, "orders").select(k.alias("idx"), (k % 2).cast("int").alias("src"), (2 + k % 4).cast("int").alias("dst"))
+    p = assign.k_paths(t, n, n.arrays[0].freeflow)
+    return t.join(p, ["src", "dst"]).select("idx", assign.draw(F.col("intended"), demand.hash_uniform(1, F.col("idx"))).alias("choice"))
+
+
+# --- assignment and evaluation -----------------------------------------------------------------
+
+_UNIQUE = """used AS (SELECT t.idx, t.weight, e.edge_id FROM trips t JOIN d5 total ON total.src = t.src AND total.dst = t.dst JOIN d5 a ON a.src = t.src JOIN {of} e ON e.src = a.dst JOIN d5 b ON b.src = e.dst AND b.dst = t.dst WHERE t.src <> t.dst AND abs(a.d + e.{cost} + b.d - total.d) < 1e-7),
+flows AS (SELECT {of}.edge_id, coalesce(sum(weight), 0)::DOUBLE AS flow FROM {of} LEFT JOIN used USING (edge_id) GROUP BY {of}.edge_id)"""
+_NAIVE = f"{A.EDGES}, {A.TRIPS}, {A.distances('freeflow_s', 'edges')}, {_UNIQUE.format(of='edges', cost='freeflow_s')}"
+
+
+@query("naive_trips", f"WITH {A.EDGES}, {A.TRIPS}, {A.distances('freeflow_s', 'edges')} SELECT request_id, round(d, 4) AS cost_s FROM trips JOIN d5 USING (src, dst)")
+def _(spark, sf):
+    """Cost of every trip on its free-flow path."""
+    return assign.naive(A.network(spark, sf), A.trips(spark, sf)).routes.select("request_id", _r("cost_s", 4).alias("cost_s"))
+
+
+@query("naive_flows", f"WITH {_NAIVE} SELECT edge_id, round(flow, 6) AS load_vph FROM flows")
+def _(spark, sf):
+    """Load on every edge when all drive the free-flow path."""
+    n = A.network(spark, sf)
+    return assign.naive(n, A.trips(spark, sf)).flow_table(n).select("edge_id", _r("load_vph").alias("load_vph"))
+
+
+@query("reactive_flows", f"WITH {A.LOAD}, {A.TRIPS}, {A.distances('time_s', 'state')}, {_UNIQUE.format(of='state', cost='time_s')} SELECT edge_id, round(flow, 6) AS load_vph FROM flows")
+def _(spark, sf):
+    """The same, priced on the observed load."""
+    n = A.network(spark, sf)
+    return assign.reactive(n, A.trips(spark, sf), load=_dense(n, A.observed_load(spark, sf))).flow_table(n).select("edge_id", _r("load_vph").alias("load_vph"))
+
+
+_EVAL = f"""{_NAIVE}, st AS (SELECT edges.*, flow, flow / capacity_vph AS vc, freeflow_s * (1 + 0.15 * (flow / capacity_vph) ** 4) AS time_s FROM edges JOIN flows USING (edge_id)),
+times AS (SELECT t.idx, coalesce(sum(time_s), 0) AS time_s FROM trips t LEFT JOIN used u USING (idx) LEFT JOIN st USING (edge_id) GROUP BY t.idx),
+ranked AS (SELECT vc, row_number() OVER (ORDER BY vc) - 1 AS i, count(*) OVER () AS n FROM st)"""
+
+
+@query("naive_evaluation", f"WITH {_EVAL} SELECT round((SELECT avg(time_s) FROM times), 2) AS mean_realized_s, round((SELECT quantile_disc(time_s, 0.95) FROM times), 2) AS p95_realized_s, round((SELECT sum(flow * time_s) FROM st), 0) AS total_network_time_s, round((SELECT sum((2 * i - n + 1) * vc) / (max(n) * sum(vc)) FROM ranked), 6) AS gini_vc, round((SELECT max(vc) FROM st), 6) AS max_vc FROM (SELECT 1)")
+def _(spark, sf):
+    """Mean and tail of realized times, total time, balance and peak of the load."""
+    n = A.network(spark, sf)
+    a = assign.naive(n, A.trips(spark, sf))
+    e = evaluate.evaluate(n, a.routes, a.flow_table(n))
+    return e.select(_r("mean_realized_s", 2).alias("mean_realized_s"), _r("p95_realized_s", 2).alias("p95_realized_s"), _r("total_network_time_s", 0).alias("total_network_time_s"), _r("gini_vc").alias("gini_vc"), _r("max_vc").alias("max_vc"))
+
+
+@query("realized_times", f"WITH {_EVAL} SELECT CAST(idx AS VARCHAR) AS request_id, round(time_s, 2) AS time_s FROM times")
+def _(spark, sf):
+    n = A.network(spark, sf)
+    a = assign.naive(n, A.trips(spark, sf))
+    return evaluate.realized_times(a.routes, evaluate.edge_state(n, a.flow_table(n))).select("request_id", _r("time_s", 2).alias("time_s"))
+
+
+@query("load_balance", f"WITH {A.LOAD}, ranked AS (SELECT vc, row_number() OVER (ORDER BY vc) - 1 AS i, count(*) OVER () AS n FROM state) SELECT round(sum((2 * i - n + 1) * vc) / (max(n) * sum(vc)), 9) AS gini FROM ranked")
+def _(spark, sf):
+    return evaluate.gini(evaluate.edge_state(A.network(spark, sf), A.observed_load(spark, sf)), "vc").select(_r("gini", 9).alias("gini"))
+
+
+@query("tail_and_median", "SELECT event_type, quantile_disc(value, 0.95) AS p95, CAST(floor(median(CAST(floor(value * 100) AS BIGINT))) AS BIGINT) AS median FROM events GROUP BY event_type")
+def _(spark, sf):
+    """Nearest-rank tail and whole median by kind."""
+    e = A.table(spark, sf, "events")
+    return e.groupBy("event_type").agg(evaluate.nearest_rank("value", 0.95).alias("p95"), F.floor(F.median(F.floor(F.col("value") * 100))).cast("long").alias("median"))
+
+
+_CELLS = """cells AS (SELECT (['naive', 'reactive', 'incremental', 'msa', 'systemoptimal', 'multipath'])[1 + o_orderkey % 6] AS router, 'level' || (o_custkey % 4) AS demand_level, (o_custkey % 4)::DOUBLE AS target_vc, sum(o_totalprice) AS total_s FROM orders GROUP BY ALL)"""
+
+
+def _cells(spark, sf) -> DataFrame:
+    o = A.table(spark, sf, "orders")
+    return o.groupBy(_pick(assign.ROUTERS, (F.col("o_orderkey") % 6).cast("int")).alias("router"), F.concat(F.lit("level"), F.col("o_custkey") % 4).alias("demand_level"), (F.col("o_custkey") % 4).cast("double").alias("target_vc")).agg(F.sum("o_totalprice").alias("total_s"))
+
+
+@query("poa_by_level", f"WITH {_CELLS} SELECT router, demand_level, round(total_s / max(total_s) FILTER (router = 'systemoptimal') OVER (PARTITION BY demand_level), 6) AS poa FROM cells")
+def _(spark, sf):
+    return evaluate.poa_by_level(_cells(spark, sf)).select("router", "demand_level", _r("poa").alias("poa"))
+
+
+@query("headline", f"WITH {_CELLS}, b AS (SELECT demand_level, target_vc, max(total_s) FILTER (router = 'naive') AS naive, min(total_s) FILTER (router IN ('incremental', 'systemoptimal')) AS best, arg_min(router, total_s) FILTER (router IN ('incremental', 'systemoptimal')) AS router FROM cells GROUP BY ALL) SELECT demand_level, router, round((naive - best) / naive * 100, 6) AS improvement_pct FROM b ORDER BY improvement_pct DESC, target_vc LIMIT 1")
+def _(spark, sf):
+    """The level where most time is saved."""
+    return evaluate.headline(_cells(spark, sf)).select("demand_level", "router", _r("improvement_pct").alias("improvement_pct"))
+
+
+@query("leaderboard", f"WITH {_CELLS}, m AS (SELECT router, CASE WHEN router = 'msa' THEN NULL ELSE floor(sum(total_s) / 1e12) END AS v FROM cells GROUP BY router) SELECT router, CAST(row_number() OVER (ORDER BY v NULLS LAST, list_position(['naive', 'reactive', 'incremental', 'msa', 'systemoptimal', 'multipath'], router)) AS INTEGER) AS rank FROM m")
+def _(spark, sf):
+    """Ranks with ties and a strategy without a value."""
+    m = _cells(spark, sf).groupBy("router").agg(F.sum("total_s").alias("t")).withColumn("v", F.when(F.col("router") == "msa", F.lit(float("nan"))).otherwise(F.floor(F.col("t") / 1e12).cast("double")))
+    return evaluate.rank_by(m, "v", assign.ROUTERS).select("router", "rank")
+
+
+_OD = f"""{A.EDGES}, pool AS (SELECT a.node_id AS src, b.node_id AS dst, row_number() OVER (ORDER BY a.node_id, b.node_id) - 1 AS pick FROM nodes a, nodes b WHERE a.node_id <> b.node_id),
+od AS (SELECT CAST(i AS BIGINT) AS idx, 'od-' || lpad(CAST(i AS VARCHAR), 4, '0') AS id, src, dst, 5.0::DOUBLE AS weight FROM (SELECT i, floor({_U.format(seed=20260618, idx='i')} * 600)::BIGINT AS pick FROM (SELECT unnest(range(0, 1000)) AS i)) JOIN pool USING (pick))"""
+
+
+@query("od_set", f"WITH {_OD} SELECT idx, id, src, dst, weight FROM od")
+def _(spark, sf):
+    """1000 seeded draws from all reachable pairs."""
+    return odset.synthesize(A.network(spark, sf), 1000, 5000.0, 20260618).select("idx", "id", "src", "dst", "weight")
+
+
+@query("od_labels", f"WITH {_OD} SELECT CASE WHEN src < dst THEN 'out' ELSE 'back' END AS label, count(*) AS requests FROM od GROUP BY label")
+def _(spark, sf):
+    o = odset.synthesize(A.network(spark, sf), 1000, 5000.0, 20260618)
+    return o.groupBy(F.when(F.col("src") < F.col("dst"), "out").otherwise("back").alias("label")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("od_text", f"WITH {A.NODES}, {A.TRIPS} SELECT request_id AS id, round(a.lat, 6) AS from_lat, round(a.lon, 6) AS from_lon, round(b.lat, 6) AS to_lat, round(b.lon, 6) AS to_lon, depart_s AS depart_at, weight FROM trips JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst")
+def _(spark, sf):
+    """Trips written as tab-separated text and read again."""
+    n = A.nodes(spark, sf)
+    t = A.trips(spark, sf).join(n.toDF("src", "from_lat", "from_lon"), "src").join(n.toDF("dst", "to_lat", "to_lon"), "dst")
+    return odset.from_lines(odset.to_lines(t.select(F.col("request_id").alias("id"), "from_lat", "from_lon", "to_lat", "to_lon", F.col("depart_s").alias("depart_at"), "weight")))
+
+
+# --- frames -----------------------------------------------------------------
+
+_STATES = """states AS (SELECT 'a' || (event_id % 2) AS algo, CAST(event_id // 160 AS INTEGER) AS frame, (event_id // 2) % 80 AS segment, round(value / 200, 6) AS vc FROM events),
+b AS (SELECT *, CAST(CASE WHEN vc <= 0 THEN 0 ELSE least(23, floor(vc / 0.1 + 1e-9)) END AS INTEGER) AS bucket FROM states),
+c AS (SELECT *, lag(bucket) OVER (PARTITION BY algo, segment ORDER BY frame) AS before FROM b)"""
+
+
+def _states(spark, sf) -> DataFrame:
+    e, k = A.table(spark, sf, "events"), F.col("event_id")
+    return e.select(F.concat(F.lit("a"), k % 2).alias("algo"), F.floor(k / 160).cast("int").alias("frame"), (F.floor(k / 2) % 80).cast("string").alias("segment_id"), _r(F.col("value") / 200).alias("vc"))
+
+
+@query("frame_deltas", f"WITH {_STATES} SELECT algo, frame, CAST(segment AS VARCHAR) AS segment_id, bucket, CASE WHEN before IS NULL THEN 'snapshot' ELSE 'delta' END AS kind FROM c WHERE before IS NULL OR before <> bucket")
+def _(spark, sf):
+    """Only the segments whose bucket changed."""
+    return frames.deltas(_states(spark, sf)).select("algo", "frame", "segment_id", "bucket", "kind")
+
+
+@query("frame_fold", f"WITH {_STATES} SELECT algo, CAST(segment AS VARCHAR) AS segment_id, arg_max(bucket, frame) AS bucket FROM b GROUP BY ALL")
+def _(spark, sf):
+    """All changes together give the last full state."""
+    return frames.fold(frames.deltas(_states(spark, sf)))
+
+
+@query("due_ticks", "WITH t AS (SELECT DISTINCT 'a' || (user_id % 6) AS algo, CAST(event_id % 200 + 1 AS INTEGER) AS tick FROM events), f AS (SELECT algo, tick, CAST(CASE WHEN tick = min(tick) OVER (PARTITION BY algo) THEN 0 ELSE greatest(1, ceil((tick - min(tick) OVER (PARTITION BY algo)) * 30.0 / 70.0)) END AS INTEGER) AS frame FROM t) SELECT algo, frame, max(tick) AS tick FROM f GROUP BY algo, frame")
+def _(spark, sf):
+    """Ticks that a viewer gets when frames are slower than ticks."""
+    t = A.table(spark, sf, "events").select(F.concat(F.lit("a"), F.col("user_id") % 6).alias("algo"), (F.col("event_id") % 200 + 1).cast("int").alias("tick")).distinct()
+    return frames.due_ticks(t, 30.0, 140.0, 2.0).select("algo", "frame", "tick")
+
+
+@query("buckets_on_geometry", f"WITH {A.LOAD} SELECT segment_id, CAST(CASE WHEN edge_id % 4 = 0 OR vc <= 0 THEN 0 ELSE least(23, floor(vc / 0.1 + 1e-9)) END AS INTEGER) AS bucket FROM state")
+def _(spark, sf):
+    """Every drawn segment with its bucket; without one it counts as free."""
+    s = evaluate.edge_state(A.network(spark, sf), A.observed_load(spark, sf)).where("edge_id % 4 > 0").select("segment_id", display.vc_bucket(F.col("vc")).alias("b"))
+    return A.roads(spark, sf).select("segment_id").join(s, "segment_id", "left").select("segment_id", F.coalesce("b", F.lit(0)).alias("bucket"))
+
+
+@query("request_counts", "SELECT event_type AS endpoint, CASE WHEN value < 100 THEN 'ok' ELSE 'error' END AS outcome, count(*) AS requests FROM events GROUP BY ALL")
+def _(spark, sf):
+    e = A.table(spark, sf, "events")
+    return e.groupBy(F.col("event_type").alias("endpoint"), F.when(F.col("value") < 100, "ok").otherwise("error").alias("outcome")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("labels", "SELECT event_id, CASE WHEN value > 400 THEN '—' ELSE printf('%.2f', value) END AS metric, printf('%02d:%02d', (event_id * 7 % 1440) // 60, (event_id * 7 % 1440) % 60) AS clock, 'seed=' || user_id || '|' || event_type AS key, '\"' || sha256(event_type) || '\"' AS etag FROM events")
+def _(spark, sf):
+    """Numbers, clocks, keys and tags as people and caches see them."""
+    v = F.when(F.col("value") > 400, F.lit(float("nan"))).otherwise(F.col("value"))
+    return A.table(spark, sf, "events").select("event_id", display.metric_text(v).alias("metric"), display.clock_label(F.col("event_id") * 7).alias("clock"), display.cache_key(F.concat(F.lit("seed="), F.col("user_id")), F.col("event_type")).alias("key"), display.etag(F.col("event_type")).alias("etag"))
+
+
+# --- query surface, iterative and simulated: rows only -----------------------------------------------------------------
+
+
+@query("route_trips", f"WITH {_NAIVE}, steps AS (SELECT idx, string_agg(segment_id, ' ' ORDER BY a.d) AS segments FROM used JOIN edges USING (edge_id) JOIN trips t USING (idx) JOIN d5 a ON a.src = t.src AND a.dst = edges.src GROUP BY idx) SELECT request_id, 'naive' AS algo, round(d, 4) AS cost_s, coalesce(segments, '') AS segments FROM trips JOIN d5 USING (src, dst) LEFT JOIN steps USING (idx)")
+def _(spark, sf):
+    """Every trip's path as segments."""
+    return api.route(A.trips(spark, sf), A.network(spark, sf)).select("request_id", "algo", _r("cost_s", 4).alias("cost_s"), F.array_join("segments", " ").alias("segments"))
+
+
+@query("compare_routes")
+def _(spark, sf):
+    """Free-flow and reactive answers side by side."""
+    n = A.network(spark, sf)
+    return api.compare(A.trips(spark, sf), n, _dense(n, A.observed_load(spark, sf))).select("request_id", _r("naive_s", 4).alias("naive_s"), _r("reactive_s", 4).alias("reactive_s"), "diverted")
+
+
+@query("graph_features")
+def _(spark, sf):
+    return geojson.graph_geojson(A.roads(spark, sf))
+
+
+def _flows(name: str):
+    def run(spark, sf):
+        n = A.network(spark, sf)
+        # Trips of a day spread over its hours; capacity is per hour.
+        a = assign.assign(name, n, A.trips(spark, sf).withColumn("weight", F.col("weight") / 24.0), assign.Price())
+        return a.flow_table(n).select("edge_id", _r("load_vph").alias("load_vph"), F.lit(a.iterations).alias("iters"), F.lit(a.converged).alias("converged"), F.lit(round(float(a.gap), 8)).alias("gap"))
+
+    return run
+
+
+for _name in ("incremental", "msa", "systemoptimal", "multipath"):
+    _Q[f"{_name}_flows"] = _flows(_name)
+
+
+@query("toy_sweep")
+def _(spark, sf):
+    """All strategies at all levels on the toy network."""
+    n = toy(spark)
+    od = odset.synthesize(n, sweep.REQUESTS, sweep.DEMAND_VPH, 20260618).withColumnRenamed("id", "request_id")
+    return sweep.sweep(n, od)
+
+
+@query("pigou_poa")
+def _(spark, sf):
+    """Two parallel roads: what selfish routing costs."""
+    n = small_network(spark, ((41.14, -8.63), (41.145, -8.63)), PIGOU_EDGES)
+    r = spark.range(9).select(F.col("id").cast("string").alias("request_id"), F.col("id").alias("idx"), F.lit(0).alias("src"), F.lit(1).alias("dst"), F.lit(200.0).alias("weight"))
+    return sweep.run_single(n, r, "naive")
+
+
+@query("toy_simulation")
+def _(spark, sf):
+    """Vehicles of an hour from 08:00 on the toy network, for each strategy."""
+    n = toy(spark)
+    ticks, trips = sweep.simulations(n, sweep.trips_at(n, 20260618, 8 * 3600.0, 200))
+    done = trips.groupBy("algo").agg(_r(F.avg("time_s"), 4).alias("mean_s"), _r(evaluate.nearest_rank("time_s", 0.95), 4).alias("p95_s"), F.count(F.lit(1)).alias("completed"))
+    return ticks.groupBy("algo").agg(F.max("tick").alias("ticks")).join(done, "algo")
+
+
+@query("toy_frames")
+def _(spark, sf):
+    """The frames a viewer gets of that simulation."""
+    n = toy(spark)
+    return api.stream_frames(n, sweep.trips_at(n, 20260618, 8 * 3600.0, 100), speed=60.0)
+
+
+@query("sweep_markdown")
+def _(spark, sf):
+    """A level's table in Markdown."""
+    n = toy(spark)
+    od = odset.synthesize(n, 200, sweep.DEMAND_VPH, 20260618).withColumnRenamed("id", "request_id")
+    return report.markdown_rows(sweep.sweep(n, od, sweep.LEVELS[2:3], ("naive", "systemoptimal", "multipath")))
