@@ -408,18 +408,18 @@ def _all_pairs(n: Network) -> DataFrame:
     return v.toDF("src").join(v.toDF("dst"))
 
 
-@query("shortest_costs", f"WITH {A.EDGES}, {A.distances('freeflow_s', 'edges')} SELECT src, dst, round(d, 4) AS cost_s FROM d5")
+@query("shortest_costs", f"WITH {A.EDGES}, {A.distances('freeflow_s', 'edges')} SELECT src, dst, round(d + 1e-7, 4) AS cost_s FROM d5")
 def _(spark, sf):
     """Least free-flow times of all pairs of nodes."""
     n = A.network(spark, sf)
-    return assign.pair_paths(_all_pairs(n), n, n.arrays[0].freeflow).select("src", "dst", _r("cost_s", 4).alias("cost_s"))
+    return assign.pair_paths(_all_pairs(n), n, n.arrays[0].freeflow).select("src", "dst", _r(F.col("cost_s") + 1e-7, 4).alias("cost_s"))
 
 
-@query("goal_directed_costs", f"WITH {A.EDGES}, {A.distances('freeflow_s', 'edges')} SELECT src, dst, round(d, 4) AS cost_s FROM d5")
+@query("goal_directed_costs", f"WITH {A.EDGES}, {A.distances('freeflow_s', 'edges')} SELECT src, dst, round(d + 1e-7, 4) AS cost_s FROM d5")
 def _(spark, sf):
     """The same by goal-directed searches."""
     n = A.network(spark, sf)
-    return assign.pair_paths(_all_pairs(n), n, n.arrays[0].freeflow, accelerated=True).select("src", "dst", _r("cost_s", 4).alias("cost_s"))
+    return assign.pair_paths(_all_pairs(n), n, n.arrays[0].freeflow, accelerated=True).select("src", "dst", _r(F.col("cost_s") + 1e-7, 4).alias("cost_s"))
 
 
 @query("loaded_costs", f"WITH {A.LOAD}, {A.distances('time_s', 'state')} SELECT src, dst, round(d, 3) AS cost_s FROM d5")
@@ -479,10 +479,10 @@ flows AS (SELECT {of}.edge_id, coalesce(sum(weight), 0)::DOUBLE AS flow FROM {of
 _NAIVE = f"{A.EDGES}, {A.TRIPS}, {A.distances('freeflow_s', 'edges')}, {_UNIQUE.format(of='edges', cost='freeflow_s')}"
 
 
-@query("naive_trips", f"WITH {A.EDGES}, {A.TRIPS}, {A.distances('freeflow_s', 'edges')} SELECT request_id, round(d, 4) AS cost_s FROM trips JOIN d5 USING (src, dst)")
+@query("naive_trips", f"WITH {A.EDGES}, {A.TRIPS}, {A.distances('freeflow_s', 'edges')} SELECT request_id, round(d + 1e-7, 4) AS cost_s FROM trips JOIN d5 USING (src, dst)")
 def _(spark, sf):
     """Cost of every trip on its free-flow path."""
-    return assign.naive(A.network(spark, sf), A.trips(spark, sf)).routes.select("request_id", _r("cost_s", 4).alias("cost_s"))
+    return assign.naive(A.network(spark, sf), A.trips(spark, sf)).routes.select("request_id", _r(F.col("cost_s") + 1e-7, 4).alias("cost_s"))
 
 
 @query("naive_flows", f"WITH {_NAIVE} SELECT edge_id, round(flow, 6) AS load_vph FROM flows")
@@ -636,10 +636,10 @@ def _(spark, sf):
 # --- query surface, iterative and simulated: rows only -----------------------------------------------------------------
 
 
-@query("route_trips", f"WITH {_NAIVE}, steps AS (SELECT idx, string_agg(segment_id, ' ' ORDER BY a.d) AS segments FROM used JOIN edges USING (edge_id) JOIN trips t USING (idx) JOIN d5 a ON a.src = t.src AND a.dst = edges.src GROUP BY idx) SELECT request_id, 'naive' AS algo, round(d, 4) AS cost_s, coalesce(segments, '') AS segments FROM trips JOIN d5 USING (src, dst) LEFT JOIN steps USING (idx)")
+@query("route_trips", f"WITH {_NAIVE}, steps AS (SELECT idx, string_agg(segment_id, ' ' ORDER BY a.d) AS segments FROM used JOIN edges USING (edge_id) JOIN trips t USING (idx) JOIN d5 a ON a.src = t.src AND a.dst = edges.src GROUP BY idx) SELECT request_id, 'naive' AS algo, round(d + 1e-7, 4) AS cost_s, coalesce(segments, '') AS segments FROM trips JOIN d5 USING (src, dst) LEFT JOIN steps USING (idx)")
 def _(spark, sf):
     """Every trip's path as segments."""
-    return api.route(A.trips(spark, sf), A.network(spark, sf)).select("request_id", "algo", _r("cost_s", 4).alias("cost_s"), F.array_join("segments", " ").alias("segments"))
+    return api.route(A.trips(spark, sf), A.network(spark, sf)).select("request_id", "algo", _r(F.col("cost_s") + 1e-7, 4).alias("cost_s"), F.array_join("segments", " ").alias("segments"))
 
 
 @query("compare_routes")
