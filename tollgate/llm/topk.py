@@ -67,7 +67,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     queries = queries.where("query_id is not null and code is not null").select("query_id", "code")
     spark = codes.sparkSession
     want = k + 1
-    classes = checkpointed(classes_of(codes, want))
+    classes = checkpointed(classes_of(codes, want).withColumn("least", F.get("ids", F.lit(0))))
     n = classes.count()
     if n == 0:
         return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)
@@ -76,7 +76,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     width = [int(b - a) for a, b in zip(cuts, cuts[1:])]
     shift = [int(BITS - b) for b in cuts[1:]]
     part = lambda code, s: F.shiftrightunsigned(code, shift[s]).bitwiseAND(F.lit((1 << width[s]) - 1))
-    index = checkpointed(classes.select("code", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), part(F.col("code"), s).alias("value")) for s in range(m)))).alias("p")).select("p.seg", "p.value", "code", "n"))
+    index = checkpointed(classes.select("code", "n", "least", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), part(F.col("code"), s).alias("value")) for s in range(m)))).alias("p")).select("p.seg", "p.value", "code", "n", "least"))
 
     sample = classes.orderBy(F.xxhash64("code"), "code").limit(SAMPLE).select("code", "n").toArrow()
     held = spark.sparkContext.broadcast((sample["code"].to_numpy(), sample["n"].to_numpy()))
@@ -100,15 +100,14 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             break
         covered = m * radius - 1
         if sum(len(flips(w, radius)) for w in width) > n:
-            rest = pending.select("q").toLocalIterator()
             block, every = [], []
-            for row in rest:
-                block.append(row["q"])
+            for row in pending.toLocalIterator():
+                block.append((row["q"], row["bound"]))
                 if len(block) == BLOCK:
-                    every.append(compare_all(classes, block, want))
+                    every.append(compare_all(classes, block))
                     block = []
             if block:
-                every.append(compare_all(classes, block, want))
+                every.append(compare_all(classes, block))
             # What earlier radii found of these queries is found again here.
             found = found.join(pending, "q", "left_anti") if found is not None else None
             for e in every:
@@ -135,7 +134,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             # An earlier segment has been probed up to this radius, a later one below it.
             first = first & ((F.col("i.seg") == s) | (F.bit_count(part(differ, s)) > F.when(F.col("i.seg") > s, radius).otherwise(radius - 1)))
         new = index.alias("i").join(asked.alias("a"), (F.col("i.seg") == F.col("a.seg")) & (F.col("i.value") == F.col("a.value")) & (apart <= F.col("bound")) & first)
-        new = checkpointed(new.select("q", "code", apart.cast("int").alias("distance"), "n"))
+        new = checkpointed(new.select("q", "code", apart.cast("int").alias("distance"), "n", "least"))
         found = new if found is None else found.union(new)
         by_distance = Window.partitionBy("q").orderBy("distance")
         counted = found.groupBy("q", "distance").agg(F.sum("n").alias("n")).withColumn("so_far", F.sum("n").over(by_distance))
@@ -144,6 +143,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         pending = checkpointed(grown.where(F.col("bound") > m * (radius + 1) - 1))
     if found is None:
         return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)
+    # Every class has a row, so no more classes than wanted rows can matter.
+    found = found.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy("distance", "least"))).where(F.col("at") <= want).select("q", "code", "distance")
     listed = found.join(classes.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("id"))
     best = listed.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("at") <= want)
     lists = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near"))
@@ -151,28 +152,21 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return out.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.id", F.col("x.distance").cast("int").alias("distance"))
 
 
-def compare_all(classes: DataFrame, block: list[int], want: int) -> DataFrame:
-    """The classes that can be among the ``want`` nearest rows of each query of a block."""
-    sent = classes.sparkSession.sparkContext.broadcast(np.array(block, dtype=np.int64))
+def compare_all(classes: DataFrame, block: list[tuple[int, int]]) -> DataFrame:
+    """The classes within each query's bound; ``block``: pairs (query code, bound)."""
+    sent = classes.sparkSession.sparkContext.broadcast(np.array(block, dtype=np.int64).reshape(-1, 2))
 
     def run(batches):
-        q, best = sent.value, {}
+        q, limit = sent.value.T
         for batch in batches:
-            code, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            code, n, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             for i in range(len(q)):
                 d = distances(code, q[i])
-                keep = np.argpartition(d, want - 1)[:want] if len(d) > want else np.arange(len(d))
-                keep = np.flatnonzero(d <= d[keep].max())
-                old = best.get(i)
-                c2, d2, n2 = (code[keep], d[keep], n[keep]) if old is None else (np.concatenate([o, x[keep]]) for o, x in zip(old, (code, d, n)))
-                if len(d2) > want:
-                    ok = d2 <= np.partition(d2, want - 1)[want - 1]
-                    c2, d2, n2 = c2[ok], d2[ok], n2[ok]
-                best[i] = (c2, d2, n2)
-        for i, (c, d, n) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), q[i])), pa.array(c), pa.array(d, pa.int32()), pa.array(n)], names=["q", "code", "distance", "n"])
-
-    return classes.select("code", "n").mapInArrow(run, "q long, code long, distance int, n long")
+                near = np.flatnonzero(d <= limit[i])
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q[i])), pa.array(code[near]), pa.array(d[near], pa.int32()), pa.array(n[near]), pa.array(least[near])], names=["q", "code", "distance", "n", "least"])
+
+    return classes.select("code", "n", "least").mapInArrow(run, "q long, code long, distance int, n long, least long")
 
 
 def op7_topk(spark, sf_dir: str) -> DataFrame:
