@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, kept in the folder of spark.checkpoint.dir; a temporary
-    one is set only where a session has none (tests, a laptop)."""
-    sc = df.sparkSession.sparkContext
+    """``df`` without its lineage, as a table written in the folder of
+    spark.checkpoint.dir; a temporary one is set only where a session has none.
+
+    A written table has the size of its files. A checkpoint would keep the size
+    estimated for its plan, which loops of joins multiply round by round.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tollgate"))
-    return df.checkpoint(eager=True)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
