@@ -46,6 +46,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """``df`` as a table written in the shared folder, and its path.
+
+    For loops: a checkpointed frame keeps the size that was estimated for its
+    plan, and joined with itself round by round that estimate becomes a number
+    of more digits than can be handled; a table has the size of its files.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that don't clash with those of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, stored, table
 from .simhash import flips
 
 #: Codes in the sample for first bounds; queries compared with all codes at once.
@@ -111,7 +111,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             # What earlier radii found of these queries is found again here.
             found = found.join(pending, "q", "left_anti") if found is not None else None
             for e in every:
-                e = checkpointed(e)
+                e = stored(e, "topk")[0]
                 found = e if found is None else found.union(e)
             break
 
@@ -134,13 +134,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             # An earlier segment has been probed up to this radius, a later one below it.
             first = first & ((F.col("i.seg") == s) | (F.bit_count(part(differ, s)) > F.when(F.col("i.seg") > s, radius).otherwise(radius - 1)))
         new = index.alias("i").join(asked.alias("a"), (F.col("i.seg") == F.col("a.seg")) & (F.col("i.value") == F.col("a.value")) & (apart <= F.col("bound")) & first)
-        new = checkpointed(new.select("q", "code", apart.cast("int").alias("distance"), "n", "least"))
+        new = stored(new.select("q", "code", apart.cast("int").alias("distance"), "n", "least"), "topk")[0]
         found = new if found is None else found.union(new)
         by_distance = Window.partitionBy("q").orderBy("distance")
         counted = found.groupBy("q", "distance").agg(F.sum("n").alias("n")).withColumn("so_far", F.sum("n").over(by_distance))
         tighter = counted.where(F.col("so_far") >= want).groupBy("q").agg(F.min("distance").alias("seen"))
         grown = pending.join(tighter, "q", "left").select("q", F.least("bound", F.coalesce("seen", "bound")).alias("bound"))
-        pending = checkpointed(grown.where(F.col("bound") > m * (radius + 1) - 1))
+        pending = stored(grown.where(F.col("bound") > m * (radius + 1) - 1), "topk")[0]
     if found is None:
         return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)
     # Every class has a row, so no more classes than wanted rows can matter.
