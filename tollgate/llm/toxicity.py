@@ -162,16 +162,18 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
 
 
 def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 8) -> dict[str, float]:
-    """The threshold of best F1 for each language; one with fewer than ``least``
-    rows of either label takes that of all languages (key '')."""
+    """The threshold of best F1, at least 0.5, for each language; one with fewer than
+    ``least`` rows of either label takes that of all languages (key ''), and
+    where these are as few the threshold is 0.5."""
 
     def best(s, y):
-        cuts = np.unique(np.concatenate([[0.5], (np.sort(s)[1:] + np.sort(s)[:-1]) / 2]))
+        cuts = (np.sort(s)[1:] + np.sort(s)[:-1]) / 2
+        cuts = np.unique(np.concatenate([[0.5], cuts[cuts > 0.5]]))
         f1 = [2 * ((s >= c) & (y == 1)).sum() / max(1, (s >= c).sum() + (y == 1).sum()) for c in cuts]
         top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
         return float(cuts[top[len(top) // 2]])
 
-    out = {"": best(scores, labels) if len(scores) and 0 < labels.sum() < len(labels) else 0.5}
+    out = {"": best(scores, labels) if min((labels == 1).sum(), (labels == 0).sum()) >= least else 0.5}
     for lang in {x for x in langs if x is not None}:
         at = np.array([x == lang for x in langs])
         if min((labels[at] == 1).sum(), (labels[at] == 0).sum()) >= least:
