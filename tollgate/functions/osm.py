@@ -57,7 +57,7 @@ def directions(oneway: Column, junction: Column, cls: Column) -> Column:
 def effective_lanes(own: Column, bare: Column, one_way: Column, cls: Column) -> Column:
     """The direction's own tag; else all lanes of a one-way road or half of a two-way one; else the default."""
     n = leading_int(bare)
-    half = F.greatest(F.lit(1), F.floor(n / 2).cast("int"))
+    half = F.when(n.isNotNull(), F.greatest(F.lit(1), F.floor(n / 2).cast("int")))
     return F.coalesce(leading_int(own), F.when(one_way, n).otherwise(half), of_class(LANES, cls))
 
 

@@ -134,8 +134,7 @@ def _routes(requests: DataFrame, paths: DataFrame) -> DataFrame:
     return requests.join(paths, ["src", "dst"]).select("request_id", "idx", "edges", "cost_s")
 
 
-def naive(network: Network, requests: DataFrame, price: Price = Price(), load: np.ndarray | None = None) -> Assignment:
-    """All on the free-flow shortest path; with a ``load``, on the one it prices (reactive)."""
+def _all_or_nothing(network: Network, requests: DataFrame, price: Price, load: np.ndarray | None) -> Assignment:
     g = network.arrays[0]
     cost = price.of(g, np.zeros(g.edges) if load is None else load)
     demand = pair_demand(requests).persist()
@@ -145,9 +144,14 @@ def naive(network: Network, requests: DataFrame, price: Price = Price(), load: n
     return Assignment(_routes(requests, paths), flow)
 
 
+def naive(network: Network, requests: DataFrame, price: Price = Price(), load: np.ndarray | None = None) -> Assignment:
+    """All on the free-flow shortest path, whatever the load."""
+    return _all_or_nothing(network, requests, price, None)
+
+
 def reactive(network: Network, requests: DataFrame, price: Price = Price(), load: np.ndarray | None = None) -> Assignment:
     """All on the shortest path under one frozen load; without load the same as naive."""
-    return naive(network, requests, price, load)
+    return _all_or_nothing(network, requests, price, load)
 
 
 def relative_gap(spent: float, least: float) -> float:

@@ -161,7 +161,7 @@ cls AS (SELECT *, CASE WHEN regexp_replace(trim(highway), '_link$', '') IN ('mot
 dirs AS (SELECT *, CASE WHEN ow IN ('yes', 'true', '1') THEN ['F'] WHEN ow IN ('-1', 'reverse') THEN ['R'] WHEN ow IN ('no', 'false', '0') THEN ['F', 'R'] WHEN c = 'motorway' OR coalesce(junction, '') IN ('roundabout', 'circular') THEN ['F'] ELSE ['F', 'R'] END AS dirs FROM cls WHERE c IS NOT NULL),
 nums AS (SELECT *, CASE WHEN TRY_CAST(regexp_extract(trim(lanes), '^([0-9]+)', 1) AS INTEGER) >= 1 THEN TRY_CAST(regexp_extract(trim(lanes), '^([0-9]+)', 1) AS INTEGER) END AS bare, CASE WHEN TRY_CAST(regexp_extract(trim(own), '^([0-9]+)', 1) AS INTEGER) >= 1 THEN TRY_CAST(regexp_extract(trim(own), '^([0-9]+)', 1) AS INTEGER) END AS mine,
   TRY_CAST(regexp_extract(lower(trim(maxspeed)), '^([0-9.]+)', 1) AS DOUBLE) * CASE WHEN maxspeed LIKE '%mph%' THEN 1.609344 ELSE 1 END AS speed FROM dirs),
-ruled AS (SELECT *, coalesce(mine, CASE WHEN len(dirs) = 1 THEN bare ELSE greatest(1, bare // 2) END, CASE c WHEN 'motorway' THEN 3 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 2 WHEN 'secondary' THEN 2 ELSE 1 END) AS lanes_effective,
+ruled AS (SELECT *, coalesce(mine, CASE WHEN len(dirs) = 1 THEN bare WHEN bare IS NOT NULL THEN greatest(1, bare // 2) END, CASE c WHEN 'motorway' THEN 3 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 2 WHEN 'secondary' THEN 2 ELSE 1 END) AS lanes_effective,
   CASE WHEN speed > 0 THEN speed ELSE CASE c WHEN 'motorway' THEN 100.0 WHEN 'trunk' THEN 80.0 WHEN 'primary' THEN 60.0 WHEN 'secondary' THEN 50.0 WHEN 'tertiary' THEN 40.0 WHEN 'residential' THEN 30.0 ELSE 20.0 END END AS kmh,
   CASE c WHEN 'motorway' THEN 1.0 WHEN 'trunk' THEN 0.9 WHEN 'primary' THEN 0.8 WHEN 'secondary' THEN 0.7 WHEN 'tertiary' THEN 0.6 WHEN 'residential' THEN 0.5 ELSE 0.4 END AS factor FROM nums)"""
 

@@ -52,8 +52,8 @@ def from_lines(lines: DataFrame) -> DataFrame:
     parts = F.split("value", "\t", -1)
     rows = lines.where(F.trim("value") != "").withColumn("p", parts)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    num = [F.col("p")[k].try_cast("double").alias(n) for k, n in enumerate(names) if k]
-    out = rows.select(F.col("p")[0].alias("id"), *num, F.size("p").alias("n"), "value")
+    num = [F.get("p", F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(names) if k]
+    out = rows.select(F.get("p", F.lit(0)).alias("id"), *num, F.size("p").alias("n"), "value")
     bad = out.where("n <> 7" + "".join(f" or {n} is null" for n in names[1:])).limit(1).collect()
     if bad:
         raise ValueError(f"not a request: {bad[0]['value']!r}")
