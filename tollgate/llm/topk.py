@@ -133,7 +133,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for s in range(m):
             # An earlier segment has been probed up to this radius, a later one below it.
             first = first & ((F.col("i.seg") == s) | (F.bit_count(part(differ, s)) > F.when(F.col("i.seg") > s, radius).otherwise(radius - 1)))
-        new = index.alias("i").join(asked.alias("a"), (F.col("i.seg") == F.col("a.seg")) & (F.col("i.value") == F.col("a.value")) & (apart <= F.col("bound")) & first)
+        # Probes are many times what they are made from, so their estimated size must not invite a broadcast.
+        new = index.alias("i").join(asked.hint("merge").alias("a"), (F.col("i.seg") == F.col("a.seg")) & (F.col("i.value") == F.col("a.value")) & (apart <= F.col("bound")) & first)
         new = stored(new.select("q", "code", apart.cast("int").alias("distance"), "n", "least"), "topk")[0]
         found = new if found is None else found.union(new)
         by_distance = Window.partitionBy("q").orderBy("distance")
