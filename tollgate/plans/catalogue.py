@@ -112,7 +112,7 @@ def _(spark, sf):
 _IDS = "(SELECT l_orderkey AS k, CASE l_linenumber % 6 WHEN 0 THEN l_orderkey || ':' || l_linenumber || ':F' WHEN 1 THEN l_orderkey || ':0' || l_linenumber || ':F' WHEN 2 THEN l_orderkey || ':' || l_linenumber || ':R' WHEN 3 THEN ' ' || l_orderkey || ':1:F' WHEN 4 THEN l_orderkey || ':1:X' ELSE l_orderkey || '999999999999999:0:R' END AS t FROM lineitem)"
 
 
-@query("segment_ids", f"""SELECT t AS segment_id, TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) AS way, CASE WHEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) IS NOT NULL THEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 2) AS BIGINT) END AS seq,
+@query("segment_ids", f"""SELECT t AS segment_id, CAST(TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) AS VARCHAR) AS way, CASE WHEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) IS NOT NULL THEN CAST(TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 2) AS BIGINT) AS VARCHAR) END AS seq,
 CASE WHEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) IS NOT NULL THEN regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 3) END AS dir,
 CASE WHEN TRY_CAST(regexp_extract(t, '^([1-9][0-9]*):(0|[1-9][0-9]*):([FR])$', 1) AS BIGINT) IS NOT NULL THEN t END AS round_trip FROM {_IDS}""")
 def _(spark, sf):
@@ -121,7 +121,7 @@ def _(spark, sf):
     t = F.when(n % 6 == 0, F.concat_ws(":", k, n, F.lit("F"))).when(n % 6 == 1, F.concat(k, F.lit(":0"), n, F.lit(":F"))).when(n % 6 == 2, F.concat_ws(":", k, n, F.lit("R"))).when(n % 6 == 3, F.concat(F.lit(" "), k, F.lit(":1:F"))).when(n % 6 == 4, F.concat(k, F.lit(":1:X"))).otherwise(F.concat(k, F.lit("999999999999999:0:R")))
     p = A.table(spark, sf, "lineitem").select(t.alias("segment_id")).withColumn("p", parse_segment_id(F.col("segment_id")))
     trip = F.when(F.col("p").isNotNull(), format_segment_id(F.col("p.way"), F.col("p.seq"), F.col("p.dir")))
-    return p.select("segment_id", "p.way", "p.seq", "p.dir", trip.alias("round_trip"))
+    return p.select("segment_id", F.col("p.way").cast("string").alias("way"), F.col("p.seq").cast("string").alias("seq"), "p.dir", trip.alias("round_trip"))
 
 
 @query("direction_names", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'R' ELSE 'Direction(2)' END AS direction FROM part")
