@@ -105,29 +105,47 @@ def pair_paths(pairs: DataFrame, network: Network, cost: np.ndarray, accelerated
     return own.mapInArrow(run, "src int, dst int, cost_s double, edges array<int>")
 
 
-def _check(paths: DataFrame) -> None:
-    bad = paths.where("cost_s is null").limit(1).collect()
-    if bad:
-        raise NoRoute(f"no path from node {bad[0]['src']} to node {bad[0]['dst']}")
-
+def all_or_nothing(demand: DataFrame, network: Network, cost: np.ndarray) -> tuple[np.ndarray, float]:
+    """Edge flows when all of ``demand`` takes its shortest path, and the sum of weight times cost.
 
-def load_of(demand: DataFrame, paths: DataFrame, n_edges: int) -> tuple[np.ndarray, float]:
-    """Edge flows when all demand takes ``paths``, and the sum of weight times cost.
-
-    The result is one row for each edge that is used; unroutable demand raises.
+    ``demand`` should lie by origin (``by_origin``): a task then searches each of
+    its origins once and adds up its own flows, so that what is exchanged is a
+    row per task and used edge, and no path is kept.
     """
-    both = demand.join(paths, ["src", "dst"])
-    rows = both.select("weight", F.posexplode_outer(F.concat("edges", F.array(F.lit(-1)))).alias("at", "edge_id"), (F.col("weight") * F.col("cost_s")).alias("spent"))
-    rows = rows.groupBy("edge_id").agg(F.sum("weight").alias("flow"), F.sum("spent").alias("spent"), F.count_if(F.col("edge_id").isNull()).alias("lost")).collect()
-    flow, spent = np.zeros(n_edges), 0.0
+    graph, weight = network.broadcast, network.edges.sparkSession.sparkContext.broadcast(cost)
+
+    def run(batches):
+        g, w = graph.value[0], weight.value
+        flow, spent, lost = np.zeros(g.edges), 0.0, 0
+        for batch in batches:
+            src, dst, many = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for s in np.unique(src).tolist():
+                mine = src == s
+                dist, via = K.search(g, s, w, dst[mine].tolist())
+                for d, x in zip(dst[mine].tolist(), many[mine].tolist()):
+                    if d not in dist:
+                        lost += 1
+                        continue
+                    spent += x * dist[d]
+                    flow[K.path_to(g, via, s, d)] += x
+        at = np.flatnonzero(flow)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]), pa.int32()), pa.array(np.append(flow[at], [spent, lost]))], names=["edge_id", "x"])
+
+    flow, spent = np.zeros(network.arrays[0].edges), 0.0
+    rows = demand.select("src", "dst", "weight").mapInArrow(run, "edge_id int, x double").groupBy("edge_id").agg(F.sum("x").alias("x")).collect()
     for r in rows:
-        if r["edge_id"] is None:
+        if r["edge_id"] == -2 and r["x"] > 0:
             raise NoRoute("some demand has no path")
-        if r["edge_id"] >= 0:
-            flow[r["edge_id"]] = r["flow"]
-        else:
-            spent = r["spent"]
-    return flow, float(spent or 0.0)
+        if r["edge_id"] == -1:
+            spent = r["x"]
+        elif r["edge_id"] >= 0:
+            flow[r["edge_id"]] = r["x"]
+    return flow, spent
+
+
+def by_origin(demand: DataFrame) -> DataFrame:
+    """Demand dealt out by origin once, for many searches."""
+    return demand.repartition("src").sortWithinPartitions("src", "dst").persist()
 
 
 def _routes(requests: DataFrame, paths: DataFrame) -> DataFrame:
@@ -137,11 +155,9 @@ def _routes(requests: DataFrame, paths: DataFrame) -> DataFrame:
 def _all_or_nothing(network: Network, requests: DataFrame, price: Price, load: np.ndarray | None) -> Assignment:
     g = network.arrays[0]
     cost = price.of(g, np.zeros(g.edges) if load is None else load)
-    demand = pair_demand(requests).persist()
-    paths = pair_paths(demand, network, cost).persist()
-    _check(paths)
-    flow, _ = load_of(demand, paths, g.edges)
-    return Assignment(_routes(requests, paths), flow)
+    demand = by_origin(pair_demand(requests))
+    flow, _ = all_or_nothing(demand, network, cost)
+    return Assignment(_routes(requests, pair_paths(demand, network, cost)), flow)
 
 
 def naive(network: Network, requests: DataFrame, price: Price = Price(), load: np.ndarray | None = None) -> Assignment:
@@ -168,15 +184,13 @@ def incremental(network: Network, requests: DataFrame, price: Price = Price(), l
     for b in range(batches):
         end = at + size + (first if b == 0 else 0)
         part = requests.where((F.col("idx") >= at) & (F.col("idx") < end))
-        demand = pair_demand(part)
-        paths = pair_paths(demand, network, price.of(g, flow)).persist()
-        _check(paths)
-        flow = flow + load_of(demand, paths, g.edges)[0]
+        demand = by_origin(pair_demand(part))
+        paths = pair_paths(demand, network, price.of(g, flow))
+        flow = flow + all_or_nothing(demand, network, price.of(g, flow))[0]
         routes = _routes(part, paths) if routes is None else routes.union(_routes(part, paths))
         at = end
     cost = price.of(g, flow)
-    demand = pair_demand(requests)
-    least = load_of(demand, pair_paths(demand, network, cost), g.edges)[1]
+    least = all_or_nothing(by_origin(pair_demand(requests)), network, cost)[1]
     gap = relative_gap(float(flow @ cost), least)
     return Assignment(routes, flow, gap, batches, True)
 
@@ -185,17 +199,16 @@ def _averages(network: Network, requests: DataFrame, price: Price, marginal: boo
     """Successive averages: step 1/k towards the all-or-nothing load; the gap is that of
     the flow before the step, under the cost it was routed on."""
     g = network.arrays[0]
-    demand = pair_demand(requests).persist()
-    flow, paths, gap = np.zeros(g.edges), None, 0.0
+    demand = by_origin(pair_demand(requests))
+    flow, gap, k = np.zeros(g.edges), 0.0, 0
     for k in range(1, limit + 1):
         cost = price.of(g, flow, marginal)
-        paths = pair_paths(demand, network, cost).persist()
-        target, least = load_of(demand, paths, g.edges)
+        target, least = all_or_nothing(demand, network, cost)
         gap = relative_gap(float(flow @ cost), least)
         flow = flow + (target - flow) / k
         if gap < tolerance:
-            return Assignment(_routes(requests, paths), flow, gap, k, True)
-    return Assignment(_routes(requests, paths), flow, gap, limit, False)
+            break
+    return Assignment(_routes(requests, pair_paths(demand, network, cost)), flow, gap, k, gap < tolerance)
 
 
 def msa(network: Network, requests: DataFrame, price: Price = Price(), load=None, limit: int = ITERATIONS, tolerance: float = GAP) -> Assignment:
