@@ -53,7 +53,7 @@ def as_matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, np.concatenate([i for i, _ in rows] or [np.zeros(0, int)]), np.concatenate([x for _, x in rows] or [np.zeros(0)])
 
 
-def fit_logistic(matrix, n: int, width: int, y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit_logistic(matrix, n: int, width: int, y: np.ndarray, weight: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by Adagrad over the whole set."""
     at, col, val = matrix
     w, b = np.zeros(width), 0.0
