@@ -27,7 +27,7 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 #: A word's vector is the mean of those of its hashes: the word and its beginnings of so many characters.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Distinct words whose responses a task keeps.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
@@ -77,16 +77,18 @@ class Scorer:
         self.m = model
         self.filters = np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in model.conv], axis=1)
         self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((0, self.filters.shape[1]), dtype=np.float32)
+        self.rows = np.empty((CACHE_WORDS, self.filters.shape[1]), dtype=np.float32)
 
     def learn(self, docs: list[list[bytes]]) -> None:
         new = [w for w in set().union(*docs) if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.rows, new = {}, self.rows[:0], list(set().union(*docs))
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            made = self.m.vectors(np.array([hashes(w) for w in new])).astype(np.float32) @ self.filters
-            self.rows = np.concatenate([self.rows, made])
+        if len(self.known) + len(new) > len(self.rows):
+            self.known, new = {}, list(set().union(*docs))
+            if len(new) > len(self.rows):
+                self.rows = np.empty((len(new), self.filters.shape[1]), dtype=np.float32)
+        for a in range(0, len(new), 16_384):
+            some, at = new[a : a + 16_384], len(self.known)
+            self.known.update(zip(some, range(at, at + len(some))))
+            self.rows[at : at + len(some)] = self.m.vectors(np.array([hashes(w) for w in some], dtype=np.int32)) @ self.filters
 
     def logit(self, ws: list[bytes]) -> float:
         ids = np.fromiter(map(self.known.__getitem__, ws), dtype=np.int32, count=len(ws))
