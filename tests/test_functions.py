@@ -99,3 +99,11 @@ def test_geometry(spark):
     line = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (0.0, 1.0), (1.0, 1.0))))
     length, east, near = one(spark, geo.polyline_m(line), geo.bearing_deg(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)), geo.point_to_segment_m(F.lit(0.001), F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     assert length == pytest.approx(111194.93 + 111177.99, abs=1) and east == pytest.approx(90) and near == pytest.approx(111.19, abs=0.1)
+
+
+def test_instants_for_people(spark):
+    start, parts, bad, label, other = one(spark, display.start_instant(F.lit("2026-06-22"), F.lit(1500)), display.start_parts(F.lit("2026-06-22T08:05:09Z")), display.start_parts(F.lit("soon")), display.instant_label(F.lit("2026-06-22T08:00:00Z")), display.instant_label(F.lit("soon")))
+    assert start == "2026-06-22T01:00:00Z" and tuple(parts) == ("2026-06-22", 485) and tuple(bad) == ("", 0)
+    assert label == "Jun 22, 2026 · 08:00 UTC" and other == "soon"
+    tag = display.etag(F.lit("x"))
+    assert one(spark, display.etag_matches(tag, tag), display.etag_matches(F.concat(F.lit('"a", W/'), tag), tag), display.etag_matches(F.lit("*"), tag), display.etag_matches(F.lit('"a"'), tag)) == (True, True, True, False)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tollgate.operators import congestion, derive, frames, network, validate
 from tollgate.plans import api, report, sweep
 from tollgate.plans.catalogue import small_network, toy
-from tollgate.sources import files, geojson, messages, odset
+from tollgate.__main__ import main
+from tollgate.sources import files, geojson, load, messages, odset
 from tollgate.streaming import windows
 
 
@@ -149,6 +150,27 @@ def test_injection_and_noise(spark):
     assert a == b and a[1] == 0.0 and 81 <= a[0] <= 121 and a[0] != 100.0
 
 
+def test_sources_of_load(spark, tmp_path):
+    n = toy(spark)
+    table = lambda df: {r["edge_id"]: r["load_vph"] for r in df.collect()}
+    assert set(table(load.load_from(n)).values()) == {0.0}
+    assert table(load.load_from(n, jam="905512:0:F"))[1] == 50000.0
+    noisy = table(load.load_from(n, "sim", "905512:0:F"))
+    assert 45000 <= noisy[1] <= 55000 and noisy[1] != 50000 and noisy[0] == 0
+    (tmp_path / "m.json").write_text(message("905512:0:F", "08:00", "08:05:03", 5000))
+    assert table(load.load_from(n, str(tmp_path / "m.json")))[1] == 60000.0
+    for bad in ({"source": str(tmp_path / "m.json"), "jam": "905512:0:F"}, {"jam": "1:1:F"}):
+        with pytest.raises(ValueError):
+            load.load_from(n, **bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path = write(tmp_path / "g.json", [feature(k) for k in range(3)])
+    assert main(["route", "--graph", path, "--from", "41.1,-8.6", "--to", "41.1,-8.598", "--algo", "reactive", "--jam", "1:0:F"]) == 0
+    assert capsys.readouterr().out.startswith("1:0:F -> 2:0:F\ncost_s ")
+    assert main(["route", "--graph", path, "--from", "41.1,-8.598", "--to", "41.1,-8.6"]) == 1
+
+
 # --- origin-destination sets ---
 
 
@@ -222,6 +244,15 @@ def test_parameters():
             api.parameters(**bad)
 
 
+def test_stream_parameters():
+    assert api.stream_parameters(count=0)["count"] == 1000 and api.place(" 1.5, -2") == (1.5, -2.0)
+    for bad in ({"start": "now"}, {"speed": 0}, {"tick_hz": 5}, {"capacity_scale": 0}):
+        with pytest.raises(ValueError):
+            api.stream_parameters(**bad)
+    with pytest.raises(ValueError):
+        api.place("1")
+
+
 def test_places_are_snapped(spark):
     q = spark.createDataFrame([("a", 40.73736, -73.975, 40.7399, -73.9699)], "request_id string, from_lat double, from_lon double, to_lat double, to_lon double")
     r = api.snap(q, toy(spark)).first()

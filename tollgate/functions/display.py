@@ -35,6 +35,30 @@ def clock_label(minutes: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
 
 
+def start_instant(date: Column, minutes: Column) -> Column:
+    """A date and minutes since midnight as an instant."""
+    return F.concat(date, F.lit("T"), clock_label(minutes), F.lit(":00Z"))
+
+
+def start_parts(instant: Column) -> Column:
+    """struct<date,minutes> of an instant; empty date and midnight where it can't be read."""
+    p = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}):([0-9]{2})"
+    part = lambda k: F.coalesce(F.regexp_extract(instant, p, k).try_cast("int"), F.lit(0))
+    return F.struct(F.coalesce(F.regexp_extract(instant, p, 1), F.lit("")).alias("date"), (part(2) * 60 + part(3)).alias("minutes"))
+
+
+def instant_label(instant: Column) -> Column:
+    """An instant as a date and time for people; other text stays."""
+    ts = F.try_to_timestamp(instant, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.coalesce(F.date_format(ts, "MMM d, yyyy · HH:mm 'UTC'"), instant)
+
+
+def etag_matches(header: Column, tag: Column) -> Column:
+    """Whether an If-None-Match header names the tag or any; weak tags count as equal."""
+    one = F.transform(F.split(header, ","), lambda x: F.regexp_replace(F.trim(x), "^W/", ""))
+    return F.coalesce((F.trim(header) == "*") | F.array_contains(one, tag), F.lit(False))
+
+
 def cache_key(*parts: Column) -> Column:
     return F.concat_ws("|", *(p.cast("string") for p in parts))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def cache_key(**given) -> str:
     return "|".join(f"{k}={p[k]:g}" if isinstance(p[k], float) else f"{k}={p[k]}" for k in DEFAULTS)
 
 
+def place(text: str) -> tuple[float, float]:
+    """Latitude and longitude from "lat,lon"."""
+    parts = text.split(",")
+    if len(parts) != 2:
+        raise ValueError("a place is written as lat,lon")
+    return float(parts[0]), float(parts[1])
+
+
+def stream_parameters(**given) -> dict:
+    """Replay parameters with defaults; raises on what is out of bounds."""
+    out = {"start": "2026-06-22T08:00:00Z", "speed": 30.0, "tick_hz": 1.0, "seed": 0, "count": 1000, "capacity_scale": 1.0} | given
+    if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", out["start"]):
+        raise ValueError("start must be an instant such as 2026-06-22T08:00:00Z")
+    if not 0 < out["speed"] <= 100_000 or not 0.5 <= out["tick_hz"] <= 2 or out["count"] < 0 or out["capacity_scale"] <= 0:
+        raise ValueError("speed must be in (0, 100000], tick_hz in [0.5, 2], count not negative, capacity_scale positive")
+    return out | {"count": out["count"] or 1000}
+
+
 def snap(requests: DataFrame, network: Network) -> DataFrame:
     """Requests (request_id, from_lat, from_lon, to_lat, to_lon, ...) with src and dst; each distinct
     place is looked up once."""
