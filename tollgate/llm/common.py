@@ -20,12 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     if where:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(where)
-        return where
+        return qualified(spark, where)
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tollgate"))
         known = sc._jsc.sc().getCheckpointDir()
-    return known.get()
+    return qualified(spark, known.get())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, as Hadoop resolves it and Arrow reads it."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + out[5:] if out.startswith("file:/") and not out.startswith("file://") else out
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
