@@ -114,10 +114,12 @@ def brute_components(codes, tau):
     return {c: find(c) for c in codes}
 
 
-@pytest.mark.parametrize("crowd", [simhash.CROWD, 0])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, crowd):
-    """Also where every code counts as crowded."""
+@pytest.mark.parametrize("crowd, held, few", [(simhash.CROWD, simhash.HELD, simhash.FEW), (0, 4, 2), (10**9, 2, 2), (20, 3, 3)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, crowd, held, few):
+    """Also where every code counts as crowded, values are salted and groups count as large."""
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "FEW", few)
     r = random.Random(5)
     codes = set()
     for _ in range(40):

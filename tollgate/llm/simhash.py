@@ -35,6 +35,8 @@ from .components import components
 SEED = 42
 #: Estimated probes and candidates beyond which a fingerprint counts as crowded.
 CROWD = 256
+#: Codes of one value that meet in one group, at most.
+HELD = 1 << 16
 #: Groups of up to so many members are compared pair by pair, all groups of a batch at once.
 FEW = 16
 
@@ -174,45 +176,39 @@ def choose_thresholds(cost: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarra
 def spanning_links(codes: np.ndarray, is_probe: np.ndarray, is_index: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Links that connect what pairs (probe, index) within ``limit`` bits connect.
 
-    The member that most others may hang on is tried first; only members not
-    yet connected with it are compared further.
+    A search by breadth: what is found leaves the rest at once, so a crowd
+    around few members is gone after few comparisons with all.
     """
-    n, links = len(codes), []
-    if n < 2:
-        return links
-    root = np.arange(n)
-    for x in range(n):
-        if not is_probe[x]:
-            continue
-        others = np.flatnonzero(is_index & (root != root[x]))
-        if not len(others):
-            continue
-        d = np.bitwise_count(codes[others] ^ codes[x]).sum(axis=1)
-        hit = others[d <= limit]
-        if not len(hit):
-            continue
-        _, one = np.unique(root[hit], return_index=True)
-        links += [(x, int(y)) for y in hit[one]]
-        root[np.isin(root, root[hit])] = root[x]
+    links, rest = [], np.arange(len(codes))
+    while len(rest) > 1:
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = np.bitwise_count(codes[rest] ^ codes[x]).sum(axis=1, dtype=np.int64) <= limit
+            near &= is_index[rest] if is_probe[x] and not is_index[x] else is_probe[rest] if not is_probe[x] else is_index[rest] | is_probe[rest]
+            hit = rest[near]
+            links += [(x, int(y)) for y in hit]
+            front += hit.tolist()
+            rest = rest[~near]
     return links
 
 
 def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
-    """Links (a, b) between codes of rows that share (part, value).
+    """Links (a, b) between codes of rows that share (part, value, salt).
 
-    ``rows``: part int, value long, role int (1: probe, 2: index, 3: both), fp0
-    (and fp1). In part -1 all members of a group are linked without a check.
+    ``rows``: part int, value long, salt int, role int (1: probe, 2: index, 3:
+    both), fp0 (and fp1); only rows of one salt meet. In part -1 all members of a group are linked without a check.
     """
     names = ["fp0", "fp1"][:words]
-    rows = rows.select("part", "value", "role", *names).repartition("part", "value").sortWithinPartitions("part", "value", *names)
+    rows = rows.select("part", "value", "salt", "role", *names).repartition("part", "value", "salt").sortWithinPartitions("part", "value", "salt", *names)
     out_names = [f"{s}{k}" for s in "ab" for k in range(words)]
 
     def groups(batches):
         held = None
         for batch in batches:
-            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3 + words)])
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4 + words)])
             x = x if held is None else np.concatenate([held, x])
-            cut = np.flatnonzero((x[1:, :2] != x[:-1, :2]).any(axis=1)) + 1
+            cut = np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1
             if len(cut):
                 yield x[: cut[-1]], np.concatenate([[0], cut])
                 x = x[cut[-1] :]
@@ -228,7 +224,7 @@ def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
             head = cuts[:-1][group]
             at = np.flatnonzero(free & (head != np.arange(len(x))))
             found = [np.column_stack([head[at], at])]
-            codes, role = np.ascontiguousarray(x[:, 3:]).view(np.uint64), x[:, 2]
+            codes, role = np.ascontiguousarray(x[:, 4:]).view(np.uint64), x[:, 3]
             for step in range(1, min(FEW, int(size.max()))):
                 i = np.flatnonzero((group[step:] == group[:-step]) & small[step:] & ~free[step:])
                 j = i + step
@@ -242,8 +238,8 @@ def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
                     links = spanning_links(codes[s : s + n], (role[s : s + n] & 1) > 0, (role[s : s + n] & 2) > 0, limit)
                     found.append(np.array(links, dtype=np.int64).reshape(-1, 2) + s)
             a, b = np.concatenate(found).astype(np.int64).T
-            pairs = np.concatenate([x[a, 3:], x[b, 3:]], axis=1)
-            pairs = np.unique(pairs[(x[a, 3:] != x[b, 3:]).any(axis=1)], axis=0)
+            pairs = np.concatenate([x[a, 4:], x[b, 4:]], axis=1)
+            pairs = np.unique(pairs[(x[a, 4:] != x[b, 4:]).any(axis=1)], axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(2 * words)], names=out_names)
 
@@ -307,8 +303,12 @@ def pigeonhole_links(codes: DataFrame, tau: int = 2) -> DataFrame:
     def out(part, value, fp):
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(value, pa.int64()), pa.array(fp, pa.int64())], names=["part", "value", "fp0"])
 
-    asked = counted.mapInArrow(probes, "part int, value long, fp0 long").withColumn("role", F.lit(1))
-    return link_groups(index.withColumn("role", F.lit(2)).unionByName(asked), 1, tau)
+    asked = counted.mapInArrow(probes, "part int, value long, fp0 long").withColumn("role", F.lit(1)).hint("merge")
+    # A value that more than HELD codes share is dealt over salts; probes of it go to each salt.
+    hot = held.where(F.col("held") > HELD).select("part", "value", F.ceil(F.col("held") / HELD).cast("int").alias("salts"))
+    stored_rows = index.join(hot, ["part", "value"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("fp0"), F.col("salts")).cast("int"), F.lit(0)))
+    sent_rows = asked.join(hot, ["part", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
+    return link_groups(stored_rows.withColumn("role", F.lit(2)).drop("salts").unionByName(sent_rows.drop("salts")), 1, tau)
 
 
 def near_duplicate_components(docs: DataFrame, words: int = 3, tau: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,7 +362,7 @@ def similar_links(codes: DataFrame, similarity: float = 0.8) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c) * len(masks), k), pa.int32()), pa.array((value[:, None] ^ masks[None, :]).ravel(), pa.int64()), *(pa.array(np.repeat(c[:, j], len(masks)), pa.int64()) for j in range(2))], names=["part", "value", "fp0", "fp1"])
 
     rows = codes.mapInArrow(run, "part int, value long, fp0 long, fp1 long")
-    return link_groups(rows.withColumn("role", F.lit(3)), 2, limit)
+    return link_groups(rows.withColumn("role", F.lit(3)).withColumn("salt", F.lit(0)), 2, limit)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
