@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tollgate.operators import congestion, derive, frames, network, validate
+from tollgate.operators.ranking import numbered
 from tollgate.plans import api, report, sweep
 from tollgate.plans.catalogue import small_network, toy
 from tollgate.__main__ import main
@@ -185,6 +186,13 @@ def test_od_set(spark):
     assert doc["demand_level"] == "vc1.0" and len(doc["requests"]) == 50 and doc["requests"][3]["id"] == "od-0003"
 
 
+def test_numbers_follow_the_order(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1009).alias("k"), (F.col("id") % 3 + 1).alias("w"))
+    rows = sorted(map(tuple, numbered(numbered(df, "n", "k"), "s", "k", weight="w").select("k", "n", "w", "s").collect()))
+    assert [r[1] for r in rows] == list(range(1000)) and all(b[3] == a[3] + a[2] for a, b in zip(rows, rows[1:])) and rows[0][3] == 0
+    assert numbered(df.limit(0), "n", "k").count() == 0
+
+
 def test_od_text(spark, tmp_path):
     rows = [("a", 41.1, -8.6, 41.2, -8.5, 0.0, 1.5), ("b", 0.1 + 0.2, 1e-7, 1.0, 2.0, 3600.0, 1 / 3)]
     df = spark.createDataFrame(rows, odset.SCHEMA)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, osm
 from ..functions.segment import format_segment_id
+from .ranking import numbered
 
 
 def derive_edges(ways: DataFrame, tags: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def derive_edges(ways: DataFrame, tags: DataFrame) -> DataFrame:
     own = F.when(forward, tag("lanes:forward")).otherwise(tag("lanes:backward"))
     e = e.withColumn("lanes_effective", osm.effective_lanes(own, tag("lanes"), F.col("one_way"), F.col("cls")))
     e = e.withColumn("maxspeed_kmh", F.coalesce(osm.speed_kmh(tag("maxspeed")), osm.of_class(osm.SPEED_KMH, F.col("cls"))))
-    # Numbers by way first, then each way's offset: the one ordered window is over ways, not edges.
+    # Numbers within a way, and where each way begins.
     e = e.withColumn("in_way", F.row_number().over(Window.partitionBy("osm_id").orderBy("gid", "dir")))
-    sizes = e.groupBy("osm_id").agg(F.count(F.lit(1)).alias("k")).withColumn("offset", F.sum("k").over(Window.orderBy("osm_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
+    sizes = numbered(e.groupBy("osm_id").agg(F.count(F.lit(1)).alias("k")), "offset", "osm_id", weight="k")
     e = e.join(sizes.select("osm_id", "offset"), "osm_id")
     return e.select(
         format_segment_id(F.col("osm_id"), F.col("seq"), F.col("dir")).alias("segment_id"),

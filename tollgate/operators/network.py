@@ -6,12 +6,13 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..session import cut
 from .kernels import Csr
+from .ranking import numbered
 
 #: Edges that a broadcast graph may have; about 60 bytes each.
 MAX_EDGES = 5_000_000
@@ -155,6 +156,6 @@ def match_pings(pings: DataFrame, network: Network, cell_deg: float = 0.01, radi
 def compact(edges: DataFrame) -> DataFrame:
     """Edges whose sparse node refs become dense ids, in ascending order of the refs."""
     refs = edges.select(F.col("source_node").alias("ref")).union(edges.select("target_node")).distinct()
-    ids = refs.select("ref", (F.row_number().over(Window.orderBy("ref")) - 1).alias("node_id"))
+    ids = numbered(refs, "node_id", "ref").select("ref", "node_id")
     a, b = ids.toDF("source_node", "src"), ids.toDF("target_node", "dst")
     return edges.join(a, "source_node").join(b, "target_node")

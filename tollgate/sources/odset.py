@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.demand import hash_uniform
 from ..operators.network import Network, reachable_pairs
+from ..operators.ranking import numbered
 
 SCHEMA = "id string, from_lat double, from_lon double, to_lat double, to_lon double, depart_at double, weight double"
 
@@ -21,10 +22,7 @@ def synthesize(network: Network, count: int, total_vph: float, seed: int) -> Dat
     pool = reachable_pairs(network.edges)
     n = pool.count()
     count = max(0, count) if n else 0
-    # Numbers by origin first; the ordered window is over origins only.
-    pool = pool.withColumn("at", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
-    by = pool.groupBy("src").agg(F.count(F.lit(1)).alias("k")).withColumn("offset", F.sum("k").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
-    pool = pool.join(by, "src").select((F.col("offset") + F.col("at") - 1).alias("pick"), "src", "dst")
+    pool = numbered(pool, "pick", "src", "dst")
     draws = spark.range(count).withColumnRenamed("id", "idx").withColumn("pick", F.floor(hash_uniform(seed, F.col("idx")) * n))
     return draws.join(pool, "pick").select("idx", F.format_string("od-%04d", F.col("idx")).alias("id"), "src", "dst", F.lit(total_vph / count if count else 0.0).alias("weight"))
 
