@@ -233,6 +233,12 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, model).count() == 20
 
 
+def test_samples_are_bounded_by_characters(spark):
+    docs = docs_of(spark, ["x" * 10] * 50 + [None])
+    assert toxicity.within_chars(docs, 105).where("text is not null").count() == 10
+    assert toxicity.within_chars(docs, 10_000).count() == 51
+
+
 def test_whole_text_is_scored(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)

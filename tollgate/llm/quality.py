@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, table, with_columns
-from .toxicity import is_held_out, labelled_sample, sigmoid
+from .toxicity import is_held_out, labelled_sample, sigmoid, within_chars
 
 #: Labelled documents of either label and unlabelled ones that are gathered for fitting, at most.
 LABELLED, POOL = (2000, 4000), 4000
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: tuple[int, int] = LABELLED
             text = [text_features(r[0]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array([t[0] for t in text], pa.list_(pa.int32())), pa.array([t[1] for t in text], pa.list_(pa.float32())), pa.array([meta_features(*r) for r in rows], pa.list_(pa.int32()))], names=["doc_id", "y", "ids", "x", "meta"])
 
-    got = mine.union(other).mapInArrow(run, "doc_id long, y int, ids array<int>, x array<float>, meta array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    got = within_chars(mine).union(within_chars(other)).mapInArrow(run, "doc_id long, y int, ids array<int>, x array<float>, meta array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = got["y"].to_numpy().astype(float)
     known = y >= 0
     kept = known & np.array([crc32(b"kept" + str(i).encode()) % 5 == 0 for i in got["doc_id"].to_pylist()], dtype=bool)

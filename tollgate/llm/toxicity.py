@@ -15,14 +15,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, table, with_columns
 
-#: Labelled documents of either label that a model is fitted on, at most, and windows scored at once.
-SAMPLE_TOXIC, SAMPLE_OTHER, WINDOWS = 1500, 3000, 1 << 16
+#: Labelled documents of either label that a model is fitted on, and their characters together, at most.
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 3000, 48_000_000
+#: Windows scored at once.
+WINDOWS = 1 << 16
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 #: A word's vector is the mean of those of its hashes: the word and its beginnings of so many characters.
 PREFIXES = (3, 4, 5, 6, 7)
@@ -197,9 +199,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limits: tupl
     return docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").dropDuplicates(["doc_id"])
 
 
+def within_chars(sample: DataFrame, limit: int = SAMPLE_CHARS) -> DataFrame:
+    """The documents of a bounded sample, whole, until their texts have ``limit`` characters together."""
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return sample.withColumn("chars_so_far", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order)).where(F.col("chars_so_far") <= limit).drop("chars_so_far")
+
+
 def fit(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (SAMPLE_OTHER, SAMPLE_TOXIC)) -> Model:
     """Fit on a bounded sample of labelled documents, calibrate on a fifth of it."""
-    rows = labelled_sample(docs.select("doc_id", "text", "lang"), labels, "toxic", limits).select("doc_id", "text", "lang", "y").toArrow().sort_by("doc_id")
+    rows = within_chars(labelled_sample(docs.select("doc_id", "text", "lang"), labels, "toxic", limits)).select("doc_id", "text", "lang", "y").toArrow().sort_by("doc_id")
     texts, langs, y = [words(t) for t in rows["text"].to_pylist()], rows["lang"].to_pylist(), rows["y"].to_numpy().astype(np.int64)
     part = np.array([crc32(b"part" + str(i).encode()) % 5 == 0 for i in rows["doc_id"].to_pylist()], dtype=bool)
     known = {w: k for k, w in enumerate(set().union(*texts))}
