@@ -171,6 +171,29 @@ def test_near_copies_go_and_others_stay(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 5]
 
 
+def pairs_at(low, high, n, words=60):
+    """Texts two by two whose sets of 5-word shingles have a Jaccard similarity from ``low`` to below ``high``."""
+    r, out = random.Random(int(low * 1000)), []
+    while len(out) < 2 * n:
+        a = words_of(r.random(), words * r.randint(1, 6)).split()
+        b = list(a)
+        for _ in range(r.randint(1, max(1, len(a) // 20))):
+            b[r.randrange(len(b))] = f"new{r.random()}"
+        x, y = (set(simhash.shingles(" ".join(t), 5)) for t in (a, b))
+        if low <= len(x & y) / len(x | y) < high:
+            out += [" ".join(a), " ".join(b)]
+    return out
+
+
+def test_candidate_links_of_similar_texts(spark):
+    """By a rule that doesn't look at the number of texts."""
+    assert not hasattr(simhash, "widen")
+    texts = pairs_at(0.9, 1, 30)
+    codes = [tuple(simhash.as_longs([simhash.hashed_set(t, 5)[1]])[0].tolist()) for t in texts]
+    found = {frozenset(((r[0], r[1]), (r[2], r[3]))) for r in simhash.similar_links(docs_of(spark, texts)).collect()}
+    assert all(frozenset(p) in found for p in zip(codes[::2], codes[1::2]) if p[0] != p[1])
+
+
 def test_near_duplicates_awkward(spark, awkward, empty, tmp_path):
     awkward.write.parquet(str(tmp_path / "a"))
     kept = simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "a")))

@@ -200,7 +200,7 @@ def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
     both), fp0 (and fp1); only rows of one salt meet. In part -1 all members of a group are linked without a check.
     """
     names = ["fp0", "fp1"][:words]
-    rows = rows.select("part", "value", "salt", "role", *names).repartition("part", "value", "salt").sortWithinPartitions("part", "value", "salt", *names)
+    rows = rows.select("part", "value", "salt", "role", *names).repartition("part", "value", "salt").sortWithinPartitions("part", "value", "salt", *names, "role")
     out_names = [f"{s}{k}" for s in "ab" for k in range(words)]
 
     def groups(batches):
@@ -208,6 +208,7 @@ def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
         for batch in batches:
             x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4 + words)])
             x = x if held is None else np.concatenate([held, x])
+            x = x[np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])[: len(x)]]
             cut = np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1
             if len(cut):
                 yield x[: cut[-1]], np.concatenate([[0], cut])
@@ -329,40 +330,91 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, tau: int = 2, id_
 
 # --- near copies at a similarity ----------------------------------------------
 
+#: Buckets of the sketch that counts shingles, and counts in one row of it.
+SKETCH, CHUNK = 1 << 20, 1 << 12
 
-def widen(n: int) -> int:
-    """Partitions of a 128-bit code for ``n`` codes: wide enough that few codes share a value by chance."""
-    return max(2, min(6, 128 // max(21, n.bit_length() + 3)))
 
+def hashed_set(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
+    """The sorted 64-bit hashes of the distinct shingles, and the set's 128-bit fingerprint."""
+    grams = list(dict.fromkeys(shingles(text, words)))
+    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(g, SEED) for g in grams]), dtype=np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, dtype=np.int64)
+    for at in range(0, len(raw), 4096):
+        ones += np.unpackbits(raw[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    return np.unique(np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64)), np.packbits(2 * ones > len(raw)).tobytes()
 
-def similar_links(codes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (a0, a1, b0, b1) between distinct 128-bit codes that estimate a Jaccard
-    similarity of at least ``similarity``.
 
-    Each code stands under the values within 1 bit of its own in each
-    partition, so two codes meet wherever a partition differs in 2 bits or
-    fewer: by the pigeonhole principle always if they differ in 3m - 1 bits
-    or fewer, with m partitions, and often beyond that.
+def as_longs(raw: list[bytes]) -> np.ndarray:
+    """Rows of two longs from strings of 16 bytes."""
+    return np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+
+
+def prefix_size(n, similarity: float):
+    """So many of the ``n`` shingles, the first in any order common to all sets, hold one
+    of every set at ``similarity``: the pigeonhole principle for sets."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + (n > 0)
+
+
+def shingle_sketch(texts: DataFrame, words: int) -> np.ndarray:
+    """How many rows of ``texts.text`` hold a shingle of each bucket."""
+
+    def run(batches):
+        total = np.zeros(SKETCH, dtype=np.int64)
+        for batch in slices(batches):
+            toks = np.concatenate([hashed_set(t, words)[0] for t in batch.column("text").to_pylist()])
+            total += np.bincount((toks % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH // CHUNK), pa.int32()), pa.array([c.tobytes() for c in total.reshape(-1, CHUNK)], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    out = np.zeros((SKETCH // CHUNK, CHUNK), dtype=np.int64)
+    for r in texts.select("text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect():
+        out[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    return out.ravel()
+
+
+def similar_links(texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Links (a0, a1, b0, b1) between codes of ``texts.text`` whose sets may be as
+    similar as ``similarity``.
+
+    Two such sets share a shingle among the first few of each (``prefix_size``),
+    rare ones first, so that a passage that many texts hold is asked for only
+    where little else is. What meets there is linked within a bit distance
+    one standard deviation over that expected at the similarity. Neither
+    rule depends on the number of texts.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    # The expected distance at that similarity, and a standard deviation more.
     limit = int(128 * share + (128 * share * (1 - share)) ** 0.5 + 0.5)
-    codes = codes.select("fp0", "fp1").distinct()
-    parts = widen(codes.count())
-    bounds = np.linspace(0, 128, parts + 1).astype(int)
+    sent = texts.sparkSession.sparkContext.broadcast(shingle_sketch(texts, words))
+    held = HELD
 
     def run(batches):
-        for batch in batches:
-            c = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)])
-            bits = np.concatenate([unpack(c[:, 0]), unpack(c[:, 1])], axis=1)
-            for k in range(parts):
-                width = int(bounds[k + 1] - bounds[k])
-                masks = np.concatenate([[0], flips(width, 1)])
-                value = part_value(bits, list(range(bounds[k], bounds[k + 1])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c) * len(masks), k), pa.int32()), pa.array((value[:, None] ^ masks[None, :]).ravel(), pa.int64()), *(pa.array(np.repeat(c[:, j], len(masks)), pa.int64()) for j in range(2))], names=["part", "value", "fp0", "fp1"])
-
-    rows = codes.mapInArrow(run, "part int, value long, fp0 long, fp1 long")
-    return link_groups(rows.withColumn("role", F.lit(3)).withColumn("salt", F.lit(0)), 2, limit)
+        counts = sent.value
+        for batch in slices(batches):
+            made = [hashed_set(t, words) for t in batch.column("text").to_pylist()]
+            size = np.array([len(t) for t, _ in made], dtype=np.int64)
+            toks, codes = np.concatenate([t for t, _ in made]), as_longs([c for _, c in made])
+            doc, often = np.repeat(np.arange(len(made)), size), counts[(toks % np.uint64(SKETCH)).astype(np.int64)]
+            order = np.lexsort((toks, often, doc))
+            order = order[np.arange(len(toks)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(prefix_size(size, similarity), size)]
+            doc, value, salts = doc[order], toks[order].view(np.int64), -(-often[order] // held)
+            # What over HELD texts may share is dealt over salts; probes of it go to each salt.
+            hot = np.flatnonzero(salts > 1)
+            each = np.repeat(hot, salts[hot])
+            rows = np.concatenate([np.arange(len(doc)), each])
+            dealt = np.where(salts > 1, (codes[doc, 0] ^ codes[doc, 1]) % salts, 0)
+            asked = np.arange(len(each)) - np.repeat(np.cumsum(salts[hot]) - salts[hot], salts[hot])
+            role = np.concatenate([np.where(salts > 1, 2, 3), np.ones(len(each), dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows)), pa.int32()), pa.array(value[rows]), pa.array(np.concatenate([dealt, asked]), pa.int32()), pa.array(role, pa.int32()), *(pa.array(codes[doc[rows], k]) for k in range(2))], names=["part", "value", "salt", "role", "fp0", "fp1"])
+
+    rows = texts.select("text").mapInArrow(run, "part int, value long, salt int, role int, fp0 long, fp1 long")
+    return link_groups(rows, 2, limit)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,9 +427,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     their place in it.
     """
     placed = docs.withColumn("row_place", F.monotonically_increasing_id())
-    marked = checkpointed(fingerprints(placed.select("row_place", F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, 128))
+    texts = placed.select("row_place", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = checkpointed(set_keys(texts, words))
     classes = checkpointed(marked.groupBy("fp0", "fp1").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_place")).alias("first")))
-    links = similar_links(classes, similarity)
+    links = similar_links(texts, similarity, words)
     name = lambda s: F.concat_ws(":", F.col(f"{s}0").cast("string"), F.col(f"{s}1").cast("string"))
     roots = components(links.select(name("a").alias("a"), name("b").alias("b")))
     named = classes.withColumn("name", name("fp"))
@@ -386,6 +439,20 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     return placed.join(kept.hint("shuffle_hash"), "row_place", "left_semi").drop("row_place")
 
 
+def set_keys(texts: DataFrame, words: int) -> DataFrame:
+    """row_place and id of ``texts``, a 128-bit key of the shingle set (s0, s1) and its fingerprint (fp0, fp1)."""
+
+    def run(batches):
+        for batch in slices(batches):
+            made = [hashed_set(t, words) for t in batch.column("text").to_pylist()]
+            both = np.hstack([as_longs([xxhash.xxh3_128_digest(t.tobytes(), SEED) for t, _ in made]), as_longs([c for _, c in made])])
+            rest = batch.select(["row_place", "id"])
+            yield with_columns(rest, ["s0", "s1", "fp0", "fp1"], [pa.array(both[:, k]) for k in range(4)])
+
+    schema = T.StructType([*(f for f in texts.schema.fields if f.name != "text"), *(T.StructField(n, T.LongType()) for n in ("s0", "s1", "fp0", "fp1"))])
+    return texts.mapInArrow(run, schema)
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
