@@ -194,6 +194,38 @@ def test_candidate_links_of_similar_texts(spark):
     assert all(frozenset(p) in found for p in zip(codes[::2], codes[1::2]) if p[0] != p[1])
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
+def test_near_copies_are_those_at_the_similarity(spark, monkeypatch, tmp_path, block):
+    """Every pair from 0.8 on loses one side, none below does; also where components are compared by blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    near, far = pairs_at(0.8, 0.84, 40), pairs_at(0.7, 0.8, 40)
+    docs_of(spark, near + far).write.parquet(str(tmp_path / "d"))
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert kept == [*range(0, 80, 2), *range(80, 160)]
+
+
+def test_links_between_sets_connect_what_brute_force_connects():
+    r, sets = random.Random(3), []
+    for _ in range(30):
+        base = {r.randrange(10**6) for _ in range(r.randint(1, 40))}
+        sets += [base ^ {r.randrange(10**6) for _ in range(r.randint(0, 5))} for _ in range(5)]
+    want, got = ({k: k for k in range(len(sets))} for _ in range(2))
+
+    def join(of, a, b):
+        old, new = of[a], of[b]
+        of.update({k: new for k, v in of.items() if v == old})
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                join(want, a, b)
+    links = simhash.similar_sets([np.array(sorted(x), dtype=np.uint64) for x in sets], 0.8)
+    for a, b in links:
+        join(got, a, b)
+    assert len(links) == len(sets) - len(set(want.values()))
+    assert len({(want[k], got[k]) for k in want}) == len(set(want.values())) == len(set(got.values()))
+
+
 def test_near_duplicates_awkward(spark, awkward, empty, tmp_path):
     awkward.write.parquet(str(tmp_path / "a"))
     kept = simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "a")))

@@ -21,6 +21,7 @@ that span its components, never all its pairs.
 from __future__ import annotations
 
 import itertools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -332,6 +333,8 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, tau: int = 2, id_
 
 #: Buckets of the sketch that counts shingles, and counts in one row of it.
 SKETCH, CHUNK = 1 << 20, 1 << 12
+#: Sets of one coarse component that are compared in one group, at most.
+BLOCK = 1 << 12
 
 
 def hashed_set(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
@@ -386,11 +389,11 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, words: int = 5) ->
     Two such sets share a shingle among the first few of each (``prefix_size``),
     rare ones first, so that a passage that many texts hold is asked for only
     where little else is. What meets there is linked within a bit distance
-    one standard deviation over that expected at the similarity. Neither
+    five standard deviations over that expected at the similarity. Neither
     rule depends on the number of texts.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    limit = int(128 * share + (128 * share * (1 - share)) ** 0.5 + 0.5)
+    limit = int(128 * share + 5 * (128 * share * (1 - share)) ** 0.5 + 0.5)
     sent = texts.sparkSession.sparkContext.broadcast(shingle_sketch(texts, words))
     held = HELD
 
@@ -417,11 +420,69 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, words: int = 5) ->
     return link_groups(rows, 2, limit)
 
 
+def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of at least ``similarity``, compared exactly, that connect what all such pairs connect."""
+    size = np.array([len(s) for s in sets])
+    toks, seen, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    cuts = np.cumsum(size)[:-1]
+    stand, comp, links = {}, np.arange(len(sets)), []
+    ranked = [s[np.lexsort((s, often[s]))] for s in np.split(seen, cuts)]
+    for x in np.argsort(size, kind="stable"):
+        keys = ranked[x][: int(prefix_size(size[x : x + 1], similarity)[0])].tolist()
+        met = [np.frombuffer(stand[k], dtype=np.int64) for k in keys if k in stand]
+        shared = np.bincount(np.concatenate(met), minlength=len(sets)) if met else np.zeros(0)
+        del met
+        near = np.flatnonzero(shared)
+        near = near[size[near] >= similarity * size[x] - 1e-9]
+        near = near[np.argsort(-shared[near], kind="stable")]
+        while len(near):
+            y, near = near[0], near[1:]
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both >= similarity * (size[x] + size[y] - both) - 1e-9:
+                links.append((int(x), int(y)))
+                comp[comp == comp[y]] = comp[x]
+                near = near[comp[near] != comp[x]]
+        for k in keys:
+            if often[k] > 1:
+                stand.setdefault(k, array("q")).append(x)
+    return links
+
+
+def verified_links(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (a, b) between ``texts.row_place`` of one ``root`` whose shingle sets are
+    as similar as ``similarity``; sets of one (root, low, high) are compared."""
+
+    def groups(batches):
+        key, place, sets = None, [], []
+        for batch in slices(batches):
+            for *k, p, text in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "row_place", "text"))):
+                if k != key and place:
+                    yield place, sets
+                    place, sets = [], []
+                key = k
+                place.append(p)
+                sets.append(hashed_set(text, words)[0])
+        if place:
+            yield place, sets
+
+    def run(batches):
+        for place, sets in groups(batches):
+            links = similar_sets(sets, similarity)
+            if links:
+                a, b = np.array(place)[np.array(links).T]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    keys = ["root", "low", "high"]
+    return texts.select(*keys, "row_place", "text").repartition(*keys).sortWithinPartitions(*keys, "row_place").mapInArrow(run, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest id.
 
-    A group is what links of ``similarity`` connect, as 128-bit fingerprints of
-    ``words``-word shingles estimate it. All documents without words are copies
+    A group is what pairs connect whose sets of ``words``-word shingles have a
+    Jaccard similarity of at least ``similarity``. Candidates by shared rare
+    shingles and 128-bit fingerprints make coarse components; within these
+    the sets themselves are compared. All documents without words are copies
     of each other. Of repeated rows the first stays; a null id sorts last.
     ``docs`` has to be a stable scan, such as files: rows are told apart by
     their place in it.
@@ -429,13 +490,18 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     placed = docs.withColumn("row_place", F.monotonically_increasing_id())
     texts = placed.select("row_place", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = checkpointed(set_keys(texts, words))
-    classes = checkpointed(marked.groupBy("fp0", "fp1").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_place")).alias("first")))
-    links = similar_links(texts, similarity, words)
+    classes = checkpointed(marked.groupBy("s0", "s1").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_place")).alias("first"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1")).withColumn("row_place", F.col("first.row_place")))
     name = lambda s: F.concat_ws(":", F.col(f"{s}0").cast("string"), F.col(f"{s}1").cast("string"))
-    roots = components(links.select(name("a").alias("a"), name("b").alias("b")))
-    named = classes.withColumn("name", name("fp"))
-    rooted = named.join(roots, named["name"] == roots["node"], "left").withColumn("root", F.coalesce("root", "name"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_place").alias("row_place"))
+    coarse = components(similar_links(texts, similarity, words).select(name("a").alias("a"), name("b").alias("b")))
+    named = classes.select("row_place", name("fp").alias("name"))
+    rooted = checkpointed(named.join(coarse, named["name"] == coarse["node"], "left").select("row_place", F.coalesce("root", "name").alias("root")))
+    # A coarse component of over BLOCK sets is compared by pairs of blocks.
+    blocks = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    asked = rooted.join(blocks, "root").withColumn("mine", F.pmod(F.xxhash64("row_place"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = asked.select("row_place", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    roots = components(verified_links(texts.join(asked, "row_place"), similarity, words))
+    final = classes.join(roots, classes["row_place"] == roots["node"], "left").withColumn("root", F.coalesce("root", "row_place"))
+    kept = final.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_place").alias("row_place"))
     return placed.join(kept.hint("shuffle_hash"), "row_place", "left_semi").drop("row_place")
 
 
