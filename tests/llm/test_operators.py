@@ -417,6 +417,22 @@ def test_field_keeps_base_and_finds_repetitions(spark, awkward, empty):
     assert [r["text"] for r in masked][0].startswith("call [PHONE] now or write to [EMAIL]") and masked[3]["text"] is None and masked[4]["text"] == ""
 
 
+def test_repeats_share_a_hub():
+    """One plain occurrence reaches its 50th repeat as it reaches the first, and beliefs are exact."""
+    field = pii.Field(np.zeros((len(pii.NAMES), 5)), np.zeros((5, 5)), np.eye(5) * 3)
+    lat = pii.lattice("ab12345 " + "x y ab12345 " * 50)
+    at = [i for i, f in enumerate(lat.features) if pii.NAMES.index("d5") in f]
+    lat.features[0] = lat.features[0] + [pii.NAMES.index("mail")]
+    field.node[pii.NAMES.index("mail"), 1] = 4.0
+    got = field.marginals(lat)[at]
+    up = np.log(np.exp(field.unary(lat)[at][:, None, :] + field.skip[None]).sum(axis=2))
+    hub = np.exp(up.sum(axis=0)[None] - up - (up.sum(axis=0)[None] - up).max(axis=1, keepdims=True))
+    exact = np.exp(field.unary(lat)[at]) * (hub @ np.exp(field.skip))
+    assert len(at) == 51 and len(lat.skip) == 51
+    assert got == pytest.approx(exact / exact.sum(axis=1, keepdims=True), abs=1e-3)
+    assert got[-1] == pytest.approx(got[1], abs=1e-3) and got[-1].argmax() == 1
+
+
 def test_skip_links_carry_labels():
     """A token that its features leave open takes the label of its repetition."""
     field = pii.Field(np.zeros((len(pii.NAMES), 5)), np.zeros((5, 5)), np.eye(5) * 3)

@@ -2,8 +2,8 @@
 
 The patterns give base spans. The field sees the tokens that could be personal
 data and their neighbours: a token's own features, links between neighbouring
-tokens, and skip links between distant tokens that are equal or hold the same
-digits. It is trained on the base spans by pseudo-likelihood and decoded by
+tokens, and skip links that join all tokens that are equal or hold the same
+digits with one hub, however many they are. It is trained on the base spans by pseudo-likelihood and decoded by
 loopy sum-product messages, so that an entity that is plain in one place labels
 its repetitions where the pattern alone doesn't hold. Runs of tokens that
 the field labels, at least one with confidence, and that touch no base span become further spans.
@@ -11,6 +11,7 @@ the field labels, at least one with confidence, and that touch no base span beco
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -26,7 +27,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents with base spans that the field is fitted on, at most, and the
 #: probability from which a token is labelled.
-SAMPLE_DOCS, CONFIDENCE, ROUNDS = 1500, 0.95, 8
+SAMPLE_DOCS, CONFIDENCE = 1500, 0.95
+#: Messages have settled when none moves by more; rounds after which steps shrink.
+SETTLED, SWINGS = 1e-4, 200
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -86,12 +89,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Lattice:
-    """Nodes of a document: spans, features, and links (chain first, then skip)."""
+    """Nodes of a document: spans, features, and links (chain first, then skip).
+
+    After the spans' nodes come ``hubs`` nodes without features, one for each
+    key that repeats; skip links join its occurrences with it.
+    """
 
     spans: list[tuple[int, int]]
     features: list[list[int]]
     chain: np.ndarray
     skip: np.ndarray
+    hubs: int = 0
 
 
 _STRIP = ".,;:!?()[]{}<>\"'|"
@@ -135,17 +143,18 @@ def lattice(text: str) -> Lattice | None:
     nodes = sorted({j for k in hot for j in (k - 1, k, k + 1) if 0 <= j < len(tokens)})
     place = {k: i for i, k in enumerate(nodes)}
     chain = [(i, i + 1) for i, k in enumerate(nodes[:-1]) if nodes[i + 1] == k + 1]
-    skip, seen = [], {}
+    seen = {}
     for k in hot:
         core, digits = tokens[k].strip(_STRIP).lower(), _NOT_DIGIT.sub("", tokens[k])
         for key in {("t", core)} | ({("d", digits)} if len(digits) >= 6 else set()):
             if len(key[1]) < 4:
                 continue
-            if key in seen and seen[key] != place[k]:
-                skip.append((seen[key], place[k]))
-            seen[key] = place[k]
+            seen.setdefault(key, []).append(place[k])
+    # Keys that the same tokens share have one hub.
+    repeats = sorted({tuple(at) for at in seen.values() if len(at) > 1})
+    skip = [(i, len(nodes) + h) for h, at in enumerate(repeats) for i in at]
     pairs = lambda x: np.array(sorted(set(x)), dtype=np.int64).reshape(-1, 2)
-    return Lattice([spans[k] for k in nodes], [token_features(tokens, k) for k in nodes], pairs(chain), pairs(skip))
+    return Lattice([spans[k] for k in nodes], [token_features(tokens, k) for k in nodes], pairs(chain), pairs(skip), len(repeats))
 
 
 def gold(lat: Lattice, base: list[tuple[int, int, int]]) -> np.ndarray:
@@ -159,6 +168,14 @@ def gold(lat: Lattice, base: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
+def hub_labels(lat: Lattice, labels: np.ndarray) -> np.ndarray:
+    """Of each hub the label that most of its occurrences have, a kind before none where as many."""
+    votes = np.zeros((lat.hubs, 5))
+    np.add.at(votes, (lat.skip[:, 1] - len(lat.spans), labels[lat.skip[:, 0]]), 1.0)
+    votes[:, 1:] += 0.5
+    return votes.argmax(axis=1)
+
+
 @dataclass
 class Field:
     node: np.ndarray
@@ -166,10 +183,14 @@ class Field:
     skip: np.ndarray
 
     def unary(self, lat: Lattice) -> np.ndarray:
-        return np.array([self.node[f].sum(axis=0) for f in lat.features])
+        return np.array([self.node[f].sum(axis=0) for f in lat.features] + [np.zeros(5)] * lat.hubs)
+
+    def marginals(self, lat: Lattice) -> np.ndarray:
+        """Beliefs of the spans' nodes once damped messages over all links have settled.
 
-    def marginals(self, lat: Lattice, rounds: int = ROUNDS) -> np.ndarray:
-        """Beliefs after ``rounds`` of damped messages over all links."""
+        Where they don't settle by themselves they are damped further, by steps
+        that shrink until no message moves.
+        """
         u = self.unary(lat)
         links = np.concatenate([lat.chain, lat.skip])
         if not len(links):
@@ -180,17 +201,22 @@ class Field:
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
         m = np.zeros((len(src), 5))
-        for _ in range(rounds):
+        step = 0.5
+        for k in itertools.count(1):
             total = u.copy()
             np.add.at(total, dst, m)
             x = (total[src] - m[back])[:, :, None] + pot
             top = x.max(axis=1, keepdims=True)
             new = (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0, :]
-            m = 0.5 * m + 0.5 * (new - new.max(axis=1, keepdims=True))
+            change = step * (new - new.max(axis=1, keepdims=True) - m)
+            m += change
+            if np.abs(change).max() < SETTLED:
+                break
+            step *= 0.9 if k > SWINGS else 1.0
         total = u.copy()
         np.add.at(total, dst, m)
         e = np.exp(total - total.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+        return (e / e.sum(axis=1, keepdims=True))[: len(lat.spans)]
 
 
 def train(lattices: list[Lattice], labels: list[np.ndarray], steps: int = 200, rate: float = 0.5, decay: float = 0.5) -> Field:
@@ -199,10 +225,10 @@ def train(lattices: list[Lattice], labels: list[np.ndarray], steps: int = 200, r
     if not lattices:
         field.node[_PLACE["bias"], 0] = 10.0
         return field
-    starts = np.concatenate([[0], np.cumsum([len(x.spans) for x in lattices])])
-    y = np.concatenate(labels)
+    starts = np.concatenate([[0], np.cumsum([len(x.spans) + x.hubs for x in lattices])])
+    y = np.concatenate([part for x, own in zip(lattices, labels) for part in (own, hub_labels(x, own))])
     n = len(y)
-    at = np.repeat(np.arange(n), [len(f) for x in lattices for f in x.features])
+    at = np.repeat(np.arange(n), [len(f) for x in lattices for f in x.features + [[]] * x.hubs])
     col = np.array([c for x in lattices for f in x.features for c in f])
     chain = np.concatenate([x.chain + s for x, s in zip(lattices, starts)])
     skip = np.concatenate([x.skip + s for x, s in zip(lattices, starts)])
