@@ -77,6 +77,15 @@ def test_large_hypergeometric_agrees_with_its_mean():
     assert abs(np.mean(got) - 750_000) < 200 and 300 < np.std(got) < 600
 
 
+def test_the_query_shards_whole_texts(spark, awkward, tmp_path):
+    awkward.write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.op1_sharding(spark, str(tmp_path))
+    dealt = next(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line)
+    assert "text#" in dealt and "size#" not in dealt
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, crc32((r["text"] or "").encode())) for r in awkward.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out.collect()) == want
+
+
 def test_sharding_awkward(awkward, empty):
     assert sharding.shuffle_into_shards(awkward, 3).count() == 8
     assert sharding.shuffle_into_shards(empty, 3).count() == 0

@@ -122,7 +122,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 20240229, bloc
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law ``rows``; null text counts as empty."""
-    docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    lean = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shuffle_into_shards(lean, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Derived from what the shards hold: whole texts are dealt and ordered.
+    size = (F.octet_length("text").cast("long") + 16).alias("size")
+    return shuffle_into_shards(docs, 40).select("doc_id", size, F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
