@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tollgate.llm import decontaminate, pieces, pii, quality, secrets, sharding, simhash, topk, toxicity, warc
-from tollgate.llm.common import shared_path
+from tollgate.llm.common import fitting_ids, names_in, shared_path
 from tollgate.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -297,10 +298,50 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, model).count() == 20
 
 
-def test_samples_are_bounded_by_characters(spark):
-    docs = docs_of(spark, ["x" * 10] * 50 + [None])
-    assert toxicity.within_chars(docs, 105).where("text is not null").count() == 10
-    assert toxicity.within_chars(docs, 10_000).count() == 51
+def test_samples_pass_over_what_does_not_fit(spark):
+    """One giant text costs no other its place, and no kind goes without."""
+    rows = [(i, 10, i % 2) for i in range(40)] + [(100 + i, 10**9, 0) for i in range(40)] + [(200, 10**9, 2), (201, 10**8, 2)]
+    keys = spark.createDataFrame(rows, "id long, chars long, kind int")
+    got = {r["id"] for r in fitting_ids(keys, {0: 100, 1: 15, 2: 5}, 10_000).collect()}
+    assert {i for i in range(0, 40, 2)} <= got and len([i for i in got if i < 40 and i % 2]) == 15
+    assert {i for i in got if i >= 100} == {201}
+    assert fitting_ids(keys.limit(0), {0: 1}, 10).count() == 0
+    tight = fitting_ids(keys.where("kind < 2 and chars < 100"), {0: 100, 1: 100}, 105)
+    assert tight.count() == 10 and {r["id"] % 2 for r in tight.collect()} == {0, 1}
+
+
+def test_one_giant_labelled_text_leaves_the_model_trained(spark):
+    docs, labels = labelled(spark, 200)
+    giant = docs_of(spark, [None]).withColumn("doc_id", F.lit(10_001).cast("long")).withColumn("text", F.repeat(F.lit("x "), 5000))
+    model = toxicity.fit(docs.union(giant), labels.union(spark.createDataFrame([(10_001, 1, 0)], labels.schema)), chars=60_000)
+    rows = toxicity.score(docs.join(labels, "doc_id"), model).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) if False else (r["score"] >= 0.5) == (labels_of(r) == 1) for r in rows]) > 0.9
+
+
+def test_scores_equal_the_convolution_written_out(spark):
+    """The scorer's tables of word responses against filters run over word vectors."""
+    docs, labels = labelled(spark, 120)
+    m = toxicity.fit(docs, labels)
+    for text in ["vilify alphaa betab", "x", "", None, "gammac " * 30 + "vilest"]:
+        ws = toxicity.words(text)
+        x = m.vectors(np.array([toxicity.hashes(w) for w in ws]))
+        z, _ = m.pooled(x)
+        want = toxicity.sigmoid(float(np.maximum(z, 0) @ m.out + m.out_bias))
+        assert toxicity.Scorer(m).scores([text])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_training_follows_the_gradient():
+    """After the first document each moved weight has moved against the numeric slope of its loss."""
+    r = np.random.default_rng(0)
+    doc, label = np.array([toxicity.hashes(b"w%d" % k) for k in range(6)]), np.array([1])
+    before = toxicity.train([], label)
+    rng = np.random.default_rng(7)
+    m = toxicity.Model(rng.normal(0, 0.02, (toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS], [np.zeros(toxicity.FILTERS, np.float32) for _ in toxicity.WIDTHS], rng.normal(0, 0.3, toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32), -1.0)
+    assert (before.conv[0] == m.conv[0]).all()
+    # A positive document: its own logit has to rise.
+    after = toxicity.train([doc], label, epochs=1, rate=0.01)
+    logit = lambda x: float(np.maximum(x.pooled(x.vectors(doc))[0], 0) @ x.out + x.out_bias)
+    assert logit(after) > logit(m) and r is not None
 
 
 def test_whole_text_is_scored(spark):
@@ -325,21 +366,102 @@ def test_quality_is_right_on_held_out_rows(spark, awkward, empty):
     assert quality.score(empty, views).count() == 0
 
 
-def test_views_teach_each_other():
-    """With one view's labels few, pseudo-labels of the other help it."""
-    r = np.random.default_rng(3)
-    n = 600
-    y = (r.random(n) < 0.5).astype(float)
-    text = [(np.array([1 + int(v) * 10 + r.integers(0, 10)], np.int32), np.ones(1, np.float32)) for v in y]
-    meta = [np.array([100 + int(v) * 10 + r.integers(0, 10)], np.int32) for v in y]
-    known = np.zeros(n, bool)
-    known[:60] = True
-    kept = np.zeros(n, bool)
-    kept[:12] = True
-    v = quality.co_train(text, meta, np.where(known, y, -1), known, kept)
-    s = [v.logits(t, m) for t, m in zip(text, meta)]
-    p = v.score(np.array([a for a, _ in s]), np.array([b for _, b in s]))
-    assert ((p >= 0.5) == (y == 1))[60:].mean() > 0.97
+def feature_rows(spark, n, known, seed=3):
+    """Rows whose views each tell the label, and that label for the first ``known`` only."""
+    r = np.random.default_rng(seed)
+    y = (r.random(n) < 0.5).astype(int)
+    rows = []
+    for i, v in enumerate(y):
+        ids = np.array([1 + int(v) * 10 + r.integers(0, 10)], np.uint16)
+        rows.append((int(v) if i < known else -1, bytearray(ids.tobytes()), bytearray(b"\x0b"), bytearray([100 + int(v) * 10 + int(r.integers(0, 10))])))
+    return y, spark.createDataFrame(rows, "y int, ids binary, logs binary, meta binary")
+
+
+def as_matrices(rows):
+    got = rows.collect()
+    return np.array([r["y"] for r in got]), (quality.text_matrix([bytes(r["ids"]) for r in got], [bytes(r["logs"]) for r in got]), quality.meta_matrix([bytes(r["meta"]) for r in got]))
+
+
+def begun(y, both):
+    part = y >= 0
+    some = [quality.Matrix(int(part.sum()), (np.cumsum(part) - 1)[x.at[part[x.at]]], x.col[part[x.at]], x.val[part[x.at]]) for x in both]
+    return [quality.fit_logistic(x, w, y[part].astype(float)) for x, w in zip(some, (quality.BUCKETS, quality.META))]
+
+
+def test_views_teach_each_other(spark):
+    """With few labels most words are unknown; what the other view marks makes them known."""
+    y, rows = feature_rows(spark, 600, 8)
+    labels, both = as_matrices(rows)
+    views = begun(labels, both)
+    alone = [((v.logits(x) >= 0) == (y == 1)).mean() for v, x in zip(views, both)]
+    quality.co_train(rows, views, np.array([(labels == 0).sum(), (labels == 1).sum()]))
+    after = [((v.logits(x) >= 0) == (y == 1)).mean() for v, x in zip(views, both)]
+    assert min(after) > 0.97 and min(alone) < 0.9
+
+
+def test_co_training_equals_one_task_in_numpy(spark):
+    """Distributed steps against the same rounds over plain arrays, with any number of partitions."""
+    _, rows = feature_rows(spark, 300, 40)
+    labels, both = as_matrices(rows)
+    counts = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    plain, few, many = (begun(labels, both) for _ in range(3))
+    share = counts[1] / counts.sum()
+    for r in range(3):
+        bins = [quality.bins_of(v.logits(x)) for v, x in zip(plain, both)]
+        marks = []
+        for b in bins:
+            seen = np.bincount(b[labels < 0], minlength=quality.BINS)
+            sure = quality.SURE * (r + 1) / 3 * seen.sum()
+            low, high = quality.cuts_of(seen, sure * (1 - share), sure * share)
+            assert seen[:low].sum() <= sure * (1 - share) and seen[high:].sum() <= sure * share
+            marks.append(np.where(b >= high, 1, np.where(b < low, 0, -1)))
+        for _ in range(2):
+            steps = []
+            for v, (view, x) in enumerate(zip(plain, both)):
+                mark = np.where(labels < 0, marks[1 - v], -1)
+                own, w = np.where(labels >= 0, labels, mark), np.zeros(len(labels))
+                for group, part in ((labels, 0.5 if (mark >= 0).any() else 1.0), (mark, 0.5)):
+                    n = np.array([(group == k).sum() for k in (0, 1)])
+                    for k in (0, 1):
+                        w[group == k] = part / max(1, (n > 0).sum()) / max(1, n[k])
+                steps.append(view.gradient(x, (own == 1).astype(float), w))
+            for view, g in zip(plain, steps):
+                view.step(g)
+    quality.co_train(rows.coalesce(1), few, counts, rounds=3, steps=2)
+    quality.co_train(rows.repartition(7), many, counts, rounds=3, steps=2)
+    for a, b, c in zip(plain, few, many):
+        assert np.allclose(a.w, b.w, atol=1e-6) and np.allclose(a.w, c.w, atol=1e-6)
+
+
+def test_logistic_gradient_is_that_of_the_loss():
+    r = np.random.default_rng(2)
+    x = quality.Matrix(5, np.repeat(np.arange(5), 3), r.integers(0, 6, 15), r.normal(size=15))
+    y, weight, model = (r.random(5) < 0.5).astype(float), r.random(5), quality.Logistic(6)
+    model.w = r.normal(size=7)
+
+    def loss(w):
+        z = np.bincount(x.at, x.val * w[x.col], 5) + w[-1]
+        return (weight * (np.log1p(np.exp(z)) - y * z)).sum()
+
+    g = model.gradient(x, y, weight)
+    for k in range(7):
+        d = np.zeros(7)
+        d[k] = 1e-6
+        assert g[k] == pytest.approx((loss(model.w + d) - loss(model.w - d)) / 2e-6, abs=1e-5)
+
+
+def test_quality_of_odd_rows(spark, awkward, empty):
+    """Text ids, null and repeated labels, null sources; no labels at all; ties of equal texts."""
+    docs, labels = labelled(spark, 60)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    some = labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    views = quality.fit(named.withColumn("score", F.lit(1)).withColumn("source", F.lit(None).cast("string")), some.union(some).union(some.withColumn("quality", F.lit(None).cast("int"))), rounds=1)
+    rows = quality.score(awkward.withColumn("text_logit", F.lit("clash")), views).collect()
+    same = {r["score"] for r in rows if r["doc_id"] == 3}
+    assert len(rows) == 8 and len(same) == 1
+    none = quality.fit(empty, labels.limit(0))
+    assert all(r["score"] == 0.5 for r in quality.score(awkward, none).collect())
+    assert all(r["score"] == 0.5 for r in quality.score(awkward, quality.fit(awkward, labels.limit(0))).collect())
 
 
 # --- 4 WARC ---
@@ -369,6 +491,28 @@ def test_selected_records_are_read_alone(spark):
     assert sorted(r["page_id"] for r in some) == [1, 51, 101, 151]
 
 
+def test_attempts_leave_each_other_alone(spark):
+    """An archive that another attempt of a task left is not read and goes."""
+    df = spark.createDataFrame([(i, f"u{i}", "z" * i) for i in range(40)], "page_id long, url string, html string").repartition(2)
+    path = shared_path(spark, "warc-attempts")
+    spark.createDataFrame([("half an archive",)], "x string").coalesce(1).write.mode("append").text(path)
+    index = warc.write_archives(warc.classify(df), path)
+    named = {r["archive"] for r in index.collect()}
+    assert set(names_in(spark, path)) == named
+    again = warc.write_archives(warc.classify(df), path + "-2")
+    assert not named & {r["archive"] for r in again.collect()}
+    assert warc.read_records(index, path).count() == warc.read_records(again, path + "-2").count() == 40
+
+
+def test_repeated_page_ids_and_null_urls(spark):
+    rows = [(1, "a", "same"), (1, "b", "same"), (2, "c", "same"), (1, "a", "other"), (None, None, "same"), (None, "x", "alone"), (3, None, "bare")]
+    df = spark.createDataFrame([(*r, "kept out") for r in rows], "page_id long, url string, html string, archive string")
+    path = shared_path(spark, "warc-odd")
+    index = warc.write_archives(warc.classify(df), path)
+    got = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc.read_records(index, path).collect())
+    assert got == Counter([(1, "a", "response", None), (1, "b", "response", None), (2, "c", "revisit", 1), (1, "a", "response", None), (None, None, "revisit", 1), (None, "x", "response", None), (3, None, "response", None)])
+
+
 def test_warc_empty_table_and_threshold(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     path = shared_path(spark, "warc-none")
@@ -429,9 +573,12 @@ def test_field_keeps_base_and_finds_repetitions(spark, awkward, empty):
 def test_repeats_share_a_hub():
     """One plain occurrence reaches its 50th repeat as it reaches the first, and beliefs are exact."""
     field = pii.Field(np.zeros((len(pii.NAMES), 5)), np.zeros((5, 5)), np.eye(5) * 3)
-    lat = pii.lattice("ab12345 " + "x y ab12345 " * 50)
-    at = [i for i, f in enumerate(lat.features) if pii.NAMES.index("d5") in f]
-    lat.features[0] = lat.features[0] + [pii.NAMES.index("mail")]
+    lat = pii.lattice("ab123456 " + "x y ab123456 " * 50)
+    at = lat.keyed
+    lat.features[lat.features == pii.NAMES.index("letters")] = pii.NAMES.index("mail")
+    first = np.zeros(len(lat.features), bool)
+    first[lat.cuts[0] : lat.cuts[1]] = True
+    lat.features[(lat.features == pii.NAMES.index("mail")) & ~first] = pii.NAMES.index("letters")
     field.node[pii.NAMES.index("mail"), 1] = 4.0
     got = field.marginals(lat)[at]
     up = np.log(np.exp(field.unary(lat)[at][:, None, :] + field.skip[None]).sum(axis=2))
@@ -442,16 +589,96 @@ def test_repeats_share_a_hub():
     assert got[-1] == pytest.approx(got[1], abs=1e-3) and got[-1].argmax() == 1
 
 
-def test_skip_links_carry_labels():
-    """A token that its features leave open takes the label of its repetition."""
-    field = pii.Field(np.zeros((len(pii.NAMES), 5)), np.zeros((5, 5)), np.eye(5) * 3)
-    lat = pii.lattice("ab12345 x ab12345")
-    field.node[lat.features[0][2]] += 0
-    lone = field.marginals(lat)
-    lat.features[0] = lat.features[0] + [pii.NAMES.index("mail")]
-    field.node[pii.NAMES.index("mail"), 1] = 4.0
-    told = field.marginals(lat)
-    assert told[-1, 1] > 0.6 > lone[-1, 1]
+def test_messages_are_exact_on_a_chain():
+    """Beliefs equal those by enumeration where links make no loop."""
+    r = np.random.default_rng(1)
+    field = pii.Field(r.normal(size=(len(pii.NAMES), 5)), r.normal(size=(5, 5)), r.normal(size=(5, 5)))
+    lat = pii.lattice("1 22 333 4444")
+    u = field.unary(lat)
+    n = len(u)
+    want = np.zeros((n, 5))
+    for y in np.ndindex(*[5] * n):
+        p = np.exp(sum(u[i, y[i]] for i in range(n)) + sum(field.chain[y[a], y[b]] for a, b in lat.chain))
+        for i in range(n):
+            want[i, y[i]] += p
+    assert field.marginals(lat) == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-3)
+
+
+def test_pseudo_likelihood_gradient(monkeypatch):
+    """A step of training goes along the numeric gradient of the masked pseudo-likelihood."""
+    text = "call +1 (017) 555-7712 or 555-7712 to 97.51.17.173 and 12 times"
+    lat = pii.lattice(text)
+    own = pii.gold(lat, pii.base_spans(text))
+    y, weight, row, features, chain, skip = pii.terms(lat, own)
+
+    def loss(node, c, k):
+        z = np.zeros((len(y), 5))
+        np.add.at(z, row, node[features])
+        for links, w in ((chain, c), (skip, k)):
+            for at, label, side in links:
+                z[at] += w[label] if side == 0 else w[:, label]
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return -(weight * z[np.arange(len(y)), y]).sum()
+
+    zero = [np.zeros((len(pii.NAMES), 5)), np.zeros((5, 5)), np.zeros((5, 5))]
+    field = pii.train([lat], [own], steps=1, rate=1.0, decay=0.0)
+    made = [field.node, field.chain, field.skip]
+    for part in (0, 1):
+        for at in list(np.ndindex(made[part].shape))[:60]:
+            moved = [z.copy() for z in zero]
+            moved[part][at] = 1e-5
+            slope = (loss(*moved) - loss(*zero)) / 1e-5
+            if abs(slope) > 1e-3:
+                assert np.sign(made[part][at]) == -np.sign(slope)
+    open_ = [i for i, (a, b) in enumerate(lat.spans) if text[a:b] == "555-7712"][1]
+    assert weight[open_] == 0 and y[open_] == 4
+
+
+def planted(n=120):
+    """Texts with an entity that a pattern finds and a mention of it that none finds, or a lone number of the same form."""
+    r, out = random.Random(6), []
+    say = lambda k: words_of(r.random(), k)
+    for i in range(n):
+        a, b = f"{r.randint(100, 999)}", f"555-{r.randint(1000, 9999)}"
+        ip = [r.randint(11, 255) for _ in range(4)]
+        known, mention = ((f"+1 ({a}) {b}", b), (".".join(map(str, ip)), "-".join(map(str, ip))), (f"{say(1)}.{r.randint(10, 99)}{r.randint(1000, 9999)}@mail.example.com", None))[i % 3]
+        repeat = mention is not None and i % 2 == 0
+        lone = f"555-{r.randint(1000, 9999)}" if i % 3 == 0 else "-".join(str(r.randint(11, 255)) for _ in range(4))
+        parts = [say(9), known, say(7), mention if repeat else lone, say(6)]
+        out.append((" ".join(parts), mention if repeat else None, None if repeat else lone))
+    return out
+
+
+def test_the_field_finds_what_patterns_miss_and_the_skip_links_do_it(spark):
+    """Fitted on half of the texts, on the other: repeated mentions are found, lone ones are not, and without skip potentials none is."""
+    every = planted()
+    field = pii.fit(docs_of(spark, [t for t, _, _ in every[:60]]))
+    blind = pii.Field(field.node, field.chain, np.zeros((5, 5)))
+    hits = {}
+    for name, f in (("field", field), ("blind", blind)):
+        found = wrong = 0
+        for text, mention, lone in every[60:]:
+            base = pii.base_spans(text)
+            added = [text[s:e] for s, _, e in set(pii.all_spans(text, base, f)) - set(base)]
+            found += mention in added
+            wrong += sum(x != mention for x in added)
+        hits[name] = (found, wrong)
+    want = sum(m is not None for _, m, _ in every[60:])
+    assert want >= 15 and hits["field"][0] >= 0.95 * want and hits["field"][1] <= 0.05 * want, hits
+    assert hits["blind"][0] == 0, hits
+
+
+def test_fifty_bare_repeats_of_one_plain_occurrence(spark):
+    field = pii.fit(docs_of(spark, [t for t, _, _ in planted()]))
+    text = "call +1 (017) 555-7712 now" + " then ask 555-7712 again" * 50
+    base = pii.base_spans(text)
+    added = set(pii.all_spans(text, base, field)) - set(base)
+    assert len(added) == 50 and all(text[s:e] == "555-7712" and k == 3 for s, k, e in added)
+
+
+def test_fitting_the_field_on_nothing(spark, empty):
+    field = pii.fit(empty)
+    assert pii.all_spans("call +1 (017) 555-7712", pii.base_spans("call +1 (017) 555-7712"), field) == [(5, 3, 22)]
 
 
 # --- 6 secrets ---
@@ -477,6 +704,26 @@ def test_secrets_match_the_rules(spark, awkward, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    df = docs_of(spark, SECRETS).select("doc_id", "text", *(F.lit(n).alias(n) for n in ("may", "may_assign", "mask0", "scan_key", "trigram")))
+    rows = secrets.scan_secrets(df).collect()
+    assert all(r["may_assign"] == "may_assign" and r["may"] == "may" and r["mask0"] == "mask0" and r["scan_key"] == "scan_key" for r in rows)
+    assert all([tuple(x) for x in r["secrets"]] == brute_secrets(r["text"]) for r in rows)
+
+
+def test_many_candidates_meet_their_texts_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "FEW", 0)
+    assert all([tuple(x) for x in r["secrets"]] == brute_secrets(r["text"]) for r in secrets.scan_secrets(docs_of(spark, SECRETS)).collect())
+
+
+def test_places_of_a_hundred_thousand_matches(spark):
+    one = "token=abcdefgh é "
+    began = time.time()
+    row = secrets.scan_secrets(docs_of(spark, [one * 100_000])).select("secrets").first()
+    assert time.time() - began < 30
+    assert [(s["start"], s["end"]) for s in row["secrets"]] == [(k * len(one), k * len(one) + 14) for k in range(100_000)]
+
+
 def test_random_texts_against_the_rules(spark):
     r = random.Random(8)
     bits = ["token", "=", ":", " ", '"', "secret", "abcdef", "12", "AKIA", "QWERTYUIOPASDFGH", "api_key", "pass", "word", "ff00" * 6]
@@ -521,7 +768,38 @@ def test_top_k_is_exact(spark, n, distinct):
     queries = [(i, c) for i, c in rows if i % 20 == 0]
     df = spark.createDataFrame(rows + [(None, 1), (n + 5, None)], "id long, code long")
     got = topk.top_k(df, spark.createDataFrame(queries, "query_id long, code long"), 10)
-    assert {tuple(x) for x in got.select("query_id", "rank", "id", "distance").collect()} == brute_top_k(rows, queries, 10)
+    want = brute_top_k(rows, queries, 10)
+    assert {tuple(x) for x in got.select("query_id", "rank", "id", "distance").collect()} == want
+    if n == 3000:  # uniform codes: answers that no segment finds within one bit
+        assert max(d for _, _, _, d in want) >= 2 * topk.segments_for(n)
+
+
+def test_clusters_and_ties_are_found(spark):
+    """Codes around few centres, so that many stand at one distance, and queries far from all."""
+    r = random.Random(11)
+    centres = [r.getrandbits(64) for _ in range(4)]
+    rows = [(i, c - 2**64 if c >> 63 else c) for i in range(600) for c in [centres[i % 4] ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9)))]]
+    far = [(10_000 + k, c - 2**64 if c >> 63 else c) for k, c in enumerate(~x & 2**64 - 1 for x in centres)]
+    queries = [x for x in rows if x[0] % 20 == 0] + far
+    got = topk.top_k(spark.createDataFrame(rows, "id long, code long"), spark.createDataFrame(queries, "query_id long, code long"), 7)
+    assert {tuple(x) for x in got.select("query_id", "rank", "id", "distance").collect()} == brute_top_k(rows, queries, 7)
+
+
+def test_probes_are_the_held_values_at_the_radius():
+    r = np.random.default_rng(4)
+    for width, n in ((8, 30), (8, 250), (13, 40)):
+        values = r.choice(1 << width, n, replace=False)
+        held = np.zeros((1 << width) // 64, dtype=np.int64)
+        np.bitwise_or.at(held, values >> 6, np.left_shift(np.int64(1), values & 63))
+        own = r.integers(0, 1 << width, 20)
+        for radius in range(width + 2):
+            got = {(int(a), int(b)) for rows, found in topk.at_radius(own, width, radius, held) for a, b in zip(rows, found)}
+            assert got == {(i, int(v)) for i, q in enumerate(own) for v in values if bin(q ^ v).count("1") == radius}
+
+
+def test_no_other_way_beside_the_index():
+    assert not hasattr(topk, "compare_all")
+    assert all(64 / topk.segments_for(n) <= 22 for n in (0, 1, 2, 10**3, 10**6, 10**9, 10**12))
 
 
 def test_top_k_of_nothing(spark):
@@ -613,7 +891,19 @@ def test_contamination_is_cut_out(spark, awkward, empty):
     assert len(none) == 8 and all(r["n_hit"] == 0 for r in none)
 
 
-def test_benchmark_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 3)
-    with pytest.raises(ValueError):
-        decontaminate.automaton_of(spark.createDataFrame([(1, "a b c d")], "item_id long, text string"), 10)
+@pytest.mark.parametrize("part_words", [3, 40])
+def test_any_benchmark_by_several_automata(spark, awkward, part_words):
+    """Parts smaller than one item give what one automaton gives."""
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice(["Foo", "bar", "é1", "x", "why"]) for _ in range(n))
+    items = [(i, say(r.choice([0, 1, 3, 9, 10, 14, 90]))) for i in range(10)] + [(3, say(12)), (None, say(11)), (50, None)]
+    texts = [say(r.randint(0, 60)) for _ in range(20)] + [say(5) + ". " + items[k][1] + ", " + say(5) for k in range(10)] + [None, ""] + [items[6][1]] * 3
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.item_parts(bench, 10, part_words)[1] > 2
+    docs = docs_of(spark, texts).withColumn("text_key", F.lit("clash"))
+    one = decontaminate.match_items(docs, bench).collect()
+    more = decontaminate.match_items(docs, bench, part_words=part_words).collect()
+    assert Counter(map(str, one)) == Counter(map(str, more))
+    for x in more:
+        assert (x["n_words"], x["n_hit"], x["item_ids"]) == brute_hits(x["text"], items, 10)
+    assert decontaminate.match_items(awkward, bench, part_words=part_words).count() == 8

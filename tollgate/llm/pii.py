@@ -2,17 +2,26 @@
 
 The patterns give base spans. The field sees the tokens that could be personal
 data and their neighbours: a token's own features, links between neighbouring
-tokens, and skip links that join all tokens that are equal or hold the same
-digits with one hub, however many they are. It is trained on the base spans by pseudo-likelihood and decoded by
-loopy sum-product messages, so that an entity that is plain in one place labels
-its repetitions where the pattern alone doesn't hold. Runs of tokens that
-the field labels, at least one with confidence, and that touch no base span become further spans.
+tokens, and skip links that join all tokens that are equal, hold the same
+digits or end in the same seven with one hub, however many they are. A hub
+that a base span's token belongs to is known to be of its kind; loopy
+sum-product messages carry that to the other occurrences, where the pattern
+alone doesn't hold. Runs of tokens that the field labels, at least one with
+confidence, and that touch no base span become further spans.
+
+The field is trained by pseudo-likelihood on the base spans and on masked
+ones: a token of a base span is shown once more as it would stand in prose,
+without the features of its pattern and its context, with its kind where its
+hub is known and as nothing where there is no hub. So the node's features can't
+explain it and the skip links have to. Tokens that aren't in a base span but
+share a hub with one are left out of training, as nothing is known of them.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, with_columns
+from .common import fitting_ids, slices, table, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Documents with base spans that the field is fitted on, at most, and the
-#: probability from which a token is labelled.
-SAMPLE_DOCS, CONFIDENCE = 1500, 0.95
+#: Documents with base spans, and without, that the field is fitted on, and their
+#: characters together, at most; the probability from which a token is labelled,
+#: and that from which one is whose hub is known.
+SAMPLE_DOCS, SAMPLE_CHARS, CONFIDENCE, REPEATED = 1500, 24_000_000, 0.95, 0.5
+#: Log odds of what is known; far over what any number of occurrences can hold against it.
+KNOWN = 1e6
 #: Messages have settled when none moves by more; rounds after which steps shrink.
 SETTLED, SWINGS = 1e-4, 200
 
@@ -91,20 +103,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Lattice:
     """Nodes of a document: spans, features, and links (chain first, then skip).
 
-    After the spans' nodes come ``hubs`` nodes without features, one for each
-    key that repeats; skip links join its occurrences with it.
+    Features are places in NAMES, those of node i between ``cuts[i]`` and
+    ``cuts[i + 1]``. After the spans' nodes come ``hubs`` nodes without
+    features, one for each key that repeats; skip links join its occurrences
+    with it. ``keyed``: nodes that have a key, repeated or not.
     """
 
     spans: list[tuple[int, int]]
-    features: list[list[int]]
+    features: np.ndarray
+    cuts: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
-    hubs: int = 0
+    hubs: int
+    keyed: np.ndarray
 
 
 _STRIP = ".,;:!?()[]{}<>\"'|"
 NAMES = (
-    ["bias", "letters", "at", "plus", "parens", "hyphen", "dot", "slash", "mail", "ip", "card", "luhn"]
+    ["bias", "letters", "at", "plus", "parens", "mail", "ip", "card", "luhn"]
     + [f"d{k}" for k in range(21)]
     + [f"before:{s}" for s in ("none", "word", "num", "plus", "paren", "mail")]
     + [f"after:{s}" for s in ("none", "word", "num", "plus", "paren", "mail")]
@@ -122,17 +138,33 @@ def shape(token: str) -> str:
     return "num" if _DIGIT.search(token) else "word"
 
 
+#: What a token shows wherever it stands; the other features tell of patterns and context.
+PLAIN = ("bias", "letters", *(f"d{k}" for k in range(21)))
+PROSE = ("before:word", "after:word")
+
+
 def token_features(tokens: list[str], k: int) -> list[int]:
     t = tokens[k]
     core = t.strip(_STRIP)
     digits = _NOT_DIGIT.sub("", t)
     on = ["bias", f"d{min(20, len(digits))}", "before:" + (shape(tokens[k - 1]) if k else "none"), "after:" + (shape(tokens[k + 1]) if k + 1 < len(tokens) else "none")]
-    for name, yes in (("letters", any(c.isalpha() for c in t)), ("at", "@" in t), ("plus", t[:1] == "+"), ("parens", t[:1] == "(" and t[-1:] == ")"), ("hyphen", "-" in core), ("dot", "." in core), ("slash", "/" in t), ("mail", bool(emails(core))), ("ip", bool(_IP.fullmatch(core)) and all(map(small, core.split(".")))), ("card", 14 <= len(digits) <= 19), ("luhn", 14 <= len(digits) <= 19 and luhn(digits))):
+    for name, yes in (("letters", any(c.isalpha() for c in t)), ("at", "@" in t), ("plus", t[:1] == "+"), ("parens", t[:1] == "(" and t[-1:] == ")"), ("mail", bool(emails(core))), ("ip", bool(_IP.fullmatch(core)) and all(map(small, core.split(".")))), ("card", 14 <= len(digits) <= 19), ("luhn", 14 <= len(digits) <= 19 and luhn(digits))):
         if yes:
             on.append(name)
     return [_PLACE[n] for n in on]
 
 
+def keys_of(token: str) -> set[tuple[str, str]]:
+    """By which a token is the same as, or similar to, another."""
+    core, digits = token.strip(_STRIP).lower(), _NOT_DIGIT.sub("", token)
+    out = {("text", core)} if len(core) >= 6 else set()
+    if len(digits) >= 6:
+        out.add(("digits", digits))
+    if len(digits) >= 7:
+        out.add(("end", digits[-7:]))
+    return out
+
+
 def lattice(text: str) -> Lattice | None:
     """Nodes are tokens with a digit or @, and their neighbours; None without any."""
     if "@" not in text and not _DIGIT.search(text):
@@ -143,18 +175,22 @@ def lattice(text: str) -> Lattice | None:
     nodes = sorted({j for k in hot for j in (k - 1, k, k + 1) if 0 <= j < len(tokens)})
     place = {k: i for i, k in enumerate(nodes)}
     chain = [(i, i + 1) for i, k in enumerate(nodes[:-1]) if nodes[i + 1] == k + 1]
-    seen = {}
+    seen: dict[tuple[str, str], array] = {}
+    keyed = []
     for k in hot:
-        core, digits = tokens[k].strip(_STRIP).lower(), _NOT_DIGIT.sub("", tokens[k])
-        for key in {("t", core)} | ({("d", digits)} if len(digits) >= 6 else set()):
-            if len(key[1]) < 4:
-                continue
-            seen.setdefault(key, []).append(place[k])
+        keys = keys_of(tokens[k])
+        if keys:
+            keyed.append(place[k])
+        for key in keys:
+            seen.setdefault(key, array("q")).append(place[k])
     # Keys that the same tokens share have one hub.
-    repeats = sorted({tuple(at) for at in seen.values() if len(at) > 1})
-    skip = [(i, len(nodes) + h) for h, at in enumerate(repeats) for i in at]
-    pairs = lambda x: np.array(sorted(set(x)), dtype=np.int64).reshape(-1, 2)
-    return Lattice([spans[k] for k in nodes], [token_features(tokens, k) for k in nodes], pairs(chain), pairs(skip), len(repeats))
+    repeats = sorted({at.tobytes() for at in seen.values() if len(at) > 1})
+    skip = [np.column_stack([at := np.frombuffer(raw, dtype=np.int64), np.full(len(at), len(nodes) + h)]) for h, raw in enumerate(repeats)]
+    features, cuts = array("i"), array("q", [0])
+    for k in nodes:
+        features.extend(token_features(tokens, k))
+        cuts.append(len(features))
+    return Lattice([spans[k] for k in nodes], np.array(features, dtype=np.int64), np.array(cuts), np.array(chain, dtype=np.int64).reshape(-1, 2), np.concatenate([np.zeros((0, 2), dtype=np.int64), *skip]), len(repeats), np.array(keyed, dtype=np.int64))
 
 
 def gold(lat: Lattice, base: list[tuple[int, int, int]]) -> np.ndarray:
@@ -169,11 +205,10 @@ def gold(lat: Lattice, base: list[tuple[int, int, int]]) -> np.ndarray:
 
 
 def hub_labels(lat: Lattice, labels: np.ndarray) -> np.ndarray:
-    """Of each hub the label that most of its occurrences have, a kind before none where as many."""
+    """Of each hub the kind that most of its occurrences with a kind have; 0 where none has one."""
     votes = np.zeros((lat.hubs, 5))
     np.add.at(votes, (lat.skip[:, 1] - len(lat.spans), labels[lat.skip[:, 0]]), 1.0)
-    votes[:, 1:] += 0.5
-    return votes.argmax(axis=1)
+    return np.where(votes[:, 1:].any(axis=1), votes[:, 1:].argmax(axis=1) + 1, 0)
 
 
 @dataclass
@@ -182,70 +217,115 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def unary(self, lat: Lattice) -> np.ndarray:
-        return np.array([self.node[f].sum(axis=0) for f in lat.features] + [np.zeros(5)] * lat.hubs)
-
-    def marginals(self, lat: Lattice) -> np.ndarray:
+    def unary(self, lat: Lattice, known: np.ndarray | None = None) -> np.ndarray:
+        """``known``: labels by base spans, 0 where there is none."""
+        out = np.zeros((len(lat.spans) + lat.hubs, 5))
+        at = np.repeat(np.arange(len(lat.spans)), np.diff(lat.cuts))
+        for c in range(5):
+            out[: len(lat.spans), c] = np.bincount(at, self.node[lat.features, c], len(lat.spans))
+        if known is not None:
+            of_hub = hub_labels(lat, known)
+            every = np.concatenate([known, of_hub])
+            told = np.flatnonzero(every)
+            out[told, every[told]] += KNOWN
+        return out
+
+    def marginals(self, lat: Lattice, known: np.ndarray | None = None) -> np.ndarray:
         """Beliefs of the spans' nodes once damped messages over all links have settled.
 
         Where they don't settle by themselves they are damped further, by steps
-        that shrink until no message moves.
+        that shrink until no message moves. A directed link holds five numbers.
         """
-        u = self.unary(lat)
+        u = self.unary(lat, known)
         links = np.concatenate([lat.chain, lat.skip])
-        if not len(links):
-            e = np.exp(u - u.max(axis=1, keepdims=True))
-            return e / e.sum(axis=1, keepdims=True)
-        pot = np.concatenate([np.broadcast_to(self.chain, (len(lat.chain), 5, 5)), np.broadcast_to(self.skip, (len(lat.skip), 5, 5))])
-        src, dst = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
-        pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
-        m = np.zeros((len(src), 5))
+        n = len(lat.chain)
+        ahead = [np.exp(self.chain), np.exp(self.skip)]
+        m = np.zeros((2, len(links), 5))
         step = 0.5
         for k in itertools.count(1):
-            total = u.copy()
-            np.add.at(total, dst, m)
-            x = (total[src] - m[back])[:, :, None] + pot
-            top = x.max(axis=1, keepdims=True)
-            new = (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0, :]
-            change = step * (new - new.max(axis=1, keepdims=True) - m)
-            m += change
-            if np.abs(change).max() < SETTLED:
+            total = self._gathered(u, links, m)
+            moved = 0.0
+            new = np.empty_like(m)
+            for way in range(2):
+                # What the sender believes without what the receiver told it.
+                x = total[links[:, way]] - m[1 - way]
+                x = np.exp(x - x.max(axis=1, keepdims=True, initial=-np.inf))
+                for part, pot in ((slice(0, n), ahead[0]), (slice(n, None), ahead[1])):
+                    new[way, part] = x[part] @ (pot.T if way else pot)
+            np.log(np.maximum(new, 1e-300, out=new), out=new)
+            new -= new.max(axis=2, keepdims=True, initial=-np.inf)
+            new -= m
+            new *= step
+            m += new
+            moved = np.abs(new).max(initial=0.0)
+            if moved < SETTLED:
                 break
             step *= 0.9 if k > SWINGS else 1.0
-        total = u.copy()
-        np.add.at(total, dst, m)
+        total = self._gathered(u, links, m)
         e = np.exp(total - total.max(axis=1, keepdims=True))
         return (e / e.sum(axis=1, keepdims=True))[: len(lat.spans)]
 
-
-def train(lattices: list[Lattice], labels: list[np.ndarray], steps: int = 200, rate: float = 0.5, decay: float = 0.5) -> Field:
+    @staticmethod
+    def _gathered(u: np.ndarray, links: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """``m[0]`` goes from a link's first node to its second, ``m[1]`` back."""
+        out = u.copy()
+        for c in range(5):
+            for way in range(2):
+                out[:, c] += np.bincount(links[:, 1 - way], m[way, :, c], len(u))
+        return out
+
+
+def terms(lat: Lattice, labels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What one document gives to training: rows of (label, weight), each row's
+    features, and for each kind of link (row, the label beside it, side)."""
+    n, hubs = len(lat.spans), hub_labels(lat, labels)
+    y = np.concatenate([labels, hubs])
+    weight = np.ones(len(y))
+    # Nothing is known of a token outside base spans whose hub is of a kind; it is taken to be of that kind by its neighbours.
+    open_ = lat.skip[(hubs[lat.skip[:, 1] - n] > 0) & (labels[lat.skip[:, 0]] == 0)]
+    weight[open_[:, 0]] = 0
+    y[open_[:, 0]] = hubs[open_[:, 1] - n]
+    row = np.repeat(np.arange(n), np.diff(lat.cuts))
+    beside = [np.concatenate([np.column_stack([x[:, 1], y[x[:, 0]], np.zeros(len(x), int)]), np.column_stack([x[:, 0], y[x[:, 1]], np.ones(len(x), int)])]).astype(np.int64) for x in (lat.chain, lat.skip)]
+    # Masked: the same token in prose, of its kind beside its hub, of none without one.
+    told = lat.keyed[labels[lat.keyed] > 0]
+    first, k = len(y), len(told)
+    y, weight = np.concatenate([y, labels[told], np.zeros(k, dtype=np.int64)]), np.concatenate([weight, np.ones(2 * k)])
+    plain = np.array([_PLACE[x] for x in PLAIN])
+    own = [np.concatenate([f[np.isin(f, plain)], [_PLACE[x] for x in PROSE]]) for i in told for f in [lat.features[lat.cuts[i] : lat.cuts[i + 1]]]]
+    masked = np.concatenate([np.zeros(0, dtype=np.int64), *own, *own]).astype(np.int64)
+    features = np.concatenate([lat.features, masked])
+    row = np.concatenate([row, np.repeat(np.arange(first, first + 2 * k), [len(f) for f in own + own])])
+    both = np.arange(first, first + 2 * k)
+    beside[0] = np.concatenate([beside[0], *(np.column_stack([both, np.zeros(2 * k, int), np.full(2 * k, side)]) for side in (0, 1))])
+    beside[1] = np.concatenate([beside[1], np.column_stack([both[:k], labels[told], np.ones(k, int)])])
+    return y, weight, row, features, *beside
+
+
+def train(lattices: list[Lattice], labels: list[np.ndarray], steps: int = 200, rate: float = 0.5, decay: float = 0.05) -> Field:
     """Pseudo-likelihood: each node's label given its features and its neighbours' labels."""
     field = Field(np.zeros((len(NAMES), 5)), np.zeros((5, 5)), np.zeros((5, 5)))
     if not lattices:
         field.node[_PLACE["bias"], 0] = 10.0
         return field
-    starts = np.concatenate([[0], np.cumsum([len(x.spans) + x.hubs for x in lattices])])
-    y = np.concatenate([part for x, own in zip(lattices, labels) for part in (own, hub_labels(x, own))])
-    n = len(y)
-    at = np.repeat(np.arange(n), [len(f) for x in lattices for f in x.features + [[]] * x.hubs])
-    col = np.array([c for x in lattices for f in x.features for c in f])
-    chain = np.concatenate([x.chain + s for x, s in zip(lattices, starts)])
-    skip = np.concatenate([x.skip + s for x, s in zip(lattices, starts)])
-    one = np.eye(5)
+    parts = [terms(x, own) for x, own in zip(lattices, labels)]
+    starts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+    y, weight = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    at, col = np.concatenate([p[2] + s for p, s in zip(parts, starts)]), np.concatenate([p[3] for p in parts])
+    links = [np.concatenate([p[k] + [s, 0, 0] for p, s in zip(parts, starts)]) for k in (4, 5)]
+    one, n = np.eye(5), len(y)
     sums = [np.full(w.shape, 1e-6) for w in (field.node, field.chain, field.skip)]
     for _ in range(steps):
         z = np.zeros((n, 5))
         np.add.at(z, at, field.node[col])
-        for links, w in ((chain, field.chain), (skip, field.skip)):
-            np.add.at(z, links[:, 1], w[y[links[:, 0]]])
-            np.add.at(z, links[:, 0], w[:, y[links[:, 1]]].T)
+        for (r, label, side), w in zip((x.T for x in links), (field.chain, field.skip)):
+            np.add.at(z, r, np.where(side[:, None] == 0, w[label], w.T[label]))
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        d = p / p.sum(axis=1, keepdims=True) - one[y]
+        d = (p / p.sum(axis=1, keepdims=True) - one[y]) * weight[:, None]
         grads = [np.zeros_like(field.node), np.zeros((5, 5)), np.zeros((5, 5))]
         np.add.at(grads[0], col, d[at])
-        for g, links in ((grads[1], chain), (grads[2], skip)):
-            g += one[y[links[:, 0]]].T @ d[links[:, 1]] + (one[y[links[:, 1]]].T @ d[links[:, 0]]).T
+        for g, (r, label, side) in zip(grads[1:], (x.T for x in links)):
+            g += one[label[side == 0]].T @ d[r[side == 0]] + (one[label[side == 1]].T @ d[r[side == 1]]).T
         for w, g, s in zip((field.node, field.chain, field.skip), grads, sums):
             g = g + decay * w
             s += g * g
@@ -254,13 +334,16 @@ def train(lattices: list[Lattice], labels: list[np.ndarray], steps: int = 200, r
     return field
 
 
-def all_spans(text: str, base: list[tuple[int, int, int]], field: Field, confidence: float = CONFIDENCE) -> list[tuple[int, int, int]]:
+def all_spans(text: str, base: list[tuple[int, int, int]], field: Field, confidence: float = CONFIDENCE, repeated: float = REPEATED) -> list[tuple[int, int, int]]:
     """Base spans and those the field adds, sorted."""
     lat = lattice(text)
     if lat is None:
         return base
-    belief = field.marginals(lat)
-    label, sure = belief.argmax(axis=1), belief.max(axis=1) >= confidence
+    known = gold(lat, base)
+    belief = field.marginals(lat, known)
+    told = np.zeros(len(lat.spans), dtype=bool)
+    told[lat.skip[hub_labels(lat, known)[lat.skip[:, 1] - len(lat.spans)] > 0, 0]] = True
+    label, sure = belief.argmax(axis=1), belief.max(axis=1) >= np.where(told, repeated, confidence)
     taken, at, added, i = sorted((s, e) for s, _, e in base), 0, [], 0
     while i < len(label):
         j = i + 1
@@ -284,12 +367,16 @@ def all_spans(text: str, base: list[tuple[int, int, int]], field: Field, confide
 # --- Spark ------------------------------------------------------------------------
 
 
-def fit(docs: DataFrame, limit: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on at most ``limit`` documents with base spans and as many without, of smallest hash."""
+def fit(docs: DataFrame, limit: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Fit on at most ``limit`` documents with base spans and as many with digits and
+    without base spans, of smallest hash and of ``chars`` characters together
+    (texts that don't fit are passed over). Of repeated ids the smallest text
+    counts. Without any document the field labels nothing.
+    """
     near = F.col(text_col).rlike(r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]|\+[0-9]|[0-9](?:[ -]?[0-9]){13}")
-    some = docs.select(id_col, text_col).where(F.length(text_col) < 50_000)
-    keys = [some.where(c).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(limit) for c in (near, ~near & F.col(text_col).rlike("[0-9]"))]
-    texts = sorted(r[0] for r in some.join(F.broadcast(keys[0].union(keys[1]).distinct()), id_col).dropDuplicates([id_col]).select(text_col).toLocalIterator())
+    keys = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("chars"), F.when(near, 1).when(F.col(text_col).rlike("[0-9]"), 0).alias("kind")).where("id is not null and kind is not null")
+    chosen = fitting_ids(keys, {0: limit, 1: limit}, chars)
+    texts = [r["text"] for r in docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()]
     pairs = [(lat, gold(lat, base_spans(t))) for t in texts if (lat := lattice(t))]
     return train([p[0] for p in pairs], [p[1] for p in pairs])
 

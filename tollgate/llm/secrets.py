@@ -13,11 +13,17 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as P
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import checkpointed, fresh, table
+
+#: Candidates that are few enough to be sent to all executors; more meet their texts in a shuffle.
+FEW = 500_000
+#: Matches of a text whose places are worked out together.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -146,6 +152,8 @@ def _holds(query, bit: dict[str, int]) -> Column:
 
 # --- index, candidates, verification -------------------------------------------
 
+SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
+
 
 def trigram_index(docs: DataFrame, trigrams: list[str], key: str, text: Column) -> DataFrame:
     """Postings (trigram, key) of lower-cased texts."""
@@ -154,8 +162,8 @@ def trigram_index(docs: DataFrame, trigrams: list[str], key: str, text: Column)
     return docs.select(F.explode(there).alias("trigram"), F.col(key))
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...], key: str) -> DataFrame:
-    """A row for each key that satisfies a query, with a Boolean column for each such rule."""
+def candidates(index: DataFrame, rules: tuple[Rule, ...], key: str, may: str = "may") -> DataFrame:
+    """A row for each key that satisfies a query, with a struct ``may`` that has a Boolean for each such rule."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
     trigrams = sorted(set().union(*map(_trigrams, queries.values())))
     bit = {t: k for k, t in enumerate(trigrams)}
@@ -166,12 +174,9 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], key: str) -> DataFrame
         return F.coalesce(F.bit_or(F.create_map(*own)[F.col("trigram")]), F.lit(0)).alias(f"mask{k}")
 
     met = index.groupBy(key).agg(*map(as_mask, range(-(-len(trigrams) // 63))))
-    out = met.select(key, *(_holds(q, bit).alias(f"may_{k}") for k, q in queries.items()))
-    may = [F.col(f"may_{k}") for k in queries]
-    some = may[0]
-    for m in may[1:]:
-        some = some | m
-    return out.where(some)
+    held = {k: _holds(q, bit) for k, q in queries.items()}
+    some = reduce(lambda x, y: x | y, held.values())
+    return met.where(some).select(key, F.struct(*(h.alias(k) for k, h in held.items())).alias(may))
 
 
 def _found(rule: Rule, order: int, text: Column) -> Column:
@@ -179,17 +184,26 @@ def _found(rule: Rule, order: int, text: Column) -> Column:
     p = F.lit(rule.pattern)
     gaps = F.split(text, rule.pattern, -1)
     pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("part"))
-    span = "array<struct<start:int,ord:int,kind:string,end:int>>"
-    at = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+    none = F.array().cast(SPANS)
+    shifted = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))).cast(span)
+        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))).cast(SPANS)
         grown = F.when(x["hit"].isNotNull() & (F.length(x["part"]) >= rule.min_length), F.concat(acc["out"], one)).otherwise(acc["out"])
         return F.struct(F.coalesce(end, start).alias("at"), grown.alias("out"))
 
-    return F.aggregate(pairs, at, step, lambda acc: acc["out"])
+    def placed(all_pairs):
+        """Each run's spans from its own beginning, then the runs one behind another: an array that grows is copied
+        with every element, and both kinds stay short."""
+        at = F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / RUN).cast("int"))
+        runs = F.transform(at, lambda k: F.aggregate(F.slice(all_pairs, k * RUN + 1, RUN), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+        return F.flatten(F.aggregate(runs, begin, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(shifted(r["out"], acc["at"]))).alias("out")), lambda acc: acc["out"]))
+
+    # Bound to a variable, the matches are found once and not for each run.
+    return F.transform(F.array(pairs), placed)[0]
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,18 +211,21 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     Null and empty texts have none. A key is made of id and text, so repeated
     rows share postings and each keeps its row. A column secrets is replaced.
+    Flags of candidates are sent to the texts where they are few, by count;
+    where they aren't, both are shuffled by key.
     """
     docs = docs.drop("secrets")
     cols = docs.columns
-    (key,) = fresh(docs, "scan_key")
+    key, may = fresh(docs, "scan_key", "may")
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("string"), text))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted(set().union(*map(_trigrams, queries.values())))
     if trigrams:
-        docs = docs.join(candidates(trigram_index(docs, trigrams, key, text), rules, key).hint("shuffle_hash"), key, "left")
-    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
-    found = [F.when(F.rlike(text, F.lit(r.pattern)) if queries[r.kind] is True else F.col(f"may_{r.kind}"), _found(r, k, text)).otherwise(none) for k, r in enumerate(rules)]
+        flags = checkpointed(candidates(trigram_index(docs, trigrams, key, text), rules, key, may))
+        docs = docs.join(F.broadcast(flags) if flags.count() <= FEW else flags.hint("shuffle_hash"), key, "left")
+    none = F.array().cast(SPANS)
+    found = [F.when(F.rlike(text, F.lit(r.pattern)) if queries[r.kind] is True else F.col(may)[r.kind], _found(r, k, text)).otherwise(none) for k, r in enumerate(rules)]
     return docs.select(*cols, F.array_sort(F.concat(*found)).alias("secrets"))
 
 

@@ -8,11 +8,14 @@ picks those with the least probes and candidates, as estimated from how many
 fingerprints hold its value in each partition and from the bits' frequencies.
 It then probes, in each partition, every value within t_i of its own.
 
-Where even the best thresholds would meet a crowd, the fingerprint takes
-another exact way that doesn't depend on crowds (for tau = 2): two
-fingerprints are within 2 bits exactly if they share one of the 65 codes
-within 1 bit of them. A pair is found by the probes of either side, or by
-these codes where both sides are crowded, so no link is lost.
+Another allocation is weighed against these: a single partition of all 64
+bits, whose threshold is then tau itself (tau - m + 1 for m = 1). Its probes,
+the codes within two bits, needn't be listed by one side: a code is within two
+bits of another exactly if some code is within one bit of both, so either side
+lists the 65 codes within one bit of its own. Its cost doesn't depend on how
+many fingerprints crowd around a value, and it is taken where the partitions'
+estimated probes and candidates come to more. A pair is found by the probes of
+either side, or by these codes where both sides take them: no link is lost.
 
 Rows are gathered by key and verified within the task; a group yields links
 that span its components, never all its pairs.
@@ -30,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, slices, table, with_columns
+from .common import array_sums, checkpointed, fresh, slices, stored, table, with_columns
 from .components import components
 
 SEED = 42
-#: Estimated probes and candidates beyond which a fingerprint counts as crowded.
+#: Estimated probes and candidates beyond which the single partition is cheaper: its
+#: 65 codes stand on both sides, and a row that is sent costs about twice a candidate.
 CROWD = 256
 #: Codes of one value that meet in one group, at most.
 HELD = 1 << 16
@@ -177,20 +181,26 @@ def choose_thresholds(cost: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarra
 def spanning_links(codes: np.ndarray, is_probe: np.ndarray, is_index: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Links that connect what pairs (probe, index) within ``limit`` bits connect.
 
-    A search by breadth: what is found leaves the rest at once, so a crowd
-    around few members is gone after few comparisons with all.
+    A search by breadth that begins at probes: what is found leaves the rest at
+    once, so a crowd around few members is gone after few comparisons. A row
+    that is only in the index meets the probes left and no other row, so the
+    work is bounded by probes times rows.
     """
-    links, rest = [], np.arange(len(codes))
-    while len(rest) > 1:
-        front, rest = [int(rest[0])], rest[1:]
-        while front and len(rest):
+    links = []
+    asking, stored_ = np.flatnonzero(is_probe), np.flatnonzero(is_index & ~is_probe)
+    while len(asking):
+        front, asking = [int(asking[0])], asking[1:]
+        while front and (len(asking) or len(stored_)):
             x = front.pop()
-            near = np.bitwise_count(codes[rest] ^ codes[x]).sum(axis=1, dtype=np.int64) <= limit
-            near &= is_index[rest] if is_probe[x] and not is_index[x] else is_probe[rest] if not is_probe[x] else is_index[rest] | is_probe[rest]
-            hit = rest[near]
-            links += [(x, int(y)) for y in hit]
-            front += hit.tolist()
-            rest = rest[~near]
+            near = np.bitwise_count(codes[asking] ^ codes[x]).sum(axis=1, dtype=np.int64) <= limit
+            if not is_index[x]:
+                near &= is_index[asking]
+            found, asking = asking[near], asking[~near]
+            if is_probe[x]:
+                near = np.bitwise_count(codes[stored_] ^ codes[x]).sum(axis=1, dtype=np.int64) <= limit
+                found, stored_ = np.concatenate([found, stored_[near]]), stored_[~near]
+            links += [(x, int(y)) for y in found]
+            front += found.tolist()
     return links
 
 
@@ -255,7 +265,7 @@ def pigeonhole_links(codes: DataFrame, tau: int = 2) -> DataFrame:
     """Links (a0, b0) that connect all distinct codes in ``codes.fp0`` within
     ``tau`` (2) bits."""
     if tau != 2:
-        raise ValueError("the exact way for crowded codes is made for 2 bits")
+        raise ValueError("the single partition is made for 2 bits")
     codes = codes.select("fp0").where("fp0 is not null").distinct()
     n, together = bit_moments(codes)
     parts = 3 if n < 1 << 24 else 2
@@ -289,7 +299,7 @@ def pigeonhole_links(codes: DataFrame, tau: int = 2) -> DataFrame:
                 if tau >= 2:
                     cost[:, k, 3] = 1 + w + w * (w - 1) / 2 + h * (1 + one + two)
             limits, total = choose_thresholds(cost, tau)
-            crowded = total > CROWD
+            crowded = total > CROWD  # the single partition, part -1
             for k, g in enumerate(groups):
                 mine = part_value(bits, g)
                 for t in range(tau + 1):
@@ -331,20 +341,58 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, tau: int = 2, id_
 
 # --- near copies at a similarity ----------------------------------------------
 
-#: Buckets of the sketch that counts shingles, and counts in one row of it.
-SKETCH, CHUNK = 1 << 20, 1 << 12
+#: Buckets of the sketch that counts shingles.
+SKETCH = 1 << 20
 #: Sets of one coarse component that are compared in one group, at most.
 BLOCK = 1 << 12
 
 
+#: Odd multipliers, from which a shingle's hash is put together, and words whose hashes a worker keeps.
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1 for k in range(64)], dtype=np.uint64)
+KEPT_WORDS = 200_000
+_WORDS: dict[bytes, int] = {}
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """All bits of the result depend on all bits of ``x``."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles, as ``shingles`` cuts them.
+
+    A word is hashed once while a worker keeps it; a shingle's hash is a sum of
+    its words' hashes, each times an odd number of its place, mixed.
+    """
+    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    new = set(w).difference(_WORDS)
+    if new:
+        if len(_WORDS) + len(new) > KEPT_WORDS:
+            _WORDS.clear()
+            new = set(w)
+        _WORDS.update((x, xxhash.xxh64_intdigest(x, SEED)) for x in new)
+    h = np.fromiter(map(_WORDS.__getitem__, w), dtype=np.uint64, count=len(w))
+    size = min(words, len(w))
+    n = len(h) - size + 1
+    total = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        total += h[k : k + n] * _MULTIPLIERS[k]
+    return np.unique(mixed(total))
+
+
 def hashed_set(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
     """The sorted 64-bit hashes of the distinct shingles, and the set's 128-bit fingerprint."""
-    grams = list(dict.fromkeys(shingles(text, words)))
-    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(g, SEED) for g in grams]), dtype=np.uint8).reshape(-1, 16)
+    toks = shingle_hashes(text, words)
     ones = np.zeros(128, dtype=np.int64)
-    for at in range(0, len(raw), 4096):
-        ones += np.unpackbits(raw[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return np.unique(np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64)), np.packbits(2 * ones > len(raw)).tobytes()
+    for at in range(0, len(toks), 4096):
+        some = toks[at : at + 4096]
+        both = np.column_stack([mixed(some + np.uint64(1)), mixed(some + np.uint64(2))])
+        ones += np.unpackbits(both.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return toks, np.packbits(2 * ones > len(toks)).tobytes()
 
 
 def as_longs(raw: list[bytes]) -> np.ndarray:
@@ -361,25 +409,14 @@ def prefix_size(n, similarity: float):
 def shingle_sketch(texts: DataFrame, words: int) -> np.ndarray:
     """How many rows of ``texts.text`` hold a shingle of each bucket."""
 
-    def run(batches):
+    def work(batches):
         total = np.zeros(SKETCH, dtype=np.int64)
         for batch in slices(batches):
-            toks = np.concatenate([hashed_set(t, words)[0] for t in batch.column("text").to_pylist()])
+            toks = np.concatenate([shingle_hashes(t, words) for t in batch.column("text").to_pylist()])
             total += np.bincount((toks % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH // CHUNK), pa.int32()), pa.array([c.tobytes() for c in total.reshape(-1, CHUNK)], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches):
-        sums = {}
-        for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["chunk", "counts"])
+        return total
 
-    schema = "chunk int, counts binary"
-    out = np.zeros((SKETCH // CHUNK, CHUNK), dtype=np.int64)
-    for r in texts.select("text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect():
-        out[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return out.ravel()
+    return array_sums(texts.select("text"), work, SKETCH).astype(np.int64)
 
 
 def similar_links(texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -461,7 +498,7 @@ def verified_links(texts: DataFrame, similarity: float, words: int) -> DataFrame
                     place, sets = [], []
                 key = k
                 place.append(p)
-                sets.append(hashed_set(text, words)[0])
+                sets.append(shingle_hashes(text, words))
         if place:
             yield place, sets
 
@@ -484,11 +521,12 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     shingles and 128-bit fingerprints make coarse components; within these
     the sets themselves are compared. All documents without words are copies
     of each other. Of repeated rows the first stays; a null id sorts last.
-    ``docs`` has to be a stable scan, such as files: rows are told apart by
-    their place in it.
+    The rows are stored with their places first, so that a place means the same
+    row whenever it is read. Columns of any name are kept.
     """
-    placed = docs.withColumn("row_place", F.monotonically_increasing_id())
-    texts = placed.select("row_place", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    (place,) = fresh(docs, "row_place")
+    placed, _ = stored(docs.withColumn(place, F.monotonically_increasing_id()), "placed")
+    texts = placed.select(F.col(place).alias("row_place"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = checkpointed(set_keys(texts, words))
     classes = checkpointed(marked.groupBy("s0", "s1").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_place")).alias("first"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1")).withColumn("row_place", F.col("first.row_place")))
     name = lambda s: F.concat_ws(":", F.col(f"{s}0").cast("string"), F.col(f"{s}1").cast("string"))
@@ -502,7 +540,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     roots = components(verified_links(texts.join(asked, "row_place"), similarity, words))
     final = classes.join(roots, classes["row_place"] == roots["node"], "left").withColumn("root", F.coalesce("root", "row_place"))
     kept = final.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_place").alias("row_place"))
-    return placed.join(kept.hint("shuffle_hash"), "row_place", "left_semi").drop("row_place")
+    return placed.join(kept.withColumnRenamed("row_place", place).hint("shuffle_hash"), place, "left_semi").drop(place)
 
 
 def set_keys(texts: DataFrame, words: int) -> DataFrame:

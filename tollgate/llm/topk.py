@@ -9,9 +9,10 @@ segments find is taken by the first alone, which can be told from the codes.
 
 A bounded sample of the codes gives every query an upper bound of its k-th
 distance to begin with, so that joins put out none but codes within the bound.
-Equal codes are one class with its smallest ids. Where the probes of a radius
-would outnumber the codes (few rows, far neighbours), the queries that are left
-are compared with all codes in blocks.
+Equal codes are one class with its smallest ids. Segments have at most 22 bits,
+so which values a segment's index holds fits a bitmap of 512 kB: a probe step
+lists the values at its radius by masks or, where those are more, among the
+values held, and sends out none that the index lacks.
 """
 
 from __future__ import annotations
@@ -22,10 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, stored, table
-from .simhash import flips
-
-#: Codes in the sample for first bounds; queries compared with all codes at once.
-SAMPLE, BLOCK = 2000, 4096
+#: Codes in the sample for first bounds; values that a task looks up at once.
+SAMPLE, LOOKUPS = 2000, 1 << 20
 BITS = 64
 
 
@@ -51,8 +50,40 @@ def classes_of(codes: DataFrame, keep: int) -> DataFrame:
 
 
 def segments_for(n: int) -> int:
-    """Segments about as wide as the logarithm of the number of codes."""
-    return max(2, min(8, BITS // max(8, n.bit_length())))
+    """Segments about as wide as the logarithm of the number of codes, of 22 bits at most."""
+    return max(3, min(8, round(BITS / np.log2(max(n, 2)))))
+
+
+def held_values(index: DataFrame, width: list[int]) -> list[np.ndarray]:
+    """For each segment a bitmap of the values its index holds."""
+    words = index.groupBy("seg", F.shiftright("value", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(value & 63 AS int))")).alias("bits")).toArrow()
+    seg, word, bits = (words[c].to_numpy() for c in ("seg", "word", "bits"))
+    out = []
+    for s, w in enumerate(width):
+        held = np.zeros(max(1, (1 << w) // 64), dtype=np.int64)
+        held[word[seg == s]] = bits[seg == s]
+        out.append(held)
+    return out
+
+
+def at_radius(own: np.ndarray, width: int, radius: int, held: np.ndarray):
+    """Pairs (row of ``own``, value) of the held values that differ from a row's in ``radius`` bits, in runs."""
+    if radius > width:
+        return
+    stored = np.flatnonzero(np.unpackbits(held.view(np.uint8), bitorder="little"))
+    every = np.arange(1 << width)
+    masks = every[np.bitwise_count(every) == radius]
+    by_mask = len(masks) <= len(stored)
+    step = max(1, LOOKUPS // max(1, min(len(masks), len(stored))))
+    for a in range(0, len(own), step):
+        some = own[a : a + step, None]
+        if by_mask:
+            value = some ^ masks
+            row, at = np.nonzero(held[value >> 6] >> (value & 63) & 1)
+            yield row + a, value[row, at]
+        else:
+            row, at = np.nonzero(np.bitwise_count(some ^ stored) == radius)
+            yield row + a, stored[at]
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -61,7 +92,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Ties go to the smaller id; a row isn't its own neighbour. Rows with a null
     id or code are passed over. With ``k`` rows or fewer all others are
-    returned; an empty table gives an empty one. Repeated queries get a result each.
+    returned; an empty table gives an empty one. Repeated queries get a result
+    each. Other columns are not looked at.
     """
     codes = codes.where("id is not null and code is not null").select("id", "code")
     queries = queries.where("query_id is not null and code is not null").select("query_id", "code")
@@ -77,6 +109,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     shift = [int(BITS - b) for b in cuts[1:]]
     part = lambda code, s: F.shiftrightunsigned(code, shift[s]).bitwiseAND(F.lit((1 << width[s]) - 1))
     index = checkpointed(classes.select("code", "n", "least", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), part(F.col("code"), s).alias("value")) for s in range(m)))).alias("p")).select("p.seg", "p.value", "code", "n", "least"))
+    bitmaps = spark.sparkContext.broadcast(held_values(index, width))
 
     sample = classes.orderBy(F.xxhash64("code"), "code").limit(SAMPLE).select("code", "n").toArrow()
     held = spark.sparkContext.broadcast((sample["code"].to_numpy(), sample["n"].to_numpy()))
@@ -94,39 +127,22 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).astype(np.int32))], names=["q", "bound"])
 
     pending = checkpointed(queries.select(F.col("code").alias("q")).distinct().mapInArrow(bound, "q long, bound int"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = None
     for radius in range(max(width) + 1):
         if pending.isEmpty():
             break
         covered = m * radius - 1
-        if sum(len(flips(w, radius)) for w in width) > n:
-            block, every = [], []
-            for row in pending.toLocalIterator():
-                block.append((row["q"], row["bound"]))
-                if len(block) == BLOCK:
-                    every.append(compare_all(classes, block))
-                    block = []
-            if block:
-                every.append(compare_all(classes, block))
-            # What earlier radii found of these queries is found again here.
-            found = found.join(pending, "q", "left_anti") if found is not None else None
-            for e in every:
-                e = stored(e, "topk")[0]
-                found = e if found is None else found.union(e)
-            break
-
         def probes(batches, radius=radius, covered=covered):
             for batch in batches:
                 q, limit = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
                 for s in range(m):
-                    who = limit > covered + s
-                    if radius > width[s] or not who.any():
-                        continue
-                    masks = flips(width[s], radius)
+                    who = np.flatnonzero(limit > covered + s)
                     own = (q[who].view(np.uint64) >> np.uint64(shift[s])).view(np.int64) & ((1 << width[s]) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[who], len(masks))), pa.array(np.repeat(limit[who], len(masks)), pa.int32()), pa.array(np.full(who.sum() * len(masks), s), pa.int32()), pa.array((own[:, None] ^ masks[None, :]).ravel())], names=["q", "bound", "seg", "value"])
+                    for row, value in at_radius(own, width[s], radius, bitmaps.value[s]):
+                        yield pa.RecordBatch.from_arrays([pa.array(q[who[row]]), pa.array(limit[who[row]], pa.int32()), pa.array(np.full(len(row), s), pa.int32()), pa.array(value)], names=["q", "bound", "seg", "value"])
 
-        asked = pending.mapInArrow(probes, "q long, bound int, seg int, value long")
+        asked = pending.repartition(tasks, "q").mapInArrow(probes, "q long, bound int, seg int, value long")
         differ = F.col("q").bitwiseXOR(F.col("code"))
         apart = F.bit_count(differ)
         first = F.lit(True)
@@ -153,23 +169,6 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return out.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.id", F.col("x.distance").cast("int").alias("distance"))
 
 
-def compare_all(classes: DataFrame, block: list[tuple[int, int]]) -> DataFrame:
-    """The classes within each query's bound; ``block``: pairs (query code, bound)."""
-    sent = classes.sparkSession.sparkContext.broadcast(np.array(block, dtype=np.int64).reshape(-1, 2))
-
-    def run(batches):
-        q, limit = sent.value.T
-        for batch in batches:
-            code, n, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            for i in range(len(q)):
-                d = distances(code, q[i])
-                near = np.flatnonzero(d <= limit[i])
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q[i])), pa.array(code[near]), pa.array(d[near], pa.int32()), pa.array(n[near]), pa.array(least[near])], names=["q", "code", "distance", "n", "least"])
-
-    return classes.select("code", "n", "least").mapInArrow(run, "q long, code long, distance int, n long, least long")
-
-
 def op7_topk(spark, sf_dir: str) -> DataFrame:
     """The 10 nearest sign codes of every vector whose id is divisible by 20."""
     codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("embedding").isNotNull(), sign_code(F.col("embedding"))).alias("code"))

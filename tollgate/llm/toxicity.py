@@ -15,14 +15,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, with_columns
+from .common import fitting_ids, slices, table, with_columns
 
 #: Labelled documents of either label that a model is fitted on, and their characters together, at most.
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 3000, 48_000_000
+SAMPLE, SAMPLE_CHARS = {0: 3000, 1: 1500}, 48_000_000
 #: Windows scored at once.
 WINDOWS = 1 << 16
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
@@ -127,6 +127,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
     m.emb[0] = 0
     of_emb, of_conv, of_bias, of_out, of_out_bias = np.full((BUCKETS, DIM), 1e-2, np.float32), [np.full_like(c, 1e-2) for c in m.conv], [np.full_like(b, 1e-2) for b in m.bias], np.full_like(m.out, 1e-2), 1e-2
     if len(docs) == 0:
+        m.out[:] = 0
         return m
     weight = np.where(labels == 1, min(4.0, max(1.0, (labels == 0).sum() / max(1, (labels == 1).sum()) / 2)), 1.0)
     for _ in range(epochs):
@@ -190,24 +191,27 @@ def is_held_out(doc_id):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limits: tuple[int, int]) -> DataFrame:
-    """``docs`` with their label y: at most ``limits`` of label 0 and of label 1,
-    outside the held-out fifth, those of smallest hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limits: dict[int, int], chars: int) -> DataFrame:
+    """``docs`` (doc_id, text and others) with their label y: at most ``limits`` of each
+    label and ``chars`` characters together, outside the held-out fifth, those
+    of smallest hash; texts that don't fit are passed over. Repeated labels of
+    a document count as the highest, of repeated documents the smallest row.
+    """
     known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
-    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in enumerate(limits)]
-    return docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").dropDuplicates(["doc_id"])
-
+    sized = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(known, "doc_id")
+    chosen = fitting_ids(sized.select(F.col("doc_id").alias("id"), "chars", F.col("y").alias("kind")), limits, chars)
+    rest = [c for c in docs.columns if c != "doc_id"]
+    named = docs.join(F.broadcast(chosen.withColumnRenamed("id", "doc_id")), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    return named.select("doc_id", "row.*").join(known, "doc_id")
 
-def within_chars(sample: DataFrame, limit: int = SAMPLE_CHARS) -> DataFrame:
-    """The documents of a bounded sample, whole, until their texts have ``limit`` characters together."""
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return sample.withColumn("chars_so_far", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order)).where(F.col("chars_so_far") <= limit).drop("chars_so_far")
 
+def fit(docs: DataFrame, labels: DataFrame, limits: dict[int, int] = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on a bounded sample of labelled documents, calibrate on a fifth of it.
 
-def fit(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (SAMPLE_OTHER, SAMPLE_TOXIC)) -> Model:
-    """Fit on a bounded sample of labelled documents, calibrate on a fifth of it."""
-    rows = within_chars(labelled_sample(docs.select("doc_id", "text", "lang"), labels, "toxic", limits)).select("doc_id", "text", "lang", "y").toArrow().sort_by("doc_id")
+    Without labelled documents every text has the same score, below one half.
+    """
+    rows = labelled_sample(docs.select("doc_id", "text", "lang"), labels, "toxic", limits, chars).select("doc_id", "text", "lang", "y").toArrow().sort_by("doc_id")
     texts, langs, y = [words(t) for t in rows["text"].to_pylist()], rows["lang"].to_pylist(), rows["y"].to_numpy().astype(np.int64)
     part = np.array([crc32(b"part" + str(i).encode()) % 5 == 0 for i in rows["doc_id"].to_pylist()], dtype=bool)
     known = {w: k for k, w in enumerate(set().union(*texts))}
