@@ -771,7 +771,7 @@ def test_top_k_is_exact(spark, n, distinct):
     want = brute_top_k(rows, queries, 10)
     assert {tuple(x) for x in got.select("query_id", "rank", "id", "distance").collect()} == want
     if n == 3000:  # uniform codes: answers that no segment finds within one bit
-        assert max(d for _, _, _, d in want) >= 2 * topk.segments_for(n)
+        assert max(d for _, _, _, d in want) >= 2 * topk.segments_for(n, 21)
 
 
 def test_clusters_and_ties_are_found(spark):
@@ -799,7 +799,7 @@ def test_probes_are_the_held_values_at_the_radius():
 
 def test_no_other_way_beside_the_index():
     assert not hasattr(topk, "compare_all")
-    assert all(64 / topk.segments_for(n) <= 22 for n in (0, 1, 2, 10**3, 10**6, 10**9, 10**12))
+    assert all(64 / topk.segments_for(n, d) <= 22 for n in (0, 1, 2, 10**3, 10**6, 10**9, 10**12) for d in (0, 9, 21, 64))
 
 
 def test_top_k_of_nothing(spark):

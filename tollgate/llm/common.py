@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -91,16 +91,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def first_rows(df: DataFrame, n: int, by: list[str], order: list) -> DataFrame:
-    """The ``n`` first rows of each group; ranked in salted groups first, so that a
-    large group is cut down side by side."""
-    (salt, place) = fresh(df, "salt", "place")
-    some = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-    for keys in ([*by, salt], by):
-        some = some.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= n).drop(place)
-    return some.drop(salt)
-
-
 def fitting_ids(keys: DataFrame, limits: dict[int, int], chars: int) -> DataFrame:
     """Of ``keys`` (id, chars, kind) the ids of a sample for fitting: of each kind as many
     as ``limits`` has for it, of smallest hash, taken turn by turn while they
@@ -111,12 +101,8 @@ def fitting_ids(keys: DataFrame, limits: dict[int, int], chars: int) -> DataFram
     these rows of ids and lengths come to the driver. An id of several rows
     counts with the longest.
     """
-    some = keys.groupBy("id").agg(F.max("chars").alias("chars"), F.max("kind").alias("kind")).withColumn("hash", F.xxhash64("id"))
-    rows = first_rows(some, max(limits.values()), ["kind"], ["hash", "id"]).collect()
-    kinds = {kind: [] for kind in limits}
-    for r in sorted(rows, key=lambda r: (r["hash"], r["id"])):
-        if len(kinds.get(r["kind"], ())) < limits.get(r["kind"], 0):
-            kinds[r["kind"]].append((r["chars"] or 0, r["id"]))
+    some = checkpointed(keys.groupBy("id").agg(F.max("chars").alias("chars"), F.max("kind").alias("kind")).withColumn("hash", F.xxhash64("id")))
+    kinds = {kind: [(r["chars"] or 0, r["id"]) for r in some.where(F.col("kind") == kind).orderBy("hash", "id").limit(n).collect()] for kind, n in limits.items()}
     turns = sorted((at, kind, size, key) for kind, of in kinds.items() for at, (size, key) in enumerate(of))
     chosen, left = [], chars
     for _, kind, size, key in turns:

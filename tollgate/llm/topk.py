@@ -17,14 +17,17 @@ values held, and sends out none that the index lacks.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, stored, table
-#: Codes in the sample for first bounds; values that a task looks up at once.
-SAMPLE, LOOKUPS = 2000, 1 << 20
+#: Codes in the sample for first bounds; values that a task looks up at once; candidates
+#: that cost as much as a probe, which is sent and sorted.
+SAMPLE, LOOKUPS, PROBE = 2000, 1 << 20, 32
 BITS = 64
 
 
@@ -49,9 +52,16 @@ def classes_of(codes: DataFrame, keep: int) -> DataFrame:
     return least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")).join(counts, "code")
 
 
-def segments_for(n: int) -> int:
-    """Segments about as wide as the logarithm of the number of codes, of 22 bits at most."""
-    return max(3, min(8, round(BITS / np.log2(max(n, 2)))))
+def segments_for(n: int, distance: float) -> int:
+    """Segments, of 22 bits at most, whose probes and candidates cost least for a query whose
+    answers are within ``distance`` of it, if ``n`` codes spread evenly over the values."""
+
+    def cost(m: int) -> float:
+        w = BITS / m
+        values = sum(comb(round(w), r) for r in range(int(distance) // m + 1))
+        return m * values * (PROBE + n / 2**w)
+
+    return min(range(3, 9), key=cost)
 
 
 def held_values(index: DataFrame, width: list[int]) -> list[np.ndarray]:
@@ -103,14 +113,6 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n = classes.count()
     if n == 0:
         return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)
-    m = segments_for(n)
-    cuts = np.linspace(0, BITS, m + 1).astype(int)
-    width = [int(b - a) for a, b in zip(cuts, cuts[1:])]
-    shift = [int(BITS - b) for b in cuts[1:]]
-    part = lambda code, s: F.shiftrightunsigned(code, shift[s]).bitwiseAND(F.lit((1 << width[s]) - 1))
-    index = checkpointed(classes.select("code", "n", "least", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), part(F.col("code"), s).alias("value")) for s in range(m)))).alias("p")).select("p.seg", "p.value", "code", "n", "least"))
-    bitmaps = spark.sparkContext.broadcast(held_values(index, width))
-
     sample = classes.orderBy(F.xxhash64("code"), "code").limit(SAMPLE).select("code", "n").toArrow()
     held = spark.sparkContext.broadcast((sample["code"].to_numpy(), sample["n"].to_numpy()))
 
@@ -127,12 +129,20 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).astype(np.int32))], names=["q", "bound"])
 
     pending = checkpointed(queries.select(F.col("code").alias("q")).distinct().mapInArrow(bound, "q long, bound int"))
+    m = segments_for(n, pending.agg(F.avg("bound")).first()[0] or 0)
+    cuts = np.linspace(0, BITS, m + 1).astype(int)
+    width = [int(b - a) for a, b in zip(cuts, cuts[1:])]
+    shift = [int(BITS - b) for b in cuts[1:]]
+    part = lambda code, s: F.shiftrightunsigned(code, shift[s]).bitwiseAND(F.lit((1 << width[s]) - 1))
+    index = checkpointed(classes.select("code", "n", "least", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), part(F.col("code"), s).alias("value")) for s in range(m)))).alias("p")).select("p.seg", "p.value", "code", "n", "least"))
+    bitmaps = spark.sparkContext.broadcast(held_values(index, width))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = None
     for radius in range(max(width) + 1):
         if pending.isEmpty():
             break
         covered = m * radius - 1
+
         def probes(batches, radius=radius, covered=covered):
             for batch in batches:
                 q, limit = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
