@@ -1,7 +1,11 @@
 """Sources, contracts, streaming and frames."""
 
 import json
+import os
+import random
+import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +43,8 @@ BAD = [
     ("version 2", {"schema_version": 2}, {}),
     ("no version", {"schema_version": ...}, {}),
     ("text version", {"schema_version": "1"}, {}),
+    ("number with a point", {"schema_version": 1.0}, {}),
+    ("version of a feature only", {"schema_version": ...}, {"schema_version": 1}),
     ("other type", {"type": "Thing"}, {}),
     ("other way", {}, {"osm_way_id": 99}),
     ("edge id gap", {}, {"edge_id": 7}),
@@ -79,6 +85,10 @@ def test_parquet_with_wkb(spark, tmp_path):
     files.write_edge_parquet(e, str(tmp_path / "e.parquet"))
     back = files.read_edge_parquet(spark, str(tmp_path / "e.parquet"))
     assert [r["geometry"] for r in back.orderBy("edge_id").collect()] == [r["geometry"] for r in e.orderBy("edge_id").collect()]
+    assert all(pq.read_schema(p).metadata[b"schema_version"] == b"1" for p in (tmp_path / "e.parquet").glob("*.parquet"))
+    (tmp_path / "e.parquet" / "part-left-behind.parquet").write_bytes(b"half")
+    files.write_edge_parquet(e, str(tmp_path / "e.parquet"))
+    assert not (tmp_path / "e.parquet" / "part-left-behind.parquet").exists()
     e.drop("geometry").toPandas().to_parquet(tmp_path / "bad.parquet")
     with pytest.raises(validate.InvalidEdges):
         files.read_edge_parquet(spark, str(tmp_path / "bad.parquet"))
@@ -182,8 +192,44 @@ def test_od_set(spark):
     assert len(rows) == 50 and rows[0]["id"] == "od-0000" and all(r["weight"] == 100.0 and r["src"] != r["dst"] for r in rows)
     assert rows == odset.synthesize(n, 50, 5000.0, 1).orderBy("idx").collect()
     assert odset.synthesize(n, 0, 5000.0, 1).count() == 0
-    doc = json.loads(odset.to_json(a, 1, "vc1.0", 1.0, 5000.0).first()["body"])
+    doc = json.loads(odset.to_json(a, n.nodes, 1, "vc1.0", 1.0, 5000.0).first()["body"])
     assert doc["demand_level"] == "vc1.0" and len(doc["requests"]) == 50 and doc["requests"][3]["id"] == "od-0003"
+    at = {r["node_id"]: {"lat": r["lat"], "lon": r["lon"]} for r in n.nodes.collect()}
+    assert all((d["from"], d["to"], d["label"]) == (at[r["src"]], at[r["dst"]], f"n{r['src']}->n{r['dst']}") for d, r in zip(doc["requests"], rows))
+    assert sum(r["requests"] for r in odset.label_counts(a).collect()) == 50
+
+
+def test_draws_are_those_of_the_numbered_pool(spark):
+    """Also where the graph has several components, and one-way links between them."""
+    r = random.Random(2)
+    links = [(a, b) for a in range(0, 40) for b in r.sample(range(40), 2) if a != b and (a < 20) == (b < 20) or (a < 5 and b > 30)]
+    e = spark.createDataFrame([(k, *x) for k, x in enumerate(links)], "edge_id int, src int, dst int")
+    to = {}
+    for a, b in links:
+        to.setdefault(a, set()).add(b)
+    pool = []
+    for s in sorted({x for link in links for x in link}):
+        seen, front = {s}, [s]
+        while front:
+            for w in to.get(front.pop(), ()):
+                if w not in seen:
+                    seen.add(w)
+                    front.append(w)
+        pool += [(s, d) for d in sorted(seen - {s})]
+    assert sorted(map(tuple, network.reachable_pairs(e).collect())) == pool
+    u = [0.0, 0.25, 0.5, 0.999999] + [r.random() for _ in range(60)]
+    drawn, n = network.draw_pairs(e, spark.createDataFrame(list(enumerate(u)), "idx long, u double"))
+    assert n == len(pool) and all((x["src"], x["dst"]) == pool[int(x["u"] * n)] for x in drawn.collect())
+
+
+def test_a_large_pool_is_drawn_from_in_seconds(spark):
+    """2500 nodes, six million pairs."""
+    side, step = 50, [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    links = [(a * side + b, (a + i) * side + b + j) for a in range(side) for b in range(side) for i, j in step if 0 <= a + i < side and 0 <= b + j < side]
+    n = small_network(spark, [(41.0 + k * 1e-4, -8.0) for k in range(side * side)], [(f"{k + 1}:0:F", *x, 100.0, 10.0, 900.0) for k, x in enumerate(links)])
+    began = time.time()
+    assert odset.synthesize(n, 1000, 5000.0, 1).distinct().count() == 1000
+    assert time.time() - began < 20
 
 
 def test_numbers_follow_the_order(spark):
@@ -225,8 +271,13 @@ def test_frames_fold_to_the_last_state(spark):
     full = states.groupBy("segment_id").agg(F.max_by("vc", "frame").alias("vc"))
     last = frames.fold(d).join(full, "segment_id").withColumn("want", F.least(F.lit(23), F.floor(F.col("vc") / 0.1 + 1e-9)))
     assert last.count() == 7 and last.where("bucket <> want").count() == 0
-    bodies = [json.loads(r["body"]) for r in frames.frame_json(d).collect()]
-    assert {b["type"] for b in bodies} == {"snapshot", "delta"}
+    sent = frames.due_ticks(ticks, 30.0, 30.0, 1.0).withColumn("poa", F.lit(1.0)).withColumn("realized_total_s", F.lit(2.0)).withColumn("compute_ns", F.lit(1_500_000)).withColumn("route_median_ns", F.lit(7))
+    changed = frames.deltas(states.withColumn("frame", F.col("frame") - 1))
+    bodies = [(r["type"], json.loads(r["body"])) for r in frames.frame_json(changed, sent, "2026-06-22T08:00:00Z", 30.0).orderBy("frame").collect()]
+    assert [t for t, _ in bodies] == ["snapshot"] + ["delta"] * (len(bodies) - 1) and len(bodies) == ticks.count()
+    first, second = bodies[0][1], bodies[1][1]
+    assert len(first["segments"]) == 7 and first["tick"] == 1 and first["sim_time"] == "2026-06-22T08:00:00Z" and "changed" in second and second["sim_time"] == "2026-06-22T08:00:30Z"
+    assert first["metrics"] == {"compute_ms": 1.5, "route_median_ns": 7, "realized_total_s": 2.0, "poa": 1.0, "in_flight": 1, "completed": 0}
 
 
 def test_coalesced_ticks(spark):
@@ -236,10 +287,14 @@ def test_coalesced_ticks(spark):
 
 
 def test_report(spark):
-    cells = spark.createDataFrame([("naive", "vc1.0", 1.0, 1.0, 1.5, 10.0, 20.0, 100.0, 1.0, 0.25, 1, True, 0.0)], "router string, demand_level string, target_vc double, capacity_scale double, max_vc double, mean_realized_s double, p95_realized_s double, total_network_time_s double, poa double, gini_vc double, iters int, converged boolean, gap double")
+    cells = spark.createDataFrame([("naive", "vc1.0", 1.0, 1.0, 1.5, 10.0, 20.0, 100.0, 1.0, 33.85, 77.76, 0.25, 1, True, 0.0), ("incremental", "vc1.0", 1.0, 1.0, 1.5, 10.0, 20.0, 80.0, 0.8, 33.85, 77.76, 0.25, 4, True, 0.0), ("systemoptimal", "vc1.0", 1.0, 1.0, 1.5, 10.0, 20.0, 50.0, 1.0, 33.85, 77.76, 0.25, 9, True, 0.0)], "router string, demand_level string, target_vc double, capacity_scale double, max_vc double, mean_realized_s double, p95_realized_s double, total_network_time_s double, poa double, sim_mean_realized_s double, sim_p95_realized_s double, gini_vc double, iters int, converged boolean, gap double")
     text = report.markdown(cells, ("naive",))
-    assert text.splitlines()[2] == "| naive | vc1.0 | 1.00 | 1.00 | 1.5000 | 10.00 | 20.00 | 100.00 | 1.0000 | 0.2500 | 1 | true | 0.0 |"
-    assert json.loads(report.report_json(cells, 7).first()["body"])["cells"][0]["router"] == "naive"
+    assert [x for x in text.splitlines() if x.startswith("| naive")][0] == "| naive | vc1.0 | 1.00 | 1.00 | 1.5000 | 10.00 | 20.00 | 100.00 | 1.0000 | 33.85 | 77.76 | 0.2500 | 1 | true | 0.0 |"
+    assert text.splitlines()[0].count("|") == 16
+    doc = json.loads(report.report_json(cells, 7, 1000, 5000.0).first()["body"])
+    assert (doc["seed"], doc["od_count"], doc["total_demand_vph"]) == (7, 1000, 5000.0) and [c["router"] for c in doc["cells"]] == ["incremental", "naive", "systemoptimal"]
+    assert doc["poa_by_level"] == [{"demand_level": "vc1.0", "poa": 1.0}]
+    assert doc["headline_improvement"] == {"demand_level": "vc1.0", "router": "systemoptimal", "improvement_pct": 50.0}
     assert report.replace_region("a\n<!-- t:begin -->\nold\n<!-- t:end -->\nb", "t", "new") == "a\n<!-- t:begin -->\nnew\n<!-- t:end -->\nb"
     with pytest.raises(ValueError):
         report.replace_region("nothing", "t", "new")
@@ -301,13 +356,30 @@ def test_provisional_messages_and_latest_table(spark, tmp_path):
     assert set(rows) == {"s", "z"} and not rows["s"]["is_final"] and str(rows["s"]["window_start"]) == "2026-06-08 08:01:00" and rows["s"]["vehicle_count"] == 2
 
 
+def test_one_job_gives_both_kinds_and_counts_late_pings(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    late = ("t7", "2026-06-08 08:00:40", "s", 10.0)
+    for k, rows in enumerate([PINGS[:3], PINGS[3:], [late, ("t9", "2026-06-08 12:00:00", "end", 1.0)], [("t9", "2026-06-08 12:10:00", "end", 1.0)]]):
+        csv(src / f"{k}.csv", rows)
+        os.utime(src / f"{k}.csv", (k + 1, k + 1))
+    got, dropped = [], []
+    q = windows.start_both(windows.replay(spark, str(src)), lambda df, b: got.extend(df.collect()), str(tmp_path / "ck"), available_now=True, dropped=dropped)
+    q.awaitTermination(240)
+    assert q.exception() is None
+    batch = spark.createDataFrame(PINGS, "taxi_id string, ts string, segment_id string, speed_kmh double").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = lambda r: (r["segment_id"], r["window_start"], r["vehicle_count"], r["avg_speed_kmh"], r["sample_pings"])
+    final = [key(r) for r in got if r["is_final"] and r["segment_id"] != "end"]
+    assert sorted(final) == sorted(key(r) for r in congestion.sliding_windows(batch).collect()) and len(final) == len(set(final))
+    assert {key(r)[:2] for r in got if not r["is_final"] and r["segment_id"] != "end"} == {x[:2] for x in final}
+    assert sum(dropped) == 1 and {r["producer"] for r in got} == {"stream"}
+
+
 def test_late_pings_are_told_apart(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     csv(src / "1.csv", [("t", "2026-06-08 08:10:00", "s", 1.0)])
     csv(src / "2.csv", [("t", "2026-06-08 08:06:30", "s", 1.0), ("t", "2026-06-08 08:09:00", "s", 1.0)])
-    import os
-
     os.utime(src / "1.csv", (1, 1))
     pings = windows.replay(spark, str(src)).withColumn("source_key", F.lit("k"))
     q = windows.drop_late(pings).writeStream.format("memory").queryName("late_pings").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()

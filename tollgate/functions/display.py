@@ -29,6 +29,11 @@ def metric_text(value: Column, digits: int = 2) -> Column:
     return F.when(bad, "—").otherwise(F.format_string(f"%.{digits}f", value))
 
 
+def ns_to_ms(ns: Column) -> Column:
+    """Whole nanoseconds as milliseconds."""
+    return ns.cast("double") / 1e6
+
+
 def clock_label(minutes: Column) -> Column:
     """Minutes since midnight as HH:MM, wrapping at a day."""
     m = F.pmod(minutes, F.lit(1440))

@@ -3,7 +3,7 @@
 Requests are summed by origin and destination first, so whatever their number,
 a strategy searches each distinct pair once and each distinct origin in one
 search. Searches run in the executors on a broadcast graph; flows come back as
-an aggregate. Loops keep one flow per edge on the driver, which is as large as
+one sum over the tasks. Loops keep one flow per edge on the driver, which is as large as
 the graph that was checked before it was broadcast.
 """
 
@@ -14,16 +14,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.demand import hash_uniform
+from ..session import cut
 from . import kernels as K
 from .network import Network
+from .ranking import numbered
 
 ROUTERS = ("naive", "reactive", "incremental", "msa", "systemoptimal", "multipath")
 # Batches of the incremental strategy, paths of the split one, gap and iterations of loops.
 BATCHES, PATHS, GAP, ITERATIONS = 4, 3, 1e-4, 100
+#: Tasks whose flows the driver sums by itself.
+FEW_PARTS = 32
 
 
 class NoRoute(ValueError):
@@ -85,7 +90,7 @@ def pair_paths(pairs: DataFrame, network: Network, cost: np.ndarray, accelerated
 
     def run(batches):
         g, lat, lon = graph.value
-        w = weight.value
+        w = weight.value.tolist()
         for batch in batches:
             src, dst = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             cost, edges = [], []
@@ -105,20 +110,18 @@ def pair_paths(pairs: DataFrame, network: Network, cost: np.ndarray, accelerated
     return own.mapInArrow(run, "src int, dst int, cost_s double, edges array<int>")
 
 
-def all_or_nothing(demand: DataFrame, network: Network, cost: np.ndarray) -> tuple[np.ndarray, float]:
+def all_or_nothing(demand: by_origin, network: Network, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Edge flows when all of ``demand`` takes its shortest path, and the sum of weight times cost.
 
-    ``demand`` should lie by origin (``by_origin``): a task then searches each of
-    its origins once and adds up its own flows, so that what is exchanged is a
-    row per task and used edge, and no path is kept.
+    A task searches each of its origins once and adds up its own flows; the
+    tasks' arrays, as long as the checked graph has edges, are summed in a tree.
     """
     graph, weight = network.broadcast, network.edges.sparkSession.sparkContext.broadcast(cost)
 
-    def run(batches):
-        g, w = graph.value[0], weight.value
+    def run(parts):
+        g, w = graph.value[0], weight.value.tolist()
         flow, spent, lost = np.zeros(g.edges), 0.0, 0
-        for batch in batches:
-            src, dst, many = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        for src, dst, many in parts:
             for s in np.unique(src).tolist():
                 mine = src == s
                 dist, via = K.search(g, s, w, dst[mine].tolist())
@@ -128,24 +131,36 @@ def all_or_nothing(demand: DataFrame, network: Network, cost: np.ndarray) -> tup
                         continue
                     spent += x * dist[d]
                     flow[K.path_to(g, via, s, d)] += x
-        at = np.flatnonzero(flow)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]), pa.int32()), pa.array(np.append(flow[at], [spent, lost]))], names=["edge_id", "x"])
+        yield np.append(flow, [spent, lost])
+
+    made = demand.rdd.mapPartitions(run)
+    # Few arrays meet on the driver at once, many in a tree before they get there.
+    total = made.fold(np.zeros(network.arrays[0].edges + 2), np.add) if made.getNumPartitions() <= FEW_PARTS else made.treeReduce(np.add)
+    weight.destroy()
+    if total[-1] > 0:
+        raise NoRoute("some demand has no path")
+    return total[:-2], float(total[-2])
+
+
+class by_origin:
+    """Demand dealt out by origin once, as arrays that stay with the executors for many
+    searches; gone when the block ends. What an executor loses is made again."""
+
+    def __init__(self, demand: DataFrame):
+        def arrays(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in batch.columns], names=["src", "dst", "weight"])
 
-    flow, spent = np.zeros(network.arrays[0].edges), 0.0
-    rows = demand.select("src", "dst", "weight").mapInArrow(run, "edge_id int, x double").groupBy("edge_id").agg(F.sum("x").alias("x")).collect()
-    for r in rows:
-        if r["edge_id"] == -2 and r["x"] > 0:
-            raise NoRoute("some demand has no path")
-        if r["edge_id"] == -1:
-            spent = r["x"]
-        elif r["edge_id"] >= 0:
-            flow[r["edge_id"]] = r["x"]
-    return flow, spent
+        own = demand.select(F.col("src").cast("int"), F.col("dst").cast("int"), F.col("weight").cast("double")).repartition("src").sortWithinPartitions("src", "dst")
+        packed = own.mapInArrow(arrays, "src binary, dst binary, weight binary")
+        self.rdd = packed.rdd.map(lambda r: (np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.int32), np.frombuffer(r[2]))).persist(StorageLevel.MEMORY_AND_DISK)
 
+    def __enter__(self) -> "by_origin":
+        return self
 
-def by_origin(demand: DataFrame) -> DataFrame:
-    """Demand dealt out by origin once, for many searches."""
-    return demand.repartition("src").sortWithinPartitions("src", "dst").persist()
+    def __exit__(self, *_) -> None:
+        self.rdd.unpersist()
 
 
 def _routes(requests: DataFrame, paths: DataFrame) -> DataFrame:
@@ -155,9 +170,9 @@ def _routes(requests: DataFrame, paths: DataFrame) -> DataFrame:
 def _all_or_nothing(network: Network, requests: DataFrame, price: Price, load: np.ndarray | None) -> Assignment:
     g = network.arrays[0]
     cost = price.of(g, np.zeros(g.edges) if load is None else load)
-    demand = by_origin(pair_demand(requests))
-    flow, _ = all_or_nothing(demand, network, cost)
-    return Assignment(_routes(requests, pair_paths(demand, network, cost)), flow)
+    with by_origin(pair_demand(requests)) as demand:
+        flow, _ = all_or_nothing(demand, network, cost)
+    return Assignment(_routes(requests, pair_paths(requests, network, cost)), flow)
 
 
 def naive(network: Network, requests: DataFrame, price: Price = Price(), load: np.ndarray | None = None) -> Assignment:
@@ -175,22 +190,26 @@ def relative_gap(spent: float, least: float) -> float:
 
 
 def incremental(network: Network, requests: DataFrame, price: Price = Price(), load=None, batches: int = BATCHES) -> Assignment:
-    """Equal runs of requests by index (the first takes the remainder), each priced on what is loaded so far."""
+    """Equal runs of requests in the order of their index (the first takes the remainder),
+    each priced on what is loaded so far. Indexes may be sparse."""
     g = network.arrays[0]
-    n = requests.count()
+    placed = numbered(requests, "batch_place", "idx", "request_id")
+    n = placed.count()
     flow, routes = np.zeros(g.edges), None
     size, first = divmod(n, batches)
     at = 0
     for b in range(batches):
         end = at + size + (first if b == 0 else 0)
-        part = requests.where((F.col("idx") >= at) & (F.col("idx") < end))
-        demand = by_origin(pair_demand(part))
-        paths = pair_paths(demand, network, price.of(g, flow))
-        flow = flow + all_or_nothing(demand, network, price.of(g, flow))[0]
-        routes = _routes(part, paths) if routes is None else routes.union(_routes(part, paths))
+        part = placed.where((F.col("batch_place") >= at) & (F.col("batch_place") < end)).drop("batch_place")
+        cost = price.of(g, flow)
+        with by_origin(pair_demand(part)) as demand:
+            flow = flow + all_or_nothing(demand, network, cost)[0]
+        routed = _routes(part, pair_paths(part, network, cost))
+        routes = routed if routes is None else routes.union(routed)
         at = end
     cost = price.of(g, flow)
-    least = all_or_nothing(by_origin(pair_demand(requests)), network, cost)[1]
+    with by_origin(pair_demand(placed)) as demand:
+        least = all_or_nothing(demand, network, cost)[1]
     gap = relative_gap(float(flow @ cost), least)
     return Assignment(routes, flow, gap, batches, True)
 
@@ -199,16 +218,16 @@ def _averages(network: Network, requests: DataFrame, price: Price, marginal: boo
     """Successive averages: step 1/k towards the all-or-nothing load; the gap is that of
     the flow before the step, under the cost it was routed on."""
     g = network.arrays[0]
-    demand = by_origin(pair_demand(requests))
     flow, gap, k = np.zeros(g.edges), 0.0, 0
-    for k in range(1, limit + 1):
-        cost = price.of(g, flow, marginal)
-        target, least = all_or_nothing(demand, network, cost)
-        gap = relative_gap(float(flow @ cost), least)
-        flow = flow + (target - flow) / k
-        if gap < tolerance:
-            break
-    return Assignment(_routes(requests, pair_paths(demand, network, cost)), flow, gap, k, gap < tolerance)
+    with by_origin(pair_demand(requests)) as demand:
+        for k in range(1, limit + 1):
+            cost = price.of(g, flow, marginal)
+            target, least = all_or_nothing(demand, network, cost)
+            gap = relative_gap(float(flow @ cost), least)
+            flow = flow + (target - flow) / k
+            if gap < tolerance:
+                break
+    return Assignment(_routes(requests, pair_paths(requests, network, cost)), flow, gap, k, gap < tolerance)
 
 
 def msa(network: Network, requests: DataFrame, price: Price = Price(), load=None, limit: int = ITERATIONS, tolerance: float = GAP) -> Assignment:
@@ -246,7 +265,7 @@ def multipath(network: Network, requests: DataFrame, price: Price = Price(), loa
     """Each request draws one of its pair's ``k`` shortest paths, by inverse free-flow cost; the
     draw depends on seed and index alone. ``paths`` of the result tells where each draw came from."""
     g = network.arrays[0]
-    paths = k_paths(requests, network, price.of(g, np.zeros(g.edges)), k).persist()
+    paths = cut(k_paths(requests, network, price.of(g, np.zeros(g.edges)), k))
     bad = paths.where(F.size("paths") == 0).limit(1).collect()
     if bad:
         raise NoRoute(f"no path from node {bad[0]['src']} to node {bad[0]['dst']}")

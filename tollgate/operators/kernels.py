@@ -7,7 +7,10 @@ first predecessor of least cost, edges being relaxed in the order of their ids.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -35,6 +38,14 @@ class Csr:
         first = np.searchsorted(src[order], np.arange(n_nodes + 1))
         return cls(first, order, dst[order], src, dst, np.asarray(freeflow, float), np.asarray(capacity, float), np.asarray(length, float))
 
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], list[int]]:
+        """first, edge and target as lists, which a search reads faster one by one."""
+        return self.first.tolist(), self.edge.tolist(), self.target.tolist()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("lists", "top_speed")}
+
     @property
     def nodes(self) -> int:
         return len(self.first) - 1
@@ -61,7 +72,9 @@ def search(g: Csr, source: int, weight, targets=None, bound=None, blocked_nodes=
     dist, via, done = {source: 0.0}, {}, set()
     want = set(targets) if targets is not None else None
     heap = [(bound(source) if bound else 0.0, source)]
-    first, edge, target = g.first, g.edge, g.target
+    first, edge, target = g.lists
+    if isinstance(weight, np.ndarray):
+        weight = weight.tolist()
     while heap:
         _, v = heapq.heappop(heap)
         if v in done:
@@ -73,7 +86,7 @@ def search(g: Csr, source: int, weight, targets=None, bound=None, blocked_nodes=
                 break
         base = dist[v]
         for k in range(first[v], first[v + 1]):
-            e, w = int(edge[k]), int(target[k])
+            e, w = edge[k], target[k]
             if w in done or w in blocked_nodes or e in blocked_edges:
                 continue
             cost = base + weight[e]
@@ -99,18 +112,98 @@ def haversine(lat1, lon1, lat2, lon2):
 
 
 def goal_bound(g: Csr, lat: np.ndarray, lon: np.ndarray, target: int):
-    """Great-circle distance over the greatest chord speed of any edge: never more than the rest costs."""
-    chord = haversine(lat[g.source_of], lon[g.source_of], lat[g.target_of], lon[g.target_of])
-    top = float(np.max(np.where(g.freeflow > 0, chord / np.where(g.freeflow > 0, g.freeflow, 1.0), 0.0), initial=0.0))
+    """Great-circle distance over the greatest chord speed of any edge: never more than the rest costs.
+
+    The speed is worked out once for a graph.
+    """
+    if "top_speed" not in g.__dict__:
+        chord = haversine(lat[g.source_of], lon[g.source_of], lat[g.target_of], lon[g.target_of])
+        g.top_speed = float(np.max(np.where(g.freeflow > 0, chord / np.where(g.freeflow > 0, g.freeflow, 1.0), 0.0), initial=0.0))
+    top = g.top_speed
     if top <= 0:
         return lambda v: 0.0
-    return lambda v: float(haversine(lat[v], lon[v], lat[target], lon[target])) / top * (1 - 1e-12)
+    to_lat, to_lon = math.radians(lat[target]), math.radians(lon[target])
+    shrink = math.cos(to_lat)
+
+    def bound(v: int) -> float:
+        at = math.radians(lat[v])
+        a = math.sin((to_lat - at) / 2) ** 2 + math.cos(at) * shrink * math.sin((to_lon - math.radians(lon[v])) / 2) ** 2
+        return 2 * 6_371_000.0 * math.atan2(math.sqrt(a), math.sqrt(1 - a)) / top * (1 - 1e-12)
+
+    return bound
+
+
+class Reach:
+    """What each node of a directed graph reaches: strongly connected components, and the
+    links between them. Nodes may have any ids; ``ids`` has them ascending."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray):
+        self.ids, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        n = len(self.ids)
+        a, b = ends[: len(src)], ends[len(src) :]
+        order = np.argsort(a, kind="stable")
+        self.comp = self._components(n, np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist())
+        self.parts = int(self.comp.max(initial=-1)) + 1
+        by = np.argsort(self.comp, kind="stable")
+        self.members = np.split(by, np.searchsorted(self.comp[by], np.arange(1, self.parts))) if self.parts else []
+        links = np.unique(np.column_stack([self.comp[a], self.comp[b]]), axis=0)
+        links = links[links[:, 0] != links[:, 1]]
+        self.first, self.next = np.searchsorted(links[:, 0], np.arange(self.parts + 1)), links[:, 1]
+
+    @staticmethod
+    def _components(n: int, first: list[int], target: list[int]) -> np.ndarray:
+        """Tarjan's strongly connected components, with a stack of its own."""
+        comp, low, seen, stack, parts = np.full(n, -1), [0] * n, [-1] * n, [], 0
+        tick = 0
+        for root in range(n):
+            if seen[root] >= 0:
+                continue
+            work = [(root, first[root])]
+            seen[root] = low[root] = tick
+            tick += 1
+            stack.append(root)
+            while work:
+                v, at = work.pop()
+                while at < first[v + 1]:
+                    w = target[at]
+                    at += 1
+                    if seen[w] < 0:
+                        work += [(v, at), (w, first[w])]
+                        seen[w] = low[w] = tick
+                        tick += 1
+                        stack.append(w)
+                        break
+                    if comp[w] < 0:
+                        low[v] = min(low[v], seen[w])
+                else:
+                    if low[v] == seen[v]:
+                        while True:
+                            w = stack.pop()
+                            comp[w] = parts
+                            if w == v:
+                                break
+                        parts += 1
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[v])
+        return comp
+
+    def nodes_of(self, part: int) -> np.ndarray:
+        """Places in ``ids`` of all nodes that a component reaches, its own included, ascending."""
+        seen, front = {part}, [part]
+        while front:
+            c = front.pop()
+            for d in self.next[self.first[c] : self.first[c + 1]].tolist():
+                if d not in seen:
+                    seen.add(d)
+                    front.append(d)
+        return np.sort(np.concatenate([self.members[c] for c in seen]))
 
 
 def k_shortest(g: Csr, source: int, target: int, k: int, weight) -> list[tuple[float, list[int]]]:
     """Up to ``k`` loopless paths by cost; equal costs in the order of their discovery."""
     if source == target:
         return [(0.0, [])]
+    weight = weight.tolist() if isinstance(weight, np.ndarray) else weight
     dist, via = search(g, source, weight, [target])
     if target not in dist or dist[target] == INF:
         return []
@@ -146,26 +239,19 @@ def split(costs: list[float]) -> list[float]:
     return [x / total for x in w] if total > 0 else [1.0 / len(costs)] * len(costs) if costs else []
 
 
-@dataclass
-class Run:
-    """What a vehicle simulation gives: one row per tick, and each trip's time."""
-
-    ticks: list[tuple[int, int, int, np.ndarray]]
-    trips: dict[int, float]
-    released: int
-
-
-def simulate(g: Csr, requests: list[tuple[int, int, int, float, float]], route, tick_s: float, max_ticks: int, alpha: float, beta: float, scale: float) -> Run:
+def simulate(g: Csr, requests: list[tuple[int, int, int, float, float]], route, tick_s: float, max_ticks: int, alpha: float, beta: float, scale: float) -> Iterator[tuple[int, int, int, np.ndarray, dict[int, float]]]:
     """Discrete-time vehicles. ``requests``: (index, from, to, depart_s, weight).
 
     In each tick: release what has departed by its start, route it on the load
     the tick began with, move all vehicles at speeds under that load with what
     is left of the tick carried over edge ends, then take the new load from who
     stands where. A run ends when nothing is under way or waiting; an empty
-    batch still has one tick.
+    batch still has one tick. Each tick is given as it ends: its number, the
+    vehicles under way and those that have arrived so far, the load, and the
+    times of the trips that ended in it.
     """
-    waiting = sorted(requests, key=lambda r: (r[3], r[0]))
-    load, cars, out, trips, at = np.zeros(g.edges), [], [], {}, 0
+    waiting, length = sorted(requests, key=lambda r: (r[3], r[0])), g.length.tolist()
+    load, cars, done, at = np.zeros(g.edges), [], 0, 0
     for tick in range(1, max_ticks + 1):
         now = (tick - 1) * tick_s
         begin = at
@@ -173,18 +259,18 @@ def simulate(g: Csr, requests: list[tuple[int, int, int, float, float]], route,
             at += 1
         if at > begin:
             cars += [[r[0], r[4], path, 0, 0.0, 0.0] for r, path in zip(waiting[begin:at], route(waiting[begin:at], load))]
-        cost = bpr_cost(g, load, alpha, beta, scale)
-        still = []
+        cost = bpr_cost(g, load, alpha, beta, scale).tolist()
+        still, trips = [], {}
         for car in cars:
             left = tick_s
             path = car[2]
             while left > 0 and car[3] < len(path):
                 e = path[car[3]]
-                speed = g.length[e] / cost[e] if cost[e] > 0 else INF
-                if g.length[e] <= 0 or speed <= 0 or speed == INF:
+                speed = length[e] / cost[e] if cost[e] > 0 else INF
+                if length[e] <= 0 or speed <= 0 or speed == INF:
                     car[3], car[4] = car[3] + 1, 0.0
                     continue
-                need = (g.length[e] - car[4]) / speed
+                need = (length[e] - car[4]) / speed
                 if need <= left:
                     car[5] += need
                     left -= need
@@ -201,7 +287,7 @@ def simulate(g: Csr, requests: list[tuple[int, int, int, float, float]], route,
         load = np.zeros(g.edges)
         for car in cars:
             load[car[2][car[3]]] += car[1]
-        out.append((tick, len(cars), len(trips), load))
+        done += len(trips)
+        yield tick, len(cars), done, load, trips
         if not cars and at >= len(waiting):
             break
-    return Run(out, trips, at)

@@ -6,12 +6,14 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
-from ..session import cut
-from .kernels import Csr
+from ..session import cut, drop_steps
+from .kernels import Csr, Reach
 from .ranking import numbered
 
 #: Edges that a broadcast graph may have; about 60 bytes each.
@@ -55,22 +57,78 @@ def out_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.withColumnRenamed("src", "node_id"), "node_id").select("node_id", "edge_id", "dst")
 
 
-def reachable_pairs(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(src, dst), all ordered pairs with a path, no node with itself.
+def reach_of(edges: DataFrame) -> Reach:
+    """What the nodes of ``edges`` reach, after a check of their number."""
+    n = edges.count()
+    if n > MAX_EDGES:
+        raise ValueError(f"{n} edges; a broadcast graph may have {MAX_EDGES}: cut the network into regions")
+    e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).toArrow()
+    return Reach(e["src"].to_numpy(), e["dst"].to_numpy())
 
-    Path doubling: each round joins what is known with itself, so rounds grow
-    with the logarithm of the longest path.
+
+def reachable_pairs(edges: DataFrame, itself: bool = False) -> DataFrame:
+    """(src, dst), all ordered pairs with a path; with ``itself`` also each node with itself.
+
+    One search over the graph of strongly connected components for each of
+    them, side by side; pairs are put out as they are found and never joined.
+    """
+    spark, reach = edges.sparkSession, reach_of(edges)
+    sent = spark.sparkContext.broadcast(reach)
+
+    def run(batches):
+        r = sent.value
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                to = r.ids[r.nodes_of(c)]
+                for s in r.ids[r.members[c]].tolist():
+                    ends = to if itself else to[to != s]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), s), pa.int32()), pa.array(ends, pa.int32())], names=["src", "dst"])
+
+    return spark.range(reach.parts).mapInArrow(run, "src int, dst int")
+
+
+def draw_pairs(edges: DataFrame, draws: DataFrame) -> tuple[DataFrame, int]:
+    """``draws`` (idx, u) with src and dst, the pair at place floor(u * n) of all ``n``
+    reachable pairs in ascending order, and ``n``; no pair but those drawn is made.
+
+    How many nodes a component reaches is counted side by side; the driver holds
+    one running sum per node, as many as the graph that was checked has.
     """
-    known = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    n = known.count()
-    for _ in range(max_rounds):
-        more = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        known = cut(known.union(more).where("src <> dst").distinct())
-        m = known.count()
-        if m == n:
-            break
-        n = m
-    return known
+    spark, reach = edges.sparkSession, reach_of(edges)
+    sent = spark.sparkContext.broadcast(reach)
+
+    def count(batches):
+        for batch in batches:
+            c = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array([len(sent.value.nodes_of(x)) for x in c], pa.int64())], names=["part", "n"])
+
+    sizes = np.zeros(reach.parts, dtype=np.int64)
+    for r in spark.range(reach.parts).mapInArrow(count, "part long, n long").toLocalIterator():
+        sizes[r["part"]] = r["n"]
+    ends = np.cumsum(sizes[reach.comp] - 1)
+    n = int(ends[-1]) if len(ends) else 0
+    if n == 0:
+        return draws.limit(0).select("*", F.lit(0).alias("src"), F.lit(0).alias("dst")), 0
+    places = spark.sparkContext.broadcast(ends)
+
+    def pick(batches):
+        r, known = sent.value, {}
+        for batch in batches:
+            at = batch.column("pick").to_numpy(zero_copy_only=False)
+            src = np.searchsorted(places.value, at, side="right")
+            k = at - np.where(src > 0, places.value[src - 1], 0)
+            dst = np.empty(len(at), dtype=np.int64)
+            for i in np.argsort(r.comp[src], kind="stable"):
+                c = int(r.comp[src[i]])
+                if c not in known:
+                    known = {c: r.nodes_of(c)}
+                to = known[c]
+                dst[i] = to[k[i] + (to[k[i]] >= src[i])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(r.ids[src], pa.int32()), pa.array(r.ids[dst], pa.int32())], names=[*names, "src", "dst"])
+
+    names = draws.columns
+    schema = T.StructType([*draws.schema.fields, T.StructField("src", T.IntegerType()), T.StructField("dst", T.IntegerType())])
+    return draws.withColumn("pick", F.least(F.floor(F.col("u") * n), F.lit(n - 1))).mapInArrow(pick, schema), n
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,8 +143,10 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         step = label.join(seen, label["node_id"] == seen["a"], "left").select("node_id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = step.select(F.col("node_id").alias("component"), F.col("component").alias("far"))
         new = cut(step.join(jump, "component", "left").select("node_id", "old", F.least("component", F.coalesce("far", "component")).alias("component")))
+        drop_steps(label)
         label = new.select("node_id", "component")
         if new.where("old <> component").isEmpty():
+            drop_steps(both)
             return label
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import geo, osm
 from ..operators.congestion import sliding_windows
 from ..operators.network import Network
+from ..operators.ranking import numbered
 
-ORIGIN_LAT, ORIGIN_LON, STEP, COLUMNS = 41.14, -8.63, 0.005, 5
+ORIGIN_LAT, ORIGIN_LON, STEP, COLUMNS, CITY_COLUMNS = 41.14, -8.63, 0.005, 5, 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     step = F.explode(F.array(F.when(F.col("src") % COLUMNS < COLUMNS - 1, 1), F.when(F.col("src") % COLUMNS > 0, -1), F.lit(COLUMNS), F.lit(-COLUMNS)))
     e = n.toDF("src", "lat1", "lon1").withColumn("step", step).where("step is not null").withColumn("dst", F.col("src") + F.col("step"))
-    e = e.join(F.broadcast(n.toDF("dst", "lat2", "lon2")), "dst")
+    e = e.join(n.toDF("dst", "lat2", "lon2"), "dst")
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     cls = F.get(F.array(*map(F.lit, osm.CLASSES)), (low * 3 + high) % 7)
     e = e.withColumn("highway_class", cls).withColumn("osm_way_id", (F.lit(1000) + low * 25 + high).cast("long")).withColumn("dir", F.when(F.col("src") < F.col("dst"), "F").otherwise("R"))
@@ -54,7 +55,7 @@ def network(spark: SparkSession, sf_dir: str) -> Network:
 def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as pings on edges: (ping_id, taxi_id, ts, edge_id, segment_id, speed_kmh)."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ping_id"), F.col("user_id").cast("string").alias("taxi_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 80).cast("int").alias("edge_id"), F.col("value").alias("speed_kmh"))
-    return e.join(F.broadcast(roads(spark, sf_dir).select("edge_id", "segment_id")), "edge_id")
+    return e.join(roads(spark, sf_dir).select("edge_id", "segment_id"), "edge_id")
 
 
 def observed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,25 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderkey").alias("idx"), F.col("c_nationkey").cast("int").alias("src"), ((F.col("o_orderkey") * 7 + 3) % 25).cast("int").alias("dst"), F.greatest(F.lit(1.0), F.floor(F.col("o_totalprice") / 50000).cast("double")).alias("weight"), (F.col("o_orderkey") % 3600).cast("double").alias("depart_s"))
 
 
+def city(spark: SparkSession, sf_dir: str) -> Network:
+    """A lattice that grows with the tables: a node per supplier, forty in a row, all roads alike."""
+    k = F.col("node_id")
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("node_id"))
+    n = own.select("node_id", (F.lit(ORIGIN_LAT) + STEP * F.floor(k / CITY_COLUMNS)).alias("lat"), (F.lit(ORIGIN_LON) + STEP * (k % CITY_COLUMNS)).alias("lon"))
+    step = F.explode(F.array(F.when(k % CITY_COLUMNS < CITY_COLUMNS - 1, 1), F.when(k % CITY_COLUMNS > 0, -1), F.lit(CITY_COLUMNS), F.lit(-CITY_COLUMNS)))
+    e = own.withColumn("step", step).where("step is not null").select(k.alias("src"), (k + F.col("step")).cast("int").alias("dst"))
+    e = numbered(e.join(own.withColumnRenamed("node_id", "dst"), "dst", "left_semi"), "edge_id", "src", "dst")
+    e = e.select(F.col("edge_id").cast("int").alias("edge_id"), F.concat(F.least("src", "dst") + 1, F.lit(":"), F.when(F.abs(F.col("src") - F.col("dst")) == 1, "0").otherwise("1"), F.when(F.col("src") < F.col("dst"), ":F").otherwise(":R")).alias("segment_id"), "src", "dst", F.lit(500.0).alias("length_m"), F.lit(36.0).alias("freeflow_s"), F.lit(1800.0).alias("capacity_vph"))
+    return Network(n, e)
+
+
+def city_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests between the city's nodes: (request_id, idx, src, dst, weight, depart_s)."""
+    n = table(spark, sf_dir, "supplier").count()
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.cast("string").alias("request_id"), k.alias("idx"), (F.col("o_custkey") % n).cast("int").alias("src"), ((k * 7 + 3) % n).cast("int").alias("dst"), F.lit(1.0).alias("weight"), (k % 3600).cast("double").alias("depart_s"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window messages with an early and a final revision, so that keeping the latest has work."""
     w = sliding_windows(pings(spark, sf_dir).select("taxi_id", "ts", "segment_id", "speed_kmh"))
@@ -102,9 +122,13 @@ messages AS (SELECT segment_id, window_start, window_end, CASE WHEN is_final THE
 latest AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY window_start DESC, emit_time DESC) = 1)"""
 
 
-def distances(cost: str, of: str) -> str:
+def distances(cost: str, of: str, name: str = "d") -> str:
     """CTEs d0..d5: least costs of all pairs by squaring, enough for 32 steps."""
-    out = f"d0 AS (SELECT src, dst, min({cost}) AS d FROM {of} GROUP BY src, dst UNION ALL SELECT node_id, node_id, 0.0 FROM nodes)"
+    out = f"{name}0 AS (SELECT src, dst, min({cost}) AS d FROM {of} GROUP BY src, dst UNION ALL SELECT node_id, node_id, 0.0 FROM nodes)"
     for k in range(5):
-        out += f",\nd{k + 1} AS (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d{k} a JOIN d{k} b ON a.dst = b.src GROUP BY a.src, b.dst)"
+        out += f",\n{name}{k + 1} AS (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM {name}{k} a JOIN {name}{k} b ON a.dst = b.src GROUP BY a.src, b.dst)"
     return out
+
+
+CITY = f"""n AS (SELECT count(*) AS n FROM supplier),
+trips AS (SELECT CAST(o_orderkey AS VARCHAR) AS request_id, o_orderkey AS idx, CAST(o_custkey % n AS INTEGER) AS src, CAST((o_orderkey * 7 + 3) % n AS INTEGER) AS dst FROM orders, n)"""

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cost import Bpr
 from ..operators.assign import ROUTERS, Price, assign
 from ..operators.congestion import snapshot
 from ..operators.frames import deltas, due_ticks, frame_json
@@ -77,13 +78,28 @@ def compare(requests: DataFrame, network: Network, load=None, price: Price = Pri
     return a.select("request_id", F.col("cost_s").alias("naive_s"), F.col("segments").alias("naive_segments")).join(b.select("request_id", F.col("cost_s").alias("reactive_s"), F.col("segments").alias("reactive_segments")), "request_id").withColumn("diverted", F.col("naive_segments") != F.col("reactive_segments"))
 
 
+def request_counts(requests: DataFrame) -> DataFrame:
+    """(endpoint, outcome, requests): how many calls ended how."""
+    return requests.groupBy("endpoint", "outcome").agg(F.count(F.lit(1)).alias("requests"))
+
+
 def congestion(network: Network, load: DataFrame) -> DataFrame:
     return snapshot(network.edges, load)
 
 
-def stream_frames(network: Network, requests: DataFrame, speed: float = 30.0, tick_hz: float = 1.0, **options) -> DataFrame:
-    """Snapshot and delta frames of all strategies as JSON."""
+def stream_frames(network: Network, requests: DataFrame, speed: float = 30.0, tick_hz: float = 1.0, start: str = "2026-06-22T08:00:00Z", **options) -> DataFrame:
+    """Snapshot and delta frames of all strategies as JSON, with each tick's metrics: total
+    time under the tick's load, and the strategy's static price of anarchy.
+
+    Times of routing aren't measured here, as equal runs are to give equal
+    frames; they count as 0.
+    """
+    tick_s, price = options.get("tick_s", sweep.TICK_S), options.get("price", Price())
     ticks, _ = sweep.simulations(network, requests, **options)
-    sent = due_ticks(ticks, options.get("tick_s", sweep.TICK_S), speed, tick_hz)
-    states = sweep.tick_states(sent, network).join(sent.select("algo", "tick", "frame"), ["algo", "tick"])
-    return frame_json(deltas(states))
+    sent = due_ticks(ticks, tick_s, speed, tick_hz)
+    states = sweep.tick_states(sent, network, price.scale).join(sent.select("algo", "tick", "frame"), ["algo", "tick"])
+    cost = Bpr(price.alpha, price.beta, price.scale).cost(F.col("freeflow_s"), F.col("load_vph"), F.col("capacity_vph"))
+    total = states.join(network.edges.select("edge_id", "freeflow_s", "capacity_vph"), "edge_id").groupBy("algo", "frame").agg(F.sum(F.col("load_vph") * cost).alias("realized_total_s"))
+    poa = sweep.static_poa(network, requests, sweep.Level("live", price.scale, 1.0)).select(F.col("router").alias("algo"), F.col("static_poa").alias("poa"))
+    told = sent.join(total, ["algo", "frame"]).join(poa, "algo").select("algo", "frame", "tick", "in_flight", "completed", "realized_total_s", "poa", F.lit(0).cast("long").alias("compute_ns"), F.lit(0).cast("long").alias("route_median_ns"))
+    return frame_json(deltas(states), told, start, tick_s)

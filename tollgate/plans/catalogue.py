@@ -25,7 +25,7 @@ _SQL: dict[str, str] = {}
 
 # Fixed colours of the ramp, from free flow to full.
 RAMP = ((38, 166, 91), (241, 196, 15), (230, 126, 34), (192, 57, 43))
-# The toy network: coordinates of nodes 0 to 5, and edges (segment, from, to, length, free-flow seconds, capacity).
+# Fixed values, all that follow to PIGOU_EDGES. The toy network: coordinates of nodes 0 to 5, and edges (segment, from, to, length, free-flow seconds, capacity).
 TOY_NODES = ((40.73736, -73.97491), (40.73861, -73.97241), (40.73986, -73.96991), (40.74036, -73.96866), (40.74111, -73.96741), (40.74186, -73.96616))
 TOY_EDGES = (
     ("9000001:0:F", 0, 2, 900.0, 108.0, 900.0),
@@ -363,17 +363,22 @@ def _(spark, sf):
 
 
 @query("matched_pings", f"""WITH {A.EDGES},
-p AS (SELECT event_id, edge_id AS true_edge, lat1 + (lat2 - lat1) * (0.3 + event_id % 5 * 0.1) + 0.00005 AS lat, lon1 + (lon2 - lon1) * (0.3 + event_id % 5 * 0.1) + 0.00003 AS lon FROM events JOIN edges ON event_id % 80 = edge_id)
-SELECT event_id AS ping_id, true_edge AS edge_id, true AS right_edge FROM p""")
-def _(spark, sf):
-    """Pings placed beside known edges, with their heading, find these edges again."""
+p AS (SELECT event_id, edge_id AS true_edge, lat1 + (lat2 - lat1) * (0.3 + event_id % 5 * 0.1) + 0.00005 AS lat, lon1 + (lon2 - lon1) * (0.3 + event_id % 5 * 0.1) + 0.00003 AS lon FROM events JOIN edges ON event_id % 80 = edge_id),
+h AS (SELECT p.*, ((degrees(atan2(sin(radians(e.lon2 - e.lon1)) * cos(radians(e.lat2)), cos(radians(e.lat1)) * sin(radians(e.lat2)) - sin(radians(e.lat1)) * cos(radians(e.lat2)) * cos(radians(e.lon2 - e.lon1)))) % 360) + 360) % 360 AS heading FROM p JOIN edges e ON e.edge_id = true_edge),
+b AS (SELECT *, ((degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) % 360) + 360) % 360 AS bearing, (lon2 - lon1) * cos(radians(lat1)) AS ax, lat2 - lat1 AS ay FROM edges),
+t AS (SELECT event_id, true_edge, b.edge_id, ((heading - bearing) % 360 + 360) % 360 AS turn, ax, ay, (lon - lon1) * cos(radians(lat1)) AS px, lat - lat1 AS py, greatest(0.0, least(1.0, ((lon - lon1) * cos(radians(lat1)) * ax + (lat - lat1) * ay) / (ax * ax + ay * ay))) AS s FROM h, b),
+m AS (SELECT *, sqrt((px - s * ax) ** 2 + (py - s * ay) ** 2) * 6371000.0 * pi() / 180 AS distance_m FROM t),
+best AS (SELECT event_id, any_value(true_edge) AS true_edge, arg_min(edge_id, (round(distance_m + 0.5 * least(turn, 360 - turn), 6), edge_id)) AS edge_id, arg_min(distance_m, (round(distance_m + 0.5 * least(turn, 360 - turn), 6), edge_id)) AS distance_m FROM m WHERE distance_m <= 60 GROUP BY event_id)
+SELECT event_id AS ping_id, edge_id, round(distance_m, 3) AS distance_m, edge_id = true_edge AS right_edge FROM best""")
+def _(spark, sf):
+    """Pings placed beside known edges, with their heading, find these edges again; compared with all edges in the SQL."""
     n, e = A.nodes(spark, sf), A.network(spark, sf)
     at = e.edges.select("edge_id", "src", "dst").join(n.toDF("src", "lat1", "lon1"), "src").join(n.toDF("dst", "lat2", "lon2"), "dst")
     share = F.lit(0.3) + F.col("event_id") % 5 * 0.1
-    p = A.table(spark, sf, "events").withColumn("true_edge", (F.col("event_id") % 80).cast("int")).join(F.broadcast(at.withColumnRenamed("edge_id", "true_edge")), "true_edge")
+    p = A.table(spark, sf, "events").withColumn("true_edge", (F.col("event_id") % 80).cast("int")).join(at.withColumnRenamed("edge_id", "true_edge"), "true_edge")
     p = p.select(F.col("event_id").alias("ping_id"), "true_edge", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * share + 0.00005).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * share + 0.00003).alias("lon"), geo.bearing_deg(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("heading_deg"))
     m = network.match_pings(p, e)
-    return m.join(p.select("ping_id", "true_edge"), "ping_id").select("ping_id", "edge_id", (F.col("edge_id") == F.col("true_edge")).alias("right_edge"))
+    return m.join(p.select("ping_id", "true_edge"), "ping_id").select("ping_id", "edge_id", _r("distance_m", 3).alias("distance_m"), (F.col("edge_id") == F.col("true_edge")).alias("right_edge"))
 
 
 _SPLIT_EDGES = f"{A.EDGES}, part_edges AS (SELECT * FROM edges WHERE NOT (src % 5 = 2 AND dst % 5 = 3) AND NOT (src % 5 = 3 AND dst % 5 = 2) AND NOT (src % 5 = 0 AND dst % 5 = 1))"
@@ -391,7 +396,10 @@ def _(spark, sf):
     return network.weak_components(n.nodes, _some_edges(n))
 
 
-@query("component_report", "SELECT CAST(2 AS BIGINT) AS components, 0 AS largest, CAST(15 AS BIGINT) AS largest_size, 0.6::DOUBLE AS fraction, '3,4,8,9,13,14,18,19,23,24' AS outside FROM (SELECT 1)")
+@query("component_report", f"""WITH RECURSIVE {_SPLIT_EDGES}, r AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT r.a, CASE WHEN part_edges.src = r.b THEN part_edges.dst ELSE part_edges.src END FROM r JOIN part_edges ON r.b IN (part_edges.src, part_edges.dst)),
+labels AS (SELECT a AS node_id, CAST(min(b) AS INTEGER) AS component FROM r GROUP BY a), sizes AS (SELECT component, count(*) AS n FROM labels GROUP BY component),
+big AS (SELECT component, n FROM sizes ORDER BY n DESC, component LIMIT 1), away AS (SELECT node_id FROM labels WHERE component <> (SELECT component FROM big) ORDER BY node_id LIMIT 10)
+SELECT (SELECT count(*) FROM sizes) AS components, component AS largest, n AS largest_size, n / (SELECT count(*) FROM labels)::DOUBLE AS fraction, (SELECT string_agg(node_id, ',' ORDER BY node_id) FROM away) AS outside FROM big""")
 def _(spark, sf):
     n = A.network(spark, sf)
     r = network.component_report(network.weak_components(n.nodes, _some_edges(n)))
@@ -404,8 +412,8 @@ def _(spark, sf):
 
 
 def _all_pairs(n: Network) -> DataFrame:
-    v = n.nodes.select("node_id")
-    return v.toDF("src").join(v.toDF("dst"))
+    """All pairs with a path, each node with itself included."""
+    return network.reachable_pairs(n.edges, itself=True)
 
 
 @query("shortest_costs", f"WITH {A.EDGES}, {A.distances('freeflow_s', 'edges')} SELECT src, dst, round(d + 1e-7, 4) AS cost_s FROM d5")
@@ -568,10 +576,18 @@ def _(spark, sf):
     return odset.synthesize(A.network(spark, sf), 1000, 5000.0, 20260618).select("idx", "id", "src", "dst", "weight")
 
 
-@query("od_labels", f"WITH {_OD} SELECT CASE WHEN src < dst THEN 'out' ELSE 'back' END AS label, count(*) AS requests FROM od GROUP BY label")
+@query("od_labels", f"WITH {_OD} SELECT 'n' || src || '->n' || dst AS label, count(*) AS requests FROM od GROUP BY label")
+def _(spark, sf):
+    """How often each pair was drawn."""
+    return odset.label_counts(odset.synthesize(A.network(spark, sf), 1000, 5000.0, 20260618))
+
+
+@query("od_document", f"""WITH {_OD} SELECT '{{"seed":20260618,"demand_level":"vc1.0","target_vc":1.0,"total_demand_vph":5000.0,"requests":[' || string_agg('{{"id":"' || id || '","from":{{"lat":' || a.lat::DOUBLE || ',"lon":' || a.lon::DOUBLE || '}},"to":{{"lat":' || b.lat::DOUBLE || ',"lon":' || b.lon::DOUBLE || '}},"weight_vph":5.0,"label":"n' || src || '->n' || dst || '"}}', ',' ORDER BY idx) || ']}}' AS body
+FROM od JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst""")
 def _(spark, sf):
-    o = odset.synthesize(A.network(spark, sf), 1000, 5000.0, 20260618)
-    return o.groupBy(F.when(F.col("src") < F.col("dst"), "out").otherwise("back").alias("label")).agg(F.count(F.lit(1)).alias("requests"))
+    """The set as a JSON document, with places and labels."""
+    n = A.network(spark, sf)
+    return odset.to_json(odset.synthesize(n, 1000, 5000.0, 20260618), n.nodes, 20260618, "vc1.0", 1.0, 5000.0)
 
 
 @query("od_text", f"WITH {A.NODES}, {A.TRIPS} SELECT request_id AS id, round(a.lat, 6) AS from_lat, round(a.lon, 6) AS from_lon, round(b.lat, 6) AS to_lat, round(b.lon, 6) AS to_lon, depart_s AS depart_at, weight FROM trips JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst")
@@ -620,10 +636,15 @@ def _(spark, sf):
     return A.roads(spark, sf).select("segment_id").join(s, "segment_id", "left").select("segment_id", F.coalesce("b", F.lit(0)).alias("bucket"))
 
 
+@query("compute_times", "SELECT event_id, CAST(floor(value * 1000) AS BIGINT) / 1e6 AS compute_ms FROM events")
+def _(spark, sf):
+    return A.table(spark, sf, "events").select("event_id", display.ns_to_ms(F.floor(F.col("value") * 1000)).alias("compute_ms"))
+
+
 @query("request_counts", "SELECT event_type AS endpoint, CASE WHEN value < 100 THEN 'ok' ELSE 'error' END AS outcome, count(*) AS requests FROM events GROUP BY ALL")
 def _(spark, sf):
     e = A.table(spark, sf, "events")
-    return e.groupBy(F.col("event_type").alias("endpoint"), F.when(F.col("value") < 100, "ok").otherwise("error").alias("outcome")).agg(F.count(F.lit(1)).alias("requests"))
+    return api.request_counts(e.select(F.col("event_type").alias("endpoint"), F.when(F.col("value") < 100, "ok").otherwise("error").alias("outcome")))
 
 
 @query("labels", "SELECT event_id, CASE WHEN value > 400 THEN '—' ELSE printf('%.2f', value) END AS metric, printf('%02d:%02d', (event_id * 7 % 1440) // 60, (event_id * 7 % 1440) % 60) AS clock, 'seed=' || user_id || '|' || event_type AS key, '\"' || sha256(event_type) || '\"' AS etag FROM events")
@@ -642,14 +663,19 @@ def _(spark, sf):
     return api.route(A.trips(spark, sf), A.network(spark, sf)).select("request_id", "algo", _r(F.col("cost_s") + 1e-7, 4).alias("cost_s"), F.array_join("segments", " ").alias("segments"))
 
 
-@query("compare_routes")
+_BOTH = f"""{A.LOAD}, {A.TRIPS}, {A.distances('freeflow_s', 'edges')}, {A.distances('time_s', 'state', 'r')},
+na AS (SELECT t.idx, string_agg(e.edge_id, ' ' ORDER BY e.edge_id) AS path FROM trips t JOIN d5 total ON total.src = t.src AND total.dst = t.dst JOIN d5 a ON a.src = t.src JOIN edges e ON e.src = a.dst JOIN d5 b ON b.src = e.dst AND b.dst = t.dst WHERE t.src <> t.dst AND abs(a.d + e.freeflow_s + b.d - total.d) < 1e-7 GROUP BY t.idx),
+re AS (SELECT t.idx, string_agg(e.edge_id, ' ' ORDER BY e.edge_id) AS path FROM trips t JOIN r5 total ON total.src = t.src AND total.dst = t.dst JOIN r5 a ON a.src = t.src JOIN state e ON e.src = a.dst JOIN r5 b ON b.src = e.dst AND b.dst = t.dst WHERE t.src <> t.dst AND abs(a.d + e.time_s + b.d - total.d) < 1e-7 * greatest(1, total.d) GROUP BY t.idx)"""
+
+
+@query("compare_routes", f"WITH {_BOTH} SELECT request_id, round(d5.d + 1e-7, 4) AS naive_s, round(r5.d, 3) AS reactive_s, coalesce(na.path <> re.path, false) AS diverted FROM trips JOIN d5 USING (src, dst) JOIN r5 USING (src, dst) LEFT JOIN na USING (idx) LEFT JOIN re USING (idx)")
 def _(spark, sf):
     """Free-flow and reactive answers side by side."""
     n = A.network(spark, sf)
-    return api.compare(A.trips(spark, sf), n, _dense(n, A.observed_load(spark, sf))).select("request_id", _r("naive_s", 4).alias("naive_s"), _r("reactive_s", 4).alias("reactive_s"), "diverted")
+    return api.compare(A.trips(spark, sf), n, _dense(n, A.observed_load(spark, sf))).select("request_id", _r(F.col("naive_s") + 1e-7, 4).alias("naive_s"), _r("reactive_s", 3).alias("reactive_s"), "diverted")
 
 
-@query("graph_features")
+@query("graph_features", f"""WITH {A.EDGES} SELECT segment_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[[' || lon1::DOUBLE || ',' || lat1::DOUBLE || '],[' || lon2::DOUBLE || ',' || lat2::DOUBLE || ']]}},"properties":{{"segment_id":"' || segment_id || '"}}}}' AS feature FROM edges""")
 def _(spark, sf):
     return geojson.graph_geojson(A.roads(spark, sf))
 
@@ -668,6 +694,24 @@ for _name in ("incremental", "msa", "systemoptimal", "multipath"):
     _Q[f"{_name}_flows"] = _flows(_name)
 
 
+def _incremental_sql() -> str:
+    """Four all-or-nothing loads, each on the shortest paths under what is loaded before."""
+    out = f"""{A.EDGES}, {A.TRIPS}, placed AS (SELECT *, weight / 24.0 AS w, row_number() OVER (ORDER BY idx, request_id) - 1 AS pos, count(*) OVER () AS n FROM trips),
+parts AS (SELECT src, dst, w, CASE WHEN pos < n // 4 + n % 4 THEN 0 ELSE 1 + (pos - n // 4 - n % 4) // (n // 4) END AS part FROM placed),
+s0 AS (SELECT *, 0.0::DOUBLE AS flow, freeflow_s AS cost FROM edges)"""
+    for k in range(5):
+        out += f", {A.distances('cost', f's{k}', f'p{k}_')}"
+        if k < 4:
+            out += f""",
+u{k} AS (SELECT e.edge_id, sum(t.w) AS x FROM (SELECT src, dst, sum(w) AS w FROM parts WHERE part = {k} AND src <> dst GROUP BY src, dst) t JOIN p{k}_5 total USING (src, dst) JOIN p{k}_5 a ON a.src = t.src JOIN s{k} e ON e.src = a.dst JOIN p{k}_5 b ON b.src = e.dst AND b.dst = t.dst WHERE abs(a.d + e.cost + b.d - total.d) < 1e-9 * total.d GROUP BY e.edge_id),
+s{k + 1} AS (SELECT s.* EXCLUDE (flow, cost), s.flow + coalesce(x, 0) AS flow, freeflow_s * (1 + 0.15 * ((s.flow + coalesce(x, 0)) / capacity_vph) ** 4) AS cost FROM s{k} s LEFT JOIN u{k} USING (edge_id))"""
+    return f"""WITH {out}, gap AS (SELECT (SELECT sum(flow * cost) FROM s4) AS spent, (SELECT sum(w * d) FROM parts JOIN p4_5 USING (src, dst)) AS least)
+SELECT edge_id, round(flow, 6) AS load_vph, 4 AS iters, true AS converged, round(abs(spent - least) / least, 8) AS gap FROM s4, gap"""
+
+
+_SQL["incremental_flows"] = _incremental_sql()
+
+
 @query("toy_sweep")
 def _(spark, sf):
     """All strategies at all levels on the toy network."""
@@ -676,19 +720,30 @@ def _(spark, sf):
     return sweep.sweep(n, od)
 
 
-@query("pigou_poa")
+_PIGOU = "e(id, ff, cap) AS (VALUES " + ", ".join(f"({k}, {x[4]}::DOUBLE, {x[5]}::DOUBLE)" for k, x in enumerate(PIGOU_EDGES)) + ")"
+
+
+@query("pigou_poa", f"""WITH RECURSIVE {_PIGOU}, k AS (SELECT max(ff) FILTER (id = 0) AS f0, max(cap) FILTER (id = 0) AS c0, max(ff) FILTER (id = 1) AS f1, max(cap) FILTER (id = 1) AS c1, 1800.0::DOUBLE AS demand FROM e),
+so AS (SELECT 0 AS step, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS x1, 1.0::DOUBLE AS gap, false AS done, false AS left_road FROM k
+UNION ALL SELECT step + 1, x0 + (CASE WHEN m0 <= m1 THEN demand ELSE 0 END - x0) / (step + 1), x1 + (CASE WHEN m0 <= m1 THEN 0 ELSE demand END - x1) / (step + 1), abs(x0 * m0 + x1 * m1 - demand * least(m0, m1)) / (demand * least(m0, m1)), abs(x0 * m0 + x1 * m1 - demand * least(m0, m1)) / (demand * least(m0, m1)) < 1e-4, m0 <= m1
+  FROM (SELECT so.*, k.*, f0 * (1 + 0.75 * (x0 / c0) ** 4) AS m0, f1 * (1 + 0.75 * (x1 / c1) ** 4) AS m1 FROM so, k WHERE NOT done AND step < 100)),
+runs AS (SELECT 'systemoptimal' AS router, step AS iters, done AS converged, gap, x0, x1, left_road FROM so WHERE step = (SELECT max(step) FROM so) UNION ALL SELECT 'naive', 1, true, 0.0, demand, 0.0, true FROM k),
+t AS (SELECT *, f0 * (1 + 0.15 * (x0 / c0) ** 4) AS t0, f1 * (1 + 0.15 * (x1 / c1) ** 4) AS t1 FROM runs, k),
+m AS (SELECT *, x0 * t0 + x1 * t1 AS total, CASE WHEN left_road THEN t0 ELSE t1 END AS seen FROM t)
+SELECT router, round(seen, 6) AS mean_realized_s, round(total, 4) AS total_network_time_s, round(greatest(x0 / c0, x1 / c1), 6) AS max_vc, round(total / max(total) FILTER (router = 'systemoptimal') OVER (), 6) AS poa, iters, converged, round(gap, 6) AS gap FROM m""")
 def _(spark, sf):
     """Two parallel roads: what selfish routing costs."""
     n = small_network(spark, ((41.14, -8.63), (41.145, -8.63)), PIGOU_EDGES)
     r = spark.range(9).select(F.col("id").cast("string").alias("request_id"), F.col("id").alias("idx"), F.lit(0).alias("src"), F.lit(1).alias("dst"), F.lit(200.0).alias("weight"))
-    return sweep.run_single(n, r, "naive")
+    s = sweep.run_single(n, r, "naive")
+    return s.select("router", _r("mean_realized_s").alias("mean_realized_s"), _r("total_network_time_s", 4).alias("total_network_time_s"), _r("max_vc").alias("max_vc"), _r("poa").alias("poa"), F.col("iters").cast("int").alias("iters"), "converged", _r("gap").alias("gap"))
 
 
 @query("toy_simulation")
 def _(spark, sf):
     """Vehicles of an hour from 08:00 on the toy network, for each strategy."""
     n = toy(spark)
-    ticks, trips = sweep.simulations(n, sweep.trips_at(n, 20260618, 8 * 3600.0, 200))
+    ticks, trips = sweep.simulations(n, sweep.trips_at(n, 20260618, 8 * 3600.0))
     done = trips.groupBy("algo").agg(_r(F.avg("time_s"), 4).alias("mean_s"), _r(evaluate.nearest_rank("time_s", 0.95), 4).alias("p95_s"), F.count(F.lit(1)).alias("completed"))
     return ticks.groupBy("algo").agg(F.max("tick").alias("ticks")).join(done, "algo")
 
@@ -697,12 +752,95 @@ def _(spark, sf):
 def _(spark, sf):
     """The frames a viewer gets of that simulation."""
     n = toy(spark)
-    return api.stream_frames(n, sweep.trips_at(n, 20260618, 8 * 3600.0, 100), speed=60.0)
+    return api.stream_frames(n, sweep.trips_at(n, 20260618, 8 * 3600.0), speed=60.0)
 
 
 @query("sweep_markdown")
 def _(spark, sf):
     """A level's table in Markdown."""
     n = toy(spark)
-    od = odset.synthesize(n, 200, sweep.DEMAND_VPH, 20260618).withColumnRenamed("id", "request_id")
-    return report.markdown_rows(sweep.sweep(n, od, sweep.LEVELS[2:3], ("naive", "systemoptimal", "multipath")))
+    od = odset.synthesize(n, sweep.REQUESTS, sweep.DEMAND_VPH, 20260618).withColumnRenamed("id", "request_id")
+    return report.markdown_rows(sweep.sweep(n, od, sweep.LEVELS[2:3]))
+
+
+@query("toy_report")
+def _(spark, sf):
+    """The report document of a sweep."""
+    n = toy(spark)
+    od = odset.synthesize(n, sweep.REQUESTS, sweep.DEMAND_VPH, 20260618).withColumnRenamed("id", "request_id")
+    return report.report_json(sweep.sweep(n, od, sweep.LEVELS[1:3], ("naive", "incremental", "systemoptimal")), 20260618, sweep.REQUESTS, sweep.DEMAND_VPH)
+
+
+_TOY_PATHS = f"""WITH RECURSIVE {_TOY_SQL}, p AS (SELECT src AS s, dst AS d, freeflow_s::DOUBLE AS cost, [edge_id] AS path, [src, dst] AS seen FROM edges
+UNION ALL SELECT s, dst, cost + freeflow_s, list_append(path, edge_id), list_append(seen, dst) FROM p JOIN edges ON d = src WHERE NOT list_contains(seen, dst)),
+k AS (SELECT s, d, path, row_number() OVER (PARTITION BY s, d ORDER BY cost) AS rank, 1 / cost AS w FROM p WHERE s <> d QUALIFY rank <= 3),
+shares AS (SELECT *, w / sum(w) OVER (PARTITION BY s, d) AS share, sum(w) OVER (PARTITION BY s, d ORDER BY rank) / sum(w) OVER (PARTITION BY s, d) AS upto FROM k),
+t AS (SELECT o_orderkey AS idx, CAST(o_orderkey % 2 AS INTEGER) AS src, CAST(2 + o_orderkey % 4 AS INTEGER) AS dst, {_U.format(seed=1, idx='o_orderkey')} AS u FROM orders),
+c AS (SELECT idx, src, dst, 1 + count(*) FILTER (u >= upto - 1e-12) AS rank FROM t JOIN shares ON s = src AND d = dst GROUP BY ALL)"""
+
+
+def _toy_split(spark, sf):
+    n = toy(spark)
+    k = F.col("o_orderkey")
+    t = A.table(spark, sf, "orders").select(k.cast("string").alias("request_id"), k.alias("idx"), (k % 2).cast("int").alias("src"), (2 + k % 4).cast("int").alias("dst"), F.lit(1.0).alias("weight"))
+    return n, assign.multipath(n, t)
+
+
+@query("split_flows", f"{_TOY_PATHS}, used AS (SELECT unnest(path) AS edge_id FROM c JOIN shares ON s = src AND d = dst AND shares.rank = c.rank) SELECT edges.edge_id, count(used.edge_id)::DOUBLE AS load_vph FROM edges LEFT JOIN used USING (edge_id) GROUP BY edges.edge_id")
+def _(spark, sf):
+    """Load on the toy network's edges when every order draws its path."""
+    n, a = _toy_split(spark, sf)
+    return a.flow_table(n)
+
+
+@query("split_shares", f"{_TOY_PATHS} SELECT s AS src, d AS dst, CAST(shares.rank AS INTEGER) AS rank, round(share, 6) AS intended, round(count(c.idx) / sum(count(c.idx)) OVER (PARTITION BY s, d), 6) AS realized FROM shares JOIN (SELECT DISTINCT src, dst FROM t) ON s = src AND d = dst LEFT JOIN c ON s = c.src AND d = c.dst AND shares.rank = c.rank GROUP BY s, d, shares.rank, share")
+def _(spark, sf):
+    """What share each path was meant to have, and what share it got."""
+    p = _toy_split(spark, sf)[1].paths
+    both = p.select("src", "dst", F.posexplode(F.arrays_zip("intended", "realized")).alias("rank", "x"))
+    return both.select("src", "dst", (F.col("rank") + 1).alias("rank"), _r("x.intended").alias("intended"), _r("x.realized").alias("realized"))
+
+
+# --- a graph that grows with the tables -----------------------------------------------------------------
+
+
+@query("city_components", "SELECT CAST(s_suppkey AS INTEGER) AS node_id, 0 AS component FROM supplier")
+def _(spark, sf):
+    n = A.city(spark, sf)
+    return network.weak_components(n.nodes, n.edges)
+
+
+@query("city_od_set", f"""WITH {A.CITY}, draws AS (SELECT i AS idx, least(floor({_U.format(seed=20260618, idx='i')} * n * (n - 1)), n * (n - 1) - 1)::BIGINT AS pick, n FROM (SELECT unnest(range(0, 1000)) AS i), n)
+SELECT CAST(idx AS BIGINT) AS idx, 'od-' || lpad(CAST(idx AS VARCHAR), 4, '0') AS id, CAST(pick // (n - 1) AS INTEGER) AS src, CAST(pick % (n - 1) + CASE WHEN pick % (n - 1) >= pick // (n - 1) THEN 1 ELSE 0 END AS INTEGER) AS dst, 5.0::DOUBLE AS weight FROM draws""")
+def _(spark, sf):
+    """Draws from all reachable pairs of a graph whose pairs aren't made."""
+    return odset.synthesize(A.city(spark, sf), 1000, 5000.0, 20260618).select("idx", "id", "src", "dst", "weight")
+
+
+@query("city_costs", f"WITH {A.CITY} SELECT request_id, 36.0 * (abs(src // {A.CITY_COLUMNS} - dst // {A.CITY_COLUMNS}) + abs(src % {A.CITY_COLUMNS} - dst % {A.CITY_COLUMNS}))::DOUBLE AS cost_s FROM trips")
+def _(spark, sf):
+    """Every order's least time: on a lattice of like roads that is a matter of rows and columns."""
+    return assign.naive(A.city(spark, sf), A.city_trips(spark, sf)).routes.select("request_id", "cost_s")
+
+
+@query("city_msa")
+def _(spark, sf):
+    """User equilibrium of all orders, as many in an hour as the roads can bear."""
+    n, t = A.city(spark, sf), A.city_trips(spark, sf)
+    a = assign.msa(n, t, limit=30)
+    return a.flow_table(n).select("edge_id", _r("load_vph").alias("load_vph"), F.lit(a.iterations).alias("iters"))
+
+
+@query("trips_simulation")
+def _(spark, sf):
+    """All orders as vehicles of one hour on the tables' network, for each strategy."""
+    n = A.network(spark, sf)
+    ticks, trips = sweep.simulations(n, A.trips(spark, sf).withColumn("weight", F.col("weight") / 24.0))
+    done = trips.groupBy("algo").agg(_r(F.avg("time_s"), 4).alias("mean_s"), _r(evaluate.nearest_rank("time_s", 0.95), 4).alias("p95_s"), F.count(F.lit(1)).alias("completed"))
+    return ticks.groupBy("algo").agg(F.max("tick").alias("ticks")).join(done, "algo")
+
+
+@query("trips_sweep")
+def _(spark, sf):
+    """All strategies at the level of full capacity, with all orders as the demand of a day."""
+    return sweep.sweep(A.network(spark, sf), A.trips(spark, sf).withColumn("weight", F.col("weight") / 24.0), sweep.LEVELS[2:3])

@@ -7,9 +7,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = ("router", "demand", "cap_scale", "target_vc", "max_vc", "mean_s", "p95_s", "total_s", "poa", "gini_vc", "iters", "converged", "gap")
-SOURCES = ("router", "demand_level", "capacity_scale", "target_vc", "max_vc", "mean_realized_s", "p95_realized_s", "total_network_time_s", "poa", "gini_vc", "iters", "converged", "gap")
-FORMATS = ("%s", "%s", "%.2f", "%.2f", "%.4f", "%.2f", "%.2f", "%.2f", "%.4f", "%.4f", "%d", "%s", "%s")
+from ..operators.evaluate import headline
+
+COLUMNS = ("router", "demand", "cap_scale", "target_vc", "max_vc", "mean_s", "p95_s", "total_s", "poa", "sim_mean_s", "sim_p95_s", "gini_vc", "iters", "converged", "gap")
+SOURCES = ("router", "demand_level", "capacity_scale", "target_vc", "max_vc", "mean_realized_s", "p95_realized_s", "total_network_time_s", "poa", "sim_mean_realized_s", "sim_p95_realized_s", "gini_vc", "iters", "converged", "gap")
+FORMATS = ("%s", "%s", "%.2f", "%.2f", "%.4f", "%.2f", "%.2f", "%.2f", "%.4f", "%.2f", "%.2f", "%.4f", "%d", "%s", "%s")
 
 
 def header() -> str:
@@ -33,11 +35,14 @@ def markdown(cells: DataFrame, order: tuple[str, ...]) -> str:
     return "\n".join([header(), separator(), *lines])
 
 
-def report_json(cells: DataFrame, seed: int) -> DataFrame:
-    """One row: all cells, and the price of anarchy by level, as JSON."""
+def report_json(cells: DataFrame, seed: int, od_count: int, total_vph: float) -> DataFrame:
+    """One row: what was run, all cells, naive's price of anarchy at each level, and the
+    level where most time is saved, as JSON. A report has a row per level and strategy."""
     one = F.struct("target_vc", "router", F.struct(*cells.columns).alias("cell"))
-    body = F.struct(F.lit(seed).alias("seed"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["cell"]).alias("cells"))
-    return cells.agg(F.to_json(body).alias("body"))
+    level = F.struct("target_vc", F.struct("demand_level", "poa").alias("of"))
+    body = cells.agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["cell"]).alias("cells"), F.transform(F.array_sort(F.collect_list(F.when(F.col("router") == "naive", level))), lambda x: x["of"]).alias("poa_by_level"))
+    best = headline(cells.withColumn("total_s", F.col("total_network_time_s"))).agg(F.first(F.struct("demand_level", "router", "improvement_pct")).alias("headline_improvement"))
+    return body.join(best).select(F.to_json(F.struct(F.lit(seed).alias("seed"), F.lit(od_count).alias("od_count"), F.lit(total_vph).alias("total_demand_vph"), "cells", "poa_by_level", "headline_improvement")).alias("body"))
 
 
 def replace_region(text: str, name: str, body: str) -> str:

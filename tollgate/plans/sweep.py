@@ -13,8 +13,9 @@ from ..functions.cost import Bpr
 from ..functions.demand import departure_spread, factor_of_seconds, hash_uniform
 from ..operators import kernels as K
 from ..operators.assign import PATHS, ROUTERS, Price, assign, weighted
-from ..operators.evaluate import evaluate, poa_by_level
+from ..operators.evaluate import evaluate, poa_by_level, tail
 from ..operators.network import Network
+from ..session import cut
 from ..sources.odset import requests_at, synthesize
 
 
@@ -38,13 +39,29 @@ def cell(network: Network, requests: DataFrame, router: str, level: Level, price
     return m.select(F.lit(router).alias("router"), F.lit(level.name).alias("demand_level"), F.lit(level.target_vc).alias("target_vc"), F.lit(level.scale).alias("capacity_scale"), *m.columns, F.lit(a.iterations).alias("iters"), F.lit(a.converged).alias("converged"), F.lit(float(a.gap)).alias("gap"))
 
 
+def experienced(network: Network, requests: DataFrame, level: Level) -> dict[str, float]:
+    """Mean and tail of the times that a level's vehicles experience, 0 without any.
+
+    All requests are released as they depart; whoever is released answers to
+    the load built up so far, whatever strategy the level's other numbers are of.
+    """
+    out = requests if "depart_s" in requests.columns else requests.withColumn("depart_s", F.lit(0.0))
+    _, trips = simulations(network, out, ("reactive",), Price(scale=level.scale))
+    mean = trips.agg(F.coalesce(F.avg("time_s"), F.lit(0.0)).alias("m")).first()["m"]
+    return {"sim_mean_realized_s": mean, "sim_p95_realized_s": tail(trips, "time_s", 0.95)}
+
+
 def sweep(network: Network, requests: DataFrame, levels=LEVELS, routers=ROUTERS) -> DataFrame:
-    """A row per level and strategy, with the price of anarchy against the level's optimum.
+    """A row per level and strategy, with the price of anarchy against the level's optimum
+    and the times that vehicles experience when the level is simulated.
 
     The rows are metrics, a few dozen in all; each is collected when it is made,
     so that a loop's plan isn't run twice.
     """
-    rows = [cell(network, requests, r, lv).first().asDict() for lv in levels for r in routers]
+    rows = []
+    for lv in levels:
+        seen = experienced(network, requests, lv)
+        rows += [cell(network, requests, r, lv).first().asDict() | seen for r in routers]
     made = network.edges.sparkSession.createDataFrame([Row(**r) for r in rows])
     return poa_by_level(made.withColumn("total_s", F.col("total_network_time_s"))).drop("total_s")
 
@@ -78,7 +95,7 @@ def simulations(network: Network, requests: DataFrame, routers=ROUTERS, price: P
     if n > 5_000_000:
         raise ValueError(f"{n} trips; one simulation holds 5000000 at most: simulate regions apart")
     reqs = weighted(requests).orderBy("idx").select("idx", "src", "dst", "depart_s", "weight").toArrow()
-    sent = spark.sparkContext.broadcast([tuple(r.values()) for r in reqs.to_pylist()])
+    sent = spark.sparkContext.broadcast([reqs[c].to_numpy() for c in reqs.column_names])
     graph = network.broadcast
     u = spark.range(1).select(hash_uniform(seed, F.lit(0)).alias("u")).first()["u"]
 
@@ -115,13 +132,14 @@ def simulations(network: Network, requests: DataFrame, routers=ROUTERS, price: P
         g = graph.value[0]
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                done = K.simulate(g, sent.value, route_by(name, g), tick_s, max_ticks, price.alpha, price.beta, price.scale)
-                rows = [{"kind": "tick", "algo": name, "tick": t, "in_flight": f, "completed": c, "load": x.tolist(), "idx": None, "time_s": None} for t, f, c, x in done.ticks]
-                rows += [{"kind": "trip", "algo": name, "tick": None, "in_flight": None, "completed": None, "load": None, "idx": i, "time_s": s} for i, s in done.trips.items()]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("kind", pa.string()), ("algo", pa.string()), ("tick", pa.int32()), ("in_flight", pa.int32()), ("completed", pa.int32()), ("load", pa.list_(pa.float64())), ("idx", pa.int64()), ("time_s", pa.float64())]))
+                trips = list(zip(*(x.tolist() for x in sent.value)))
+                for t, f, c, load, ended in K.simulate(g, trips, route_by(name, g), tick_s, max_ticks, price.alpha, price.beta, price.scale):
+                    rows = [{"kind": "tick", "algo": name, "tick": t, "in_flight": f, "completed": c, "load": load.tolist(), "idx": None, "time_s": None}]
+                    rows += [{"kind": "trip", "algo": name, "tick": t, "in_flight": None, "completed": None, "load": None, "idx": i, "time_s": s} for i, s in ended.items()]
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("kind", pa.string()), ("algo", pa.string()), ("tick", pa.int32()), ("in_flight", pa.int32()), ("completed", pa.int32()), ("load", pa.list_(pa.float64())), ("idx", pa.int64()), ("time_s", pa.float64())]))
 
     names = spark.createDataFrame([(r,) for r in routers], "algo string").repartition(len(routers), "algo")
-    out = names.mapInArrow(run, "kind string, algo string, tick int, in_flight int, completed int, load array<double>, idx long, time_s double").persist()
+    out = cut(names.mapInArrow(run, "kind string, algo string, tick int, in_flight int, completed int, load array<double>, idx long, time_s double"))
     return out.where("kind = 'tick'").select("algo", "tick", "in_flight", "completed", "load"), out.where("kind = 'trip'").select("algo", "idx", "time_s")
 
 

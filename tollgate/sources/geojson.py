@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..operators.validate import InvalidEdges, checked
 
-MAX_BYTES = 512 << 20
+#: Bytes that are read, at most, and characters that are written at once.
+MAX_BYTES, CHUNK = 512 << 20, 1 << 20
 PROPERTIES = T.StructType(
     [T.StructField(n, t) for n, t in (("segment_id", T.StringType()), ("edge_id", T.LongType()), ("source_node", T.LongType()), ("target_node", T.LongType()), ("osm_way_id", T.LongType()), ("highway_class", T.StringType()), ("lanes_effective", T.IntegerType()), ("length_m", T.DoubleType()), ("maxspeed_kmh", T.DoubleType()), ("freeflow_time_s", T.DoubleType()), ("capacity_vph", T.DoubleType()))]
 )
@@ -27,11 +28,11 @@ def read_edges(spark: SparkSession, path: str, bounds: tuple[float, float, float
     size = spark.read.format("binaryFile").load(path).select(F.sum("length").alias("n")).first()["n"] or 0
     if size > MAX_BYTES:
         raise InvalidEdges(f"{size} bytes; at most {MAX_BYTES} are read")
-    raw = spark.read.text(path, wholetext=True)
-    head = raw.select(F.get_json_object("value", "$.type").alias("type"), F.regexp_extract("value", r'"schema_version"\s*:\s*("?[^,}\s]+)', 1).alias("version")).collect()
+    # Of the envelope alone: a whole number is read as such, a string or 1.0 as null.
+    head = spark.read.schema("type string, schema_version long").option("multiLine", True).json(path).limit(1000).collect()
     for h in head:
-        if h["type"] != "FeatureCollection" or h["version"] != "1":
-            raise InvalidEdges(f"envelope: type {h['type']!r}, schema_version {h['version']!r}")
+        if h["type"] != "FeatureCollection" or h["schema_version"] != 1:
+            raise InvalidEdges(f"envelope: type {h['type']!r}, schema_version {h['schema_version']!r}")
     body = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(FEATURE))])).option("multiLine", True).json(path)
     f = body.select(F.posexplode("features").alias("row", "f"))
     odd = f.where("f.type <> 'Feature' or f.geometry.type <> 'LineString' or f is null").limit(1).collect()
@@ -47,12 +48,21 @@ def feature_json(edges: DataFrame) -> DataFrame:
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    """One GeoJSON file; features are streamed to it in the order of their ids."""
-    with open(path, "w", encoding="utf-8") as out:
-        out.write('{"type": "FeatureCollection", "schema_version": 1, "features": [')
-        for k, r in enumerate(feature_json(edges).orderBy("edge_id").toLocalIterator()):
-            out.write((",\n" if k else "\n") + r["feature"])
-        out.write("\n]}\n")
+    """One GeoJSON file in any file system that Hadoop reaches; features are streamed to it
+    in the order of their ids, one partition at a time."""
+    sc = edges.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
+    held = ['{"type": "FeatureCollection", "schema_version": 1, "features": [']
+    size = 0
+    for k, r in enumerate(feature_json(edges).orderBy("edge_id").toLocalIterator()):
+        held.append((",\n" if k else "\n") + r["feature"])
+        size += len(held[-1])
+        if size > CHUNK:
+            out.write(bytearray("".join(held).encode("utf-8")))
+            held, size = [], 0
+    out.write(bytearray("".join([*held, "\n]}\n"]).encode("utf-8")))
+    out.close()
 
 
 def graph_geojson(edges: DataFrame) -> DataFrame:

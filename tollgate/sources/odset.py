@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.demand import hash_uniform
-from ..operators.network import Network, reachable_pairs
-from ..operators.ranking import numbered
+from ..operators.network import Network, draw_pairs
 
 SCHEMA = "id string, from_lat double, from_lon double, to_lat double, to_lon double, depart_at double, weight double"
 
@@ -16,15 +15,23 @@ def synthesize(network: Network, count: int, total_vph: float, seed: int) -> Dat
     """(idx, id, src, dst, weight): ``count`` uniform draws from all reachable pairs, weights even.
 
     Pairs are numbered in ascending order; a draw is a function of seed and
-    index. Without pairs or with a count of 0 or less the set is empty.
+    index. Without pairs or with a count of 0 or less the set is empty. The
+    pairs themselves are counted, not made.
     """
-    spark = network.edges.sparkSession
-    pool = reachable_pairs(network.edges)
-    n = pool.count()
-    count = max(0, count) if n else 0
-    pool = numbered(pool, "pick", "src", "dst")
-    draws = spark.range(count).withColumnRenamed("id", "idx").withColumn("pick", F.floor(hash_uniform(seed, F.col("idx")) * n))
-    return draws.join(pool, "pick").select("idx", F.format_string("od-%04d", F.col("idx")).alias("id"), "src", "dst", F.lit(total_vph / count if count else 0.0).alias("weight"))
+    spark, count = network.edges.sparkSession, max(0, count)
+    draws = spark.range(count).select(F.col("id").alias("idx")).withColumn("u", hash_uniform(seed, F.col("idx")))
+    drawn, _ = draw_pairs(network.edges, draws)
+    return drawn.select("idx", F.format_string("od-%04d", F.col("idx")).alias("id"), "src", "dst", F.lit(total_vph / count if count else 0.0).alias("weight"))
+
+
+def labelled(od: DataFrame) -> DataFrame:
+    """``od`` with the label of each pair of nodes."""
+    return od.withColumn("label", F.format_string("n%d->n%d", "src", "dst"))
+
+
+def label_counts(od: DataFrame) -> DataFrame:
+    """(label, requests) in the order of the labels."""
+    return labelled(od).groupBy("label").agg(F.count(F.lit(1)).alias("requests")).orderBy("label")
 
 
 def requests_at(od: DataFrame, departures: DataFrame | None = None) -> DataFrame:
@@ -62,8 +69,11 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return from_lines(spark.read.text(path))
 
 
-def to_json(od: DataFrame, seed: int, level: str, target_vc: float, total_vph: float) -> DataFrame:
-    """One row with the set as a JSON document."""
-    one = F.struct("idx", F.struct(F.col("id"), F.col("src").alias("from"), F.col("dst").alias("to"), F.col("weight").alias("weight_vph")).alias("r"))
+def to_json(od: DataFrame, nodes: DataFrame, seed: int, level: str, target_vc: float, total_vph: float) -> DataFrame:
+    """One row with the set as a JSON document: places by coordinates, not by node ids, which
+    a later numbering may change; a document is one value and holds a set as a whole."""
+    n = nodes.select("node_id", F.struct("lat", "lon").alias("place"))
+    placed = labelled(od).join(n.toDF("src", "from"), "src").join(n.toDF("dst", "to"), "dst")
+    one = F.struct("idx", F.struct("id", "from", "to", F.col("weight").alias("weight_vph"), "label").alias("r"))
     reqs = F.transform(F.array_sort(F.collect_list(one)), lambda x: x["r"])
-    return od.agg(reqs.alias("requests")).select(F.to_json(F.struct(F.lit(seed).alias("seed"), F.lit(level).alias("demand_level"), F.lit(target_vc).alias("target_vc"), F.lit(total_vph).alias("total_demand_vph"), "requests")).alias("body"))
+    return placed.agg(reqs.alias("requests")).select(F.to_json(F.struct(F.lit(seed).alias("seed"), F.lit(level).alias("demand_level"), F.lit(target_vc).alias("target_vc"), F.lit(total_vph).alias("total_demand_vph"), "requests")).alias("body"))
