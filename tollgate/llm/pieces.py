@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .common import slices, table, with_columns
 
 MARK = "▁"
+#: What normalisers fold, join or trim.
+PROBE = "ﬁ Ａ é  x "
 #: Words of more characters aren't cached; each of a cache's two generations holds so many words.
 CACHE_CHARS, CACHE_WORDS = 40, 300_000
 _WARM: dict[tuple, "Encoder"] = {}
@@ -77,6 +79,9 @@ def load_vocabulary(path: str) -> Vocabulary:
             pieces.append(p.replace(MARK, " ").encode())
             if not sp.is_unused(i):
                 ids[p], scores[p] = i, sp.get_score(i)
+    # The encoder takes text as it stands behind one space mark; a model that would change it is refused.
+    if sp.normalize(PROBE) != MARK + PROBE.replace(" ", MARK):
+        raise ValueError("the model normalises texts or has no leading space mark")
     if min(byte_ids) < 0:
         raise ValueError("the model has no byte fallback")
     if any(a != MARK and b == MARK for p in ids for a, b in zip(p, p[1:])):
