@@ -51,16 +51,16 @@ def experienced(network: Network, requests: DataFrame, level: Level) -> dict[str
     return {"sim_mean_realized_s": mean, "sim_p95_realized_s": tail(trips, "time_s", 0.95)}
 
 
-def sweep(network: Network, requests: DataFrame, levels=LEVELS, routers=ROUTERS) -> DataFrame:
+def sweep(network: Network, requests: DataFrame, levels=LEVELS, routers=ROUTERS, simulated: bool = True) -> DataFrame:
     """A row per level and strategy, with the price of anarchy against the level's optimum
-    and the times that vehicles experience when the level is simulated.
+    and, if ``simulated``, the times that vehicles experience at the level.
 
     The rows are metrics, a few dozen in all; each is collected when it is made,
     so that a loop's plan isn't run twice.
     """
     rows = []
     for lv in levels:
-        seen = experienced(network, requests, lv)
+        seen = experienced(network, requests, lv) if simulated else {}
         rows += [cell(network, requests, r, lv).first().asDict() | seen for r in routers]
     made = network.edges.sparkSession.createDataFrame([Row(**r) for r in rows])
     return poa_by_level(made.withColumn("total_s", F.col("total_network_time_s"))).drop("total_s")
@@ -68,12 +68,12 @@ def sweep(network: Network, requests: DataFrame, levels=LEVELS, routers=ROUTERS)
 
 def run_single(network: Network, requests: DataFrame, router: str, level: Level = LEVELS[2]) -> DataFrame:
     """A strategy and the optimum it is held against."""
-    return sweep(network, requests, (level,), tuple(dict.fromkeys((router, "systemoptimal"))))
+    return sweep(network, requests, (level,), tuple(dict.fromkeys((router, "systemoptimal"))), simulated=False)
 
 
 def static_poa(network: Network, requests: DataFrame, level: Level = LEVELS[2]) -> DataFrame:
     """Each strategy's price of anarchy as the live view shows it: never below 1."""
-    return sweep(network, requests, (level,)).select("router", F.greatest(F.lit(1.0), F.col("poa")).alias("static_poa"))
+    return sweep(network, requests, (level,), simulated=False).select("router", F.greatest(F.lit(1.0), F.col("poa")).alias("static_poa"))
 
 
 def trips_at(network: Network, seed: int, start_s: float, count: int = REQUESTS, window_s: float = WINDOW_S) -> DataFrame:
