@@ -212,12 +212,14 @@ def fit(docs: DataFrame, labels: DataFrame, limits: dict[int, int] = SAMPLE, cha
     Without labelled documents every text has the same score, below one half.
     """
     rows = labelled_sample(docs.select("doc_id", "text", "lang"), labels, "toxic", limits, chars).select("doc_id", "text", "lang", "y").toArrow().sort_by("doc_id")
-    texts, langs, y = [words(t) for t in rows["text"].to_pylist()], rows["lang"].to_pylist(), rows["y"].to_numpy().astype(np.int64)
+    texts, langs, y = rows["text"].to_pylist(), rows["lang"].to_pylist(), rows["y"].to_numpy().astype(np.int64)
     part = np.array([crc32(b"part" + str(i).encode()) % 5 == 0 for i in rows["doc_id"].to_pylist()], dtype=bool)
-    known = {w: k for k, w in enumerate(set().union(*texts))}
+    # A word is a number at once, so that the driver holds each distinct one once.
+    known: dict[bytes, int] = {}
+    coded = [np.array([known.setdefault(w, len(known)) for w in words(t)], dtype=np.int32) for t, p in zip(texts, part) if not p]
     table_of = np.array([hashes(w) for w in known], dtype=np.int32).reshape(-1, 1 + len(PREFIXES))
-    model = train([table_of[[known[w] for w in ws]] for ws, p in zip(texts, part) if not p], y[~part])
-    model.thresholds = calibrate(Scorer(model).scores([t for t, p in zip(rows["text"].to_pylist(), part) if p]), y[part], [x for x, p in zip(langs, part) if p])
+    model = train([table_of[ids] for ids in coded], y[~part])
+    model.thresholds = calibrate(Scorer(model).scores([t for t, p in zip(texts, part) if p]), y[part], [x for x, p in zip(langs, part) if p])
     return model
 
 
