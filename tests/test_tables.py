@@ -112,6 +112,16 @@ def test_derivation(spark):
     assert (s["skipped_class"], s["skipped_degenerate"]) == (1, 1)
 
 
+def test_tags_and_offsets_of_ways_are_not_broadcast(spark):
+    ways = spark.range(50).selectExpr("id as osm_id", "id as gid", "id as source", "id + 1 as target", "array(array(0.0D, 0.0D), array(0.01D, 0.0D)) as coords")
+    tags = spark.range(50).selectExpr("id as osm_id", "map('highway', 'primary') as tags")
+    e = derive.derive_edges(ways, tags)
+    plan = e._jdf.queryExecution().sparkPlan().toString()
+    # The only broadcast is that of where each range of ways begins.
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 1
+    assert e.count() == 100
+
+
 # --- messages ---
 
 

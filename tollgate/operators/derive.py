@@ -16,9 +16,11 @@ def derive_edges(ways: DataFrame, tags: DataFrame) -> DataFrame:
     Coordinates are rounded to 7 places. Sub-segments of other classes, self-loops
     and those without length are skipped before they are numbered, so a way's
     numbers have no holes. Edge ids follow (osm_id, gid), forward before reverse.
+    Tags and offsets have a row per way and small files, but are large once read:
+    they are merged, never sent to the driver as a whole.
     """
     w = ways.withColumn("coords", F.transform("coords", lambda p: F.transform(p, lambda x: F.round(x, 7))))
-    w = w.join(tags, "osm_id", "left").withColumn("cls", osm.road_class(F.col("tags")["highway"]))
+    w = w.join(tags.hint("merge"), "osm_id", "left").withColumn("cls", osm.road_class(F.col("tags")["highway"]))
     w = w.where(F.col("cls").isNotNull() & (F.size("coords") >= 2) & (F.col("source") != F.col("target")))
     w = w.withColumn("length_m", geo.polyline_m(F.col("coords"))).where("length_m > 0")
     w = w.withColumn("seq", F.row_number().over(Window.partitionBy("osm_id").orderBy("gid")) - 1)
@@ -32,7 +34,7 @@ def derive_edges(ways: DataFrame, tags: DataFrame) -> DataFrame:
     # Numbers within a way, and where each way begins.
     e = e.withColumn("in_way", F.row_number().over(Window.partitionBy("osm_id").orderBy("gid", "dir")))
     sizes = numbered(e.groupBy("osm_id").agg(F.count(F.lit(1)).alias("k")), "offset", "osm_id", weight="k")
-    e = e.join(sizes.select("osm_id", "offset"), "osm_id")
+    e = e.join(sizes.select("osm_id", "offset").hint("merge"), "osm_id")
     return e.select(
         format_segment_id(F.col("osm_id"), F.col("seq"), F.col("dir")).alias("segment_id"),
         (F.col("offset") + F.col("in_way") - 1).cast("int").alias("edge_id"),
