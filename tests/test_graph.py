@@ -218,6 +218,20 @@ def test_congestion_makes_trips_longer(spark, toy_net):
     assert max(crowd.values()) > 1.05 * alone
 
 
+def test_any_number_of_trips_is_simulated(spark, toy_net):
+    many = spark.range(5_000_001).selectExpr("id as idx", "0 as src", "2 as dst", "double(id % 3) as depart_s", "1e-9D as weight")
+    ticks, trips = sweep.simulations(toy_net, many, routers=("naive",), tick_s=10.0)
+    assert [(t["in_flight"], t["completed"]) for t in ticks.orderBy("tick").collect()][-2:] == [(3333334, 1666667), (0, 5000001)]
+    got = trips.groupBy("algo").agg(F.count("idx").alias("n"), F.min("time_s").alias("a"), F.max("time_s").alias("b")).first()
+    assert got["n"] == 5_000_001 and got["a"] == pytest.approx(32.4, abs=1e-3) and got["b"] == pytest.approx(32.4, abs=1e-3)
+
+
+def test_vehicles_leave_at_the_first_tick_that_begins_no_earlier(spark):
+    d = spark.createDataFrame([(0.0,), (1e-9,), (30.0,), (30.1,), (-5.0,), (0.3,), (0.1 * 3,)], "d double")
+    assert [r[0] for r in d.select(sweep.released(F.col("d"), 30.0)).collect()] == [1, 2, 2, 3, 1, 2, 2]
+    assert [r[0] for r in d.select(sweep.released(F.col("d"), 0.1)).collect()] == [next(k for k in range(1, 400) if (k - 1) * 0.1 >= r[0]) for r in d.collect()]
+
+
 def test_empty_batch_has_one_tick(spark, toy_net):
     assert len(run(spark, toy_net, [], routers=("naive",))[0]) == 1
 

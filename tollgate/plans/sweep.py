@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.cost import Bpr
@@ -86,16 +86,17 @@ def simulations(network: Network, requests: DataFrame, routers=ROUTERS, price: P
     """(ticks, trips) of one simulation per strategy.
 
     A simulation is one sequence of steps, so a strategy is one task and all
-    strategies run side by side. While it runs only ``reactive`` looks at the
-    load; ``multipath`` draws as it does for a single request, always the same
-    way for a pair; the others drive the free-flow path.
+    strategies run side by side. Vehicles that one tick releases for one pair
+    move alike: a task gets them as one cohort, and its time goes to each
+    request, so neither a task nor the driver holds the requests. While it runs
+    only ``reactive`` looks at the load; ``multipath`` draws as it does for a
+    single request, always the same way for a pair; the others drive the
+    free-flow path.
     """
     spark = network.edges.sparkSession
-    n = requests.count()
-    if n > 5_000_000:
-        raise ValueError(f"{n} trips; one simulation holds 5000000 at most: simulate regions apart")
-    reqs = weighted(requests).orderBy("idx").select("idx", "src", "dst", "depart_s", "weight").toArrow()
-    sent = spark.sparkContext.broadcast([reqs[c].to_numpy() for c in reqs.column_names])
+    asked = weighted(requests).select("idx", "src", "dst", "weight", released(F.col("depart_s"), tick_s).alias("release"))
+    # Equal weights are counted and summed in their order, so that equal runs have equal sums.
+    alike = cut(asked.groupBy("release", "src", "dst", "weight").agg(F.count(F.lit(1)).alias("n")))
     graph = network.broadcast
     u = spark.range(1).select(hash_uniform(seed, F.lit(0)).alias("u")).first()["u"]
 
@@ -121,26 +122,69 @@ def simulations(network: Network, requests: DataFrame, routers=ROUTERS, price: P
         def route(batch, load):
             w = price.of(g, load) if name == "reactive" else free
             now = {} if name == "reactive" else memo
-            for r in batch:
-                if (r[1], r[2]) not in now:
-                    now[r[1], r[2]] = drawn(r[1], r[2]) if name == "multipath" else path(r[1], r[2], w)
-            return [now[r[1], r[2]] for r in batch]
+            for s, d in batch:
+                if (s, d) not in now:
+                    now[s, d] = drawn(s, d) if name == "multipath" else path(s, d, w)
+            return [now[s, d] for s, d in batch]
 
         return route
 
+    schema = pa.schema([("kind", pa.string()), ("algo", pa.string()), ("tick", pa.int32()), ("in_flight", pa.int32()), ("completed", pa.int32()), ("load", pa.list_(pa.float64())), ("release", pa.int64()), ("src", pa.int32()), ("dst", pa.int32()), ("time_s", pa.float64())])
+
+    def simulated(name, parts):
+        g, held = graph.value[0], cohorts_of(parts)
+        rows = []
+        for t, f, c, load, ended, times in K.simulate(g, held, route_by(name, g), tick_s, max_ticks, price.alpha, price.beta, price.scale):
+            rows.append({"kind": "tick", "algo": name, "tick": t, "in_flight": f, "completed": c, "load": load.tolist()})
+            if len(rows) == 64:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
+            if len(ended):
+                own = {"kind": pa.array(["trip"] * len(ended)), "algo": pa.array([name] * len(ended)), "tick": pa.array(np.full(len(ended), t, dtype=np.int32)), "release": pa.array(held[0][ended]), "src": pa.array(held[1][ended].astype(np.int32)), "dst": pa.array(held[2][ended].astype(np.int32)), "time_s": pa.array(times)}
+                yield pa.RecordBatch.from_arrays([own.get(x.name, pa.nulls(len(ended), x.type)) for x in schema], schema=schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
     def run(batches):
-        g = graph.value[0]
+        name, parts = None, []
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                trips = list(zip(*(x.tolist() for x in sent.value)))
-                for t, f, c, load, ended in K.simulate(g, trips, route_by(name, g), tick_s, max_ticks, price.alpha, price.beta, price.scale):
-                    rows = [{"kind": "tick", "algo": name, "tick": t, "in_flight": f, "completed": c, "load": load.tolist(), "idx": None, "time_s": None}]
-                    rows += [{"kind": "trip", "algo": name, "tick": t, "in_flight": None, "completed": None, "load": None, "idx": i, "time_s": s} for i, s in ended.items()]
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("kind", pa.string()), ("algo", pa.string()), ("tick", pa.int32()), ("in_flight", pa.int32()), ("completed", pa.int32()), ("load", pa.list_(pa.float64())), ("idx", pa.int64()), ("time_s", pa.float64())]))
-
-    names = spark.createDataFrame([(r,) for r in routers], "algo string").repartition(len(routers), "algo")
-    out = cut(names.mapInArrow(run, "kind string, algo string, tick int, in_flight int, completed int, load array<double>, idx long, time_s double"))
-    return out.where("kind = 'tick'").select("algo", "tick", "in_flight", "completed", "load"), out.where("kind = 'trip'").select("algo", "idx", "time_s")
+            algo = np.array(batch.column(0).to_pylist())
+            cuts = [0, *(np.flatnonzero(algo[1:] != algo[:-1]) + 1).tolist(), len(algo)] if len(algo) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if algo[a] != name:
+                    if name is not None:
+                        yield from simulated(name, parts)
+                    name, parts = str(algo[a]), []
+                own = batch.slice(a, b - a)
+                own = own.filter(own.column("release").is_valid())
+                parts.append([own.column(c).to_numpy(zero_copy_only=False) for c in ("release", "src", "dst", "weight", "n")])
+        if name is not None:
+            yield from simulated(name, parts)
+
+    names = spark.createDataFrame([(r,) for r in routers], "algo string")
+    # Each strategy has a row without a cohort, so that it runs even if there is none.
+    sent = names.select("algo", *(F.lit(None).cast(alike.schema[c].dataType).alias(c) for c in alike.columns)).unionByName(alike.crossJoin(F.broadcast(names)).select("algo", *alike.columns))
+    sent = sent.repartition(len(routers), "algo").sortWithinPartitions("algo", F.col("release").asc_nulls_first(), "src", "dst", "weight")
+    out = cut(sent.mapInArrow(run, "kind string, algo string, tick int, in_flight int, completed int, load array<double>, release long, src int, dst int, time_s double"))
+    times = out.where("kind = 'trip'").groupBy("release", "src", "dst").agg(F.collect_list(F.struct("algo", "time_s")).alias("ends"))
+    trips = asked.join(times.hint("merge"), ["release", "src", "dst"]).select("idx", F.explode("ends").alias("end")).select("end.algo", "idx", "end.time_s")
+    return out.where("kind = 'tick'").select("algo", "tick", "in_flight", "completed", "load"), trips
+
+
+def released(depart_s: Column, tick_s: float) -> Column:
+    """The first tick that begins at ``depart_s`` or later; tick k begins at (k - 1) tick_s."""
+    k = F.greatest(F.lit(0), F.ceil(depart_s / F.lit(float(tick_s)))).cast("long")
+    begins = lambda n: n.cast("double") * F.lit(float(tick_s))
+    return F.when(begins(k) < depart_s, k + 1).when((k > 0) & (begins(k - 1) >= depart_s), k - 1).otherwise(k) + 1
+
+
+def cohorts_of(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Release tick, from, to, summed weight and number of each cohort, from rows (release, src, dst, weight, n) in order."""
+    release, src, dst, weight, n = (np.concatenate(x) for x in zip(*parts))
+    if not len(release):
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.float64, np.int64))
+    first = np.flatnonzero(np.concatenate([[True], (release[1:] != release[:-1]) | (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])]))
+    return release[first].astype(np.int64), src[first].astype(np.int64), dst[first].astype(np.int64), np.add.reduceat(weight.astype(float) * n, first), np.add.reduceat(n.astype(np.int64), first)
 
 
 def tick_states(ticks: DataFrame, network: Network, scale: float = 1.0) -> DataFrame:
