@@ -85,6 +85,20 @@ def test_goal_directed_search_finds_the_same(spark, toy_net):
     assert a == pytest.approx(b) and sum(a.values()) == pytest.approx(541.44)
 
 
+def test_many_origins_at_once_are_searched_as_each_alone():
+    r = random.Random(5)
+    for _ in range(30):
+        n = r.randint(2, 30)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(1, 90))]
+        w = np.array([float(r.randint(1, 5)) for _ in edges])
+        g = K.Csr.build(n, [a for a, _ in edges], [b for _, b in edges], w, np.ones(len(w)), np.ones(len(w)))
+        alone = [K.search(g, s, w) for s in range(n)]
+        for _, _, dist, via in K.trees(g, np.arange(n), w):
+            for s, (d, last) in enumerate(alone):
+                assert {v: dist[v, s] for v in range(n) if dist[v, s] < K.INF} == d and {v: via[v, s] for v in range(n) if via[v, s] >= 0} == last
+        assert K.search_many(g, np.arange(n), w * 0.0) is None
+
+
 def test_k_paths_match_enumeration():
     r = random.Random(4)
     for _ in range(20):

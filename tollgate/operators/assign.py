@@ -113,24 +113,30 @@ def pair_paths(pairs: DataFrame, network: Network, cost: np.ndarray, accelerated
 def all_or_nothing(demand: by_origin, network: Network, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Edge flows when all of ``demand`` takes its shortest path, and the sum of weight times cost.
 
-    A task searches each of its origins once and adds up its own flows; the
+    A task searches its origins, many at once, and adds up its own flows; the
     tasks' arrays, as long as the checked graph has edges, are summed in a tree.
     """
     graph, weight = network.broadcast, network.edges.sparkSession.sparkContext.broadcast(cost)
 
     def run(parts):
-        g, w = graph.value[0], weight.value.tolist()
+        g, w = graph.value[0], weight.value
         flow, spent, lost = np.zeros(g.edges), 0.0, 0
-        for src, dst, many in parts:
-            for s in np.unique(src).tolist():
-                mine = src == s
-                dist, via = K.search(g, s, w, dst[mine].tolist())
-                for d, x in zip(dst[mine].tolist(), many[mine].tolist()):
-                    if d not in dist:
-                        lost += 1
-                        continue
-                    spent += x * dist[d]
-                    flow[K.path_to(g, via, s, d)] += x
+        held = list(parts)
+        if held:
+            src, dst, many = (np.concatenate(x) for x in zip(*held))
+            for rows, col, dist, via in K.trees(g, src, w):
+                at, x, cost = dst[rows], many[rows], dist[dst[rows], col]
+                lost += int((cost == K.INF).sum())
+                spent += float(x[cost < K.INF] @ cost[cost < K.INF])
+                on = np.flatnonzero((at != src[rows]) & (cost < K.INF))
+                at, col, x, start = at[on], col[on], x[on], src[rows][on]
+                # All paths go back by one edge at a time.
+                while len(at):
+                    e = via[at, col]
+                    np.add.at(flow, e, x)
+                    at = g.source_of[e]
+                    on = at != start
+                    at, col, x, start = at[on], col[on], x[on], start[on]
         yield np.append(flow, [spent, lost])
 
     made = demand.rdd.mapPartitions(run)
@@ -152,7 +158,9 @@ class by_origin:
                 if batch.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in batch.columns], names=["src", "dst", "weight"])
 
-        own = demand.select(F.col("src").cast("int"), F.col("dst").cast("int"), F.col("weight").cast("double")).repartition("src").sortWithinPartitions("src", "dst")
+        own = demand.select(F.col("src").cast("int"), F.col("dst").cast("int"), F.col("weight").cast("double"))
+        # Origins with near ids are searched at once, over as many tasks as can run.
+        own = own.repartitionByRange(demand.sparkSession.sparkContext.defaultParallelism, "src").sortWithinPartitions("src", "dst")
         packed = own.mapInArrow(arrays, "src binary, dst binary, weight binary")
         self.rdd = packed.rdd.map(lambda r: (np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.int32), np.frombuffer(r[2]))).persist(StorageLevel.MEMORY_AND_DISK)
 
