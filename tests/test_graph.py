@@ -99,6 +99,15 @@ def test_many_origins_at_once_are_searched_as_each_alone():
         assert K.search_many(g, np.arange(n), w * 0.0) is None
 
 
+def test_costs_of_requests_need_no_paths(spark, toy_net, cut_net):
+    q = requests(spark, [(s, d) for s in range(6) for d in range(6)] * 2)
+    for n in (toy_net, cut_net):
+        w = n.arrays[0].freeflow
+        want = {(r["src"], r["dst"]): r["cost_s"] for r in assign.pair_paths(q, n, w).collect()}
+        got = assign.least_costs(q, n, w).join(q, "request_id").collect()
+        assert len(got) == 72 and all(r["cost_s"] == want[r["src"], r["dst"]] for r in got)
+
+
 def test_k_paths_match_enumeration():
     r = random.Random(4)
     for _ in range(20):

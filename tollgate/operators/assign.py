@@ -110,6 +110,42 @@ def pair_paths(pairs: DataFrame, network: Network, cost: np.ndarray, accelerated
     return own.mapInArrow(run, "src int, dst int, cost_s double, edges array<int>")
 
 
+def least_costs(requests: DataFrame, network: Network, cost: np.ndarray) -> DataFrame:
+    """``requests`` (request_id, src, dst) with cost_s, null without a path; no path is made."""
+    graph, weight = network.broadcast, network.edges.sparkSession.sparkContext.broadcast(cost)
+
+    def blocks(batches, size):
+        """Rows sorted by origin, gathered until they have enough origins and cut between two."""
+        held, seen, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            src = batch.column("src").to_numpy(zero_copy_only=False)
+            seen += int((src[1:] != src[:-1]).sum()) + (src[0] != last)
+            last = src[-1]
+            if seen > size and src[0] != last:
+                at = int(np.searchsorted(src, last))
+                yield [*held, batch.slice(0, at)]
+                held, seen, batch = [], 1, batch.slice(at)
+            held.append(batch)
+        if held:
+            yield held
+
+    def run(batches):
+        g, w = graph.value[0], weight.value
+        for block in blocks(batches, K.many_at_once(g)):
+            rows = pa.Table.from_batches(block).combine_chunks()
+            src, dst = (rows[c].to_numpy() for c in ("src", "dst"))
+            out = np.empty(len(src))
+            for at, col, dist, _ in K.trees(g, src, w, tree=False):
+                out[at] = dist[dst[at], col]
+            yield from pa.table({"request_id": rows["request_id"], "cost_s": pa.array(out, mask=out == K.INF)}).to_batches()
+
+    tasks = 4 * network.edges.sparkSession.sparkContext.defaultParallelism
+    own = requests.select("request_id", F.col("src").cast("int"), F.col("dst").cast("int")).repartitionByRange(tasks, "src").sortWithinPartitions("src")
+    return own.mapInArrow(run, "request_id string, cost_s double")
+
+
 def all_or_nothing(demand: by_origin, network: Network, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Edge flows when all of ``demand`` takes its shortest path, and the sum of weight times cost.
 
