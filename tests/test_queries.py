@@ -43,3 +43,8 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - {"toy_sweep", "toy_report", "trips_sweep"}))
 def test_other_queries_run(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_bounding_box_numbers_and_broadcasts_nothing(spark):
+    plan = catalogue.queries()["bounding_box"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Window" not in plan and "Broadcast" not in plan

@@ -122,6 +122,14 @@ def test_tags_and_offsets_of_ways_are_not_broadcast(spark):
     assert e.count() == 100
 
 
+def test_box_of_kept_ways_needs_no_numbers(spark):
+    ways = [(8, 3, 1, 2, [[0.0, 0.0], [0.01, 0.0]]), (8, 1, 1, 1, [[9.0, 0.0], [0.01, 0.0]]), (5, 9, 2, 3, [[0.0, 0.0], [0.0, -0.01]]), (9, 1, 1, 4, [[0.0, 0.0], [0.0, 7.0]])]
+    tags = [(8, {"highway": "secondary"}), (5, {"highway": "motorway_link"}), (9, {"highway": "footway"})]
+    w, t = spark.createDataFrame(ways, "osm_id long, gid long, source long, target long, coords array<array<double>>"), spark.createDataFrame(tags, "osm_id long, tags map<string,string>")
+    box = derive.bounding_box(derive.kept_ways(w, t), "coords")
+    assert box.collect() == derive.bounding_box(derive.derive_edges(w, t)).collect() == [(0.0, -0.01, 0.01, 0.0)]
+
+
 # --- messages ---
 
 

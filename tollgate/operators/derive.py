@@ -10,19 +10,27 @@ from ..functions.segment import format_segment_id
 from .ranking import numbered
 
 
-def derive_edges(ways: DataFrame, tags: DataFrame) -> DataFrame:
-    """Edge attributes of ``ways`` (osm_id, gid, source, target, coords) and ``tags`` (osm_id, tags map).
+def kept_ways(ways: DataFrame, tags: DataFrame) -> DataFrame:
+    """``ways`` that become edges, with tags, cls and length_m.
 
     Coordinates are rounded to 7 places. Sub-segments of other classes, self-loops
-    and those without length are skipped before they are numbered, so a way's
-    numbers have no holes. Edge ids follow (osm_id, gid), forward before reverse.
-    Tags and offsets have a row per way and small files, but are large once read:
-    they are merged, never sent to the driver as a whole.
+    and those without length are skipped. Tags have a row per way and small files,
+    but are large once read: they are merged, never sent to the driver as a whole.
     """
     w = ways.withColumn("coords", F.transform("coords", lambda p: F.transform(p, lambda x: F.round(x, 7))))
     w = w.join(tags.hint("merge"), "osm_id", "left").withColumn("cls", osm.road_class(F.col("tags")["highway"]))
     w = w.where(F.col("cls").isNotNull() & (F.size("coords") >= 2) & (F.col("source") != F.col("target")))
-    w = w.withColumn("length_m", geo.polyline_m(F.col("coords"))).where("length_m > 0")
+    return w.withColumn("length_m", geo.polyline_m(F.col("coords"))).where("length_m > 0")
+
+
+def derive_edges(ways: DataFrame, tags: DataFrame) -> DataFrame:
+    """Edge attributes of ``ways`` (osm_id, gid, source, target, coords) and ``tags`` (osm_id, tags map).
+
+    What isn't kept is skipped before it is numbered, so a way's numbers have no
+    holes. Edge ids follow (osm_id, gid), forward before reverse. Offsets have a
+    row per way and are merged as well.
+    """
+    w = kept_ways(ways, tags)
     w = w.withColumn("seq", F.row_number().over(Window.partitionBy("osm_id").orderBy("gid")) - 1)
     tag = lambda k: F.col("tags")[k]
     w = w.withColumn("dirs", osm.directions(tag("oneway"), tag("junction"), F.col("cls")))
@@ -60,8 +68,9 @@ def skip_report(ways: DataFrame, tags: DataFrame) -> DataFrame:
     return w.agg(F.count_if(~known).alias("skipped_class"), F.count_if(known & flat).alias("skipped_degenerate"))
 
 
-def bounding_box(edges: DataFrame) -> DataFrame:
-    """lon_min, lat_min, lon_max, lat_max over all coordinates."""
-    p = edges.select(F.explode("geometry").alias("p"))
+def bounding_box(lines: DataFrame, coords: str = "geometry") -> DataFrame:
+    """lon_min, lat_min, lon_max, lat_max over all coordinates of edges, or of the ways
+    that become edges: each gives at least one, with the same coordinates."""
+    p = lines.select(F.explode(coords).alias("p"))
     lon, lat = F.col("p")[0], F.col("p")[1]
     return p.agg(F.min(lon).alias("lon_min"), F.min(lat).alias("lat_min"), F.max(lon).alias("lon_max"), F.max(lat).alias("lat_max"))
