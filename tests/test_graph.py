@@ -272,5 +272,17 @@ def test_sweep_relations(spark, toy_net):
     assert a["max_vc"] * a["capacity_scale"] == pytest.approx(b["max_vc"] * b["capacity_scale"])
 
 
+def test_sweep_makes_its_requests_once(spark, toy_net):
+    q, seen = requests(spark, [(0, 2), (0, 5), (1, 4)], 125.0), spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = sweep.sweep(toy_net, q.mapInArrow(made, q.schema), sweep.LEVELS[:2], ("naive", "incremental")).collect()
+    assert len(rows) == 4 and seen.value == 3
+
+
 def test_live_poa_is_floored(spark, toy_net):
     assert all(r["static_poa"] >= 1 for r in sweep.static_poa(toy_net, requests(spark, [(0, 2)] * 4)).collect())

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tollgate.plans import catalogue
+from tollgate.plans import adapters, catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -48,3 +48,8 @@ def test_other_queries_run(spark, name):
 def test_bounding_box_numbers_and_broadcasts_nothing(spark):
     plan = catalogue.queries()["bounding_box"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Window" not in plan and "Broadcast" not in plan
+
+
+def test_customers_of_trips_are_not_broadcast(spark):
+    plan = adapters.trips(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -64,8 +64,8 @@ def observed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as requests: (request_id, idx, src, dst, weight, depart_s)."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    """Orders as requests: (request_id, idx, src, dst, weight, depart_s). Customers are merged, never sent to the driver."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").hint("merge")
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     return j.select(F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderkey").alias("idx"), F.col("c_nationkey").cast("int").alias("src"), ((F.col("o_orderkey") * 7 + 3) % 25).cast("int").alias("dst"), F.greatest(F.lit(1.0), F.floor(F.col("o_totalprice") / 50000).cast("double")).alias("weight"), (F.col("o_orderkey") % 3600).cast("double").alias("depart_s"))
 

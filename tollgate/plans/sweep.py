@@ -15,7 +15,7 @@ from ..operators import kernels as K
 from ..operators.assign import PATHS, ROUTERS, Price, assign, weighted
 from ..operators.evaluate import evaluate, poa_by_level, tail
 from ..operators.network import Network
-from ..session import cut
+from ..session import cut, drop_steps
 from ..sources.odset import requests_at, synthesize
 
 
@@ -56,12 +56,14 @@ def sweep(network: Network, requests: DataFrame, levels=LEVELS, routers=ROUTERS,
     and, if ``simulated``, the times that vehicles experience at the level.
 
     The rows are metrics, a few dozen in all; each is collected when it is made,
-    so that a loop's plan isn't run twice.
+    so that a loop's plan isn't run twice. Requests are made once and kept as a
+    table until then.
     """
-    rows = []
+    rows, held = [], cut(requests)
     for lv in levels:
-        seen = experienced(network, requests, lv) if simulated else {}
-        rows += [cell(network, requests, r, lv).first().asDict() | seen for r in routers]
+        seen = experienced(network, held, lv) if simulated else {}
+        rows += [cell(network, held, r, lv).first().asDict() | seen for r in routers]
+    drop_steps(held)
     made = network.edges.sparkSession.createDataFrame([Row(**r) for r in rows])
     return poa_by_level(made.withColumn("total_s", F.col("total_network_time_s"))).drop("total_s")
 
