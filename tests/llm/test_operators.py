@@ -149,6 +149,30 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, crowd, held
             assert (expected[a] == expected[b]) == (a == b or (a in roots and b in roots and roots[a] == roots[b]))
 
 
+@pytest.mark.parametrize("held, few", [(simhash.HELD, simhash.FEW), (3, 2)])
+def test_links_of_long_codes_connect_what_brute_force_connects(spark, monkeypatch, held, few):
+    """At the distance of the near-copy stage, also where many codes share a part."""
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "FEW", few)
+    r, codes = random.Random(6), set()
+    for _ in range(60):
+        c = r.getrandbits(96)  # 32 bits are the same in all
+        codes.add(c)
+        for _ in range(r.randint(0, 6)):
+            c ^= sum(1 << b for b in r.sample(range(128), r.randint(4, 11)))
+            codes.add(c)
+    longs = lambda c: tuple(x - (1 << 64) if x >> 63 else x for x in (c >> 64, c & (1 << 64) - 1))
+    names = {longs(c): c for c in codes}
+    links = [(names[x[0], x[1]], names[x[2], x[3]]) for x in simhash.pigeonhole_links(spark.createDataFrame(list(names), "fp0 long, fp1 long"), simhash.NEAR, 2).collect()]
+    assert all((a ^ b).bit_count() <= simhash.NEAR for a, b in links)
+    roots = {c: c for c in codes}
+    for a, b in links:
+        old, new = roots[a], roots[b]
+        roots.update({c: new for c, x in roots.items() if x == old})
+    expected = brute_components(codes, simhash.NEAR)
+    assert len({(expected[c], roots[c]) for c in codes}) == len(set(expected.values())) == len(set(roots.values())) < len(codes)
+
+
 def test_thresholds_are_the_cheapest():
     r = np.random.default_rng(2)
     cost = r.random((50, 3, 4))
@@ -204,6 +228,21 @@ def test_candidate_links_of_similar_texts(spark):
     assert all(frozenset(p) in found for p in zip(codes[::2], codes[1::2]) if p[0] != p[1])
 
 
+def test_near_codes_are_linked_by_the_pigeonhole_alone(spark, monkeypatch, tmp_path):
+    """Shingles give only what lies beyond; without them the copies within the bits still go."""
+    texts = pairs_at(0.8, 1, 60)
+    codes = [int.from_bytes(simhash.hashed_set(t, 5)[1]) for t in texts]
+    apart = [(a ^ b).bit_count() for a, b in zip(codes[::2], codes[1::2])]
+    assert min(apart) <= simhash.NEAR < max(apart)
+    docs_of(spark, texts).write.parquet(str(tmp_path / "d"))
+    docs, links = spark.read.parquet(str(tmp_path / "d")), simhash.similar_links
+    beyond = links(docs, above=simhash.NEAR).collect()
+    assert len(beyond) == sum(x > simhash.NEAR for x in apart)
+    monkeypatch.setattr(simhash, "similar_links", lambda *a: links(*a).limit(0))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert [2 * k + 1 not in kept for k in range(60)] == [x <= simhash.NEAR for x in apart]
+
+
 @pytest.mark.parametrize("block", [simhash.BLOCK, 2])
 def test_near_copies_are_those_at_the_similarity(spark, monkeypatch, tmp_path, block):
     """Every pair from 0.8 on loses one side, none below does; also where components are compared by blocks."""

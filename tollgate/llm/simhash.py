@@ -17,6 +17,9 @@ many fingerprints crowd around a value, and it is taken where the partitions'
 estimated probes and candidates come to more. A pair is found by the probes of
 either side, or by these codes where both sides take them: no link is lost.
 
+The near-copy stage of the pipeline takes its links of up to ``NEAR`` of 128 bits
+from the same partitions and thresholds, and only what lies beyond from shingles.
+
 Rows are gathered by key and verified within the task; a group yields links
 that span its components, never all its pairs.
 """
@@ -91,29 +94,35 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, text_col: str
 # --- partitions and thresholds ----------------------------------------------
 
 
-def bit_moments(codes: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of codes in fp0, and how often each two bits are set together."""
-    cols = [f"c{j}" for j in range(64)]
+def bit_moments(codes: DataFrame, words: int = 1) -> tuple[int, np.ndarray]:
+    """The number of codes in fp0 (and fp1), and how often each two bits are set together."""
+    bits = 64 * words
+    cols = [f"c{j}" for j in range(bits)]
 
     def run(batches):
-        total, n = np.zeros((64, 64), dtype=np.int64), 0
+        total, n = np.zeros((bits, bits), dtype=np.int64), 0
         for batch in batches:
-            x = unpack(batch.column("fp0").to_numpy(zero_copy_only=False)).astype(np.float32)
+            x = unpack(codes_of(batch, words)).astype(np.float32)
             total += np.rint(x.T @ x).astype(np.int64)
             n += len(x)
-        rows = np.vstack([total, np.full((1, 64), n)])
-        yield pa.RecordBatch.from_arrays([pa.array(range(65), pa.int32()), *(pa.array(rows[:, j], pa.int64()) for j in range(64))], names=["i", *cols])
+        rows = np.vstack([total, np.full((1, bits), n)])
+        yield pa.RecordBatch.from_arrays([pa.array(range(bits + 1), pa.int32()), *(pa.array(rows[:, j], pa.int64()) for j in range(bits))], names=["i", *cols])
 
-    part = codes.select("fp0").mapInArrow(run, "i int, " + ", ".join(f"{c} long" for c in cols))
+    part = codes.select(*["fp0", "fp1"][:words]).mapInArrow(run, "i int, " + ", ".join(f"{c} long" for c in cols))
     rows = {r["i"]: [r[c] for c in cols] for r in part.groupBy("i").agg(*(F.sum(c).alias(c) for c in cols)).collect()}
     if not rows:
-        return 0, np.zeros((64, 64))
-    return rows[64][0], np.array([rows[i] for i in range(64)], dtype=np.float64)
+        return 0, np.zeros((bits, bits))
+    return rows[bits][0], np.array([rows[i] for i in range(bits)], dtype=np.float64)
+
+
+def codes_of(batch: pa.RecordBatch, words: int) -> np.ndarray:
+    """Rows of fp0 (and fp1)."""
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ["fp0", "fp1"][:words]])
 
 
 def unpack(codes: np.ndarray) -> np.ndarray:
-    """Rows of 64 bits, the highest first."""
-    return np.unpackbits(np.ascontiguousarray(codes).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+    """The bits of each row of longs, the highest first."""
+    return np.unpackbits(np.ascontiguousarray(codes).astype(">i8").view(np.uint8).reshape(len(codes), 8 * (codes.size // max(len(codes), 1))), axis=1)
 
 
 def group_bits(n: int, together: np.ndarray, parts: int) -> list[list[int]]:
@@ -121,9 +130,10 @@ def group_bits(n: int, together: np.ndarray, parts: int) -> list[list[int]]:
     p = np.diag(together) / max(n, 1)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd)
-    left, out = set(range(64)), []
+    bits = len(together)
+    left, out = set(range(bits)), []
     for k in range(parts):
-        size = 64 // parts + (k < 64 % parts)
+        size = bits // parts + (k < bits % parts)
         seed = max(left, key=lambda i: (sum(corr[i, j] for j in left if j != i), -i))
         group = [seed]
         left.discard(seed)
@@ -204,11 +214,13 @@ def spanning_links(codes: np.ndarray, is_probe: np.ndarray, is_index: np.ndarray
     return links
 
 
-def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
+def link_groups(rows: DataFrame, words: int, limit: int, above: int = -1) -> DataFrame:
     """Links (a, b) between codes of rows that share (part, value, salt).
 
     ``rows``: part int, value long, salt int, role int (1: probe, 2: index, 3:
     both), fp0 (and fp1); only rows of one salt meet. In part -1 all members of a group are linked without a check.
+    Links of ``above`` bits or fewer are followed but not put out: whoever asks for
+    that has them from elsewhere.
     """
     names = ["fp0", "fp1"][:words]
     rows = rows.select("part", "value", "salt", "role", *names).repartition("part", "value", "salt").sortWithinPartitions("part", "value", "salt", *names, "role")
@@ -251,7 +263,7 @@ def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
                     found.append(np.array(links, dtype=np.int64).reshape(-1, 2) + s)
             a, b = np.concatenate(found).astype(np.int64).T
             pairs = np.concatenate([x[a, 4:], x[b, 4:]], axis=1)
-            pairs = np.unique(pairs[(x[a, 4:] != x[b, 4:]).any(axis=1)], axis=0)
+            pairs = np.unique(pairs[np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1, dtype=np.int64) > max(above, 0)], axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(2 * words)], names=out_names)
 
@@ -261,32 +273,38 @@ def link_groups(rows: DataFrame, words: int, limit: int) -> DataFrame:
 # --- exact links within tau bits ----------------------------------------------
 
 
-def pigeonhole_links(codes: DataFrame, tau: int = 2) -> DataFrame:
-    """Links (a0, b0) that connect all distinct codes in ``codes.fp0`` within
-    ``tau`` (2) bits."""
-    if tau != 2:
-        raise ValueError("the single partition is made for 2 bits")
-    codes = codes.select("fp0").where("fp0 is not null").distinct()
-    n, together = bit_moments(codes)
-    parts = 3 if n < 1 << 24 else 2
+def pigeonhole_links(codes: DataFrame, tau: int = 2, words: int = 1) -> DataFrame:
+    """Links (a0, b0; with two ``words`` a0, a1, b0, b1) that connect all distinct codes in
+    ``codes.fp0`` (and fp1) within ``tau`` bits. The single partition is made for 2
+    bits of 64; other codes always take the partitions."""
+    names = ["fp0", "fp1"][:words]
+    codes = codes.select(*names).where("fp0 is not null").distinct()
+    n, together = bit_moments(codes, words)
+    single = (tau, words) == (2, 1)
+    parts = (3 if n < 1 << 24 else 2) if single else max(-(-(tau + 1) // 3), 4 * words if n < 1 << 24 else 3 * words)
     groups = group_bits(n, together, parts)
     freq = np.clip(np.diag(together) / max(n, 1), 1e-6, 1 - 1e-6)
+    kind = "part int, value long, " + ", ".join(f"{c} long" for c in names)
+
+    def out(part, value, fp):
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(value, pa.int64()), *(pa.array(fp[:, k], pa.int64()) for k in range(words))], names=["part", "value", *names])
 
     def values(batches):
         for batch in batches:
-            c = batch.column("fp0").to_numpy(zero_copy_only=False)
+            c = codes_of(batch, words)
             bits = unpack(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(parts, dtype=np.int32), len(c))), pa.array(np.concatenate([part_value(bits, g) for g in groups])), pa.array(np.tile(c, parts))], names=["part", "value", "fp0"])
+            yield out(np.repeat(np.arange(parts), len(c)), np.concatenate([part_value(bits, g) for g in groups]), np.tile(c, (parts, 1)))
 
-    index = checkpointed(codes.mapInArrow(values, "part int, value long, fp0 long"))
+    index = checkpointed(codes.mapInArrow(values, kind))
     held = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("held"))
-    counted = index.join(held, ["part", "value"]).groupBy("fp0").agg(*(F.max(F.when(F.col("part") == k, F.col("held"))).alias(f"h{k}") for k in range(parts)))
+    counted = index.join(held, ["part", "value"]).groupBy(*names).agg(*(F.max(F.when(F.col("part") == k, F.col("held"))).alias(f"h{k}") for k in range(parts)))
+    top = min(tau, 2)  # no partition is probed further; the others then take the rest
 
     def probes(batches):
         for batch in batches:
-            c = batch.column("fp0").to_numpy(zero_copy_only=False)
+            c = codes_of(batch, words)
             bits = unpack(c)
-            cost = np.zeros((len(c), parts, tau + 2))
+            cost = np.zeros((len(c), parts, top + 2))
             for k, g in enumerate(groups):
                 h = batch.column(f"h{k}").to_numpy(zero_copy_only=False).astype(np.float64)
                 p = freq[g]
@@ -294,33 +312,30 @@ def pigeonhole_links(codes: DataFrame, tau: int = 2) -> DataFrame:
                 one, two = odds.sum(axis=1), ((odds.sum(axis=1)) ** 2 - (odds**2).sum(axis=1)) / 2
                 w = len(g)
                 cost[:, k, 1] = 1 + h
-                if tau >= 1:
+                if top >= 1:
                     cost[:, k, 2] = 1 + w + h * (1 + one)
-                if tau >= 2:
+                if top >= 2:
                     cost[:, k, 3] = 1 + w + w * (w - 1) / 2 + h * (1 + one + two)
             limits, total = choose_thresholds(cost, tau)
-            crowded = total > CROWD  # the single partition, part -1
+            crowded = (total > CROWD) & single  # the single partition, part -1
             for k, g in enumerate(groups):
                 mine = part_value(bits, g)
-                for t in range(tau + 1):
+                for t in range(top + 1):
                     who = np.flatnonzero((limits[:, k] >= t) & ~crowded)
                     if len(who):
                         masks = flips(len(g), t)
-                        yield out(np.full(len(who) * len(masks), k), (mine[who][:, None] ^ masks[None, :]).ravel(), np.repeat(c[who], len(masks)))
+                        yield out(np.full(len(who) * len(masks), k), (mine[who][:, None] ^ masks[None, :]).ravel(), np.repeat(c[who], len(masks), axis=0))
             who = np.flatnonzero(crowded)
             if len(who):
                 masks = np.concatenate([[0], (np.uint64(1) << np.arange(64, dtype=np.uint64)).view(np.int64)])
-                yield out(np.full(len(who) * len(masks), -1), (c[who][:, None] ^ masks[None, :]).ravel(), np.repeat(c[who], len(masks)))
-
-    def out(part, value, fp):
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(value, pa.int64()), pa.array(fp, pa.int64())], names=["part", "value", "fp0"])
+                yield out(np.full(len(who) * len(masks), -1), (c[who] ^ masks[None, :]).ravel(), np.repeat(c[who], len(masks), axis=0))
 
-    asked = counted.mapInArrow(probes, "part int, value long, fp0 long").withColumn("role", F.lit(1)).hint("merge")
+    asked = counted.mapInArrow(probes, kind).withColumn("role", F.lit(1)).hint("merge")
     # A value that more than HELD codes share is dealt over salts; probes of it go to each salt.
     hot = held.where(F.col("held") > HELD).select("part", "value", F.ceil(F.col("held") / HELD).cast("int").alias("salts"))
-    stored_rows = index.join(hot, ["part", "value"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("fp0"), F.col("salts")).cast("int"), F.lit(0)))
+    stored_rows = index.join(hot, ["part", "value"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*names), F.col("salts")).cast("int"), F.lit(0)))
     sent_rows = asked.join(hot, ["part", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
-    return link_groups(stored_rows.withColumn("role", F.lit(2)).drop("salts").unionByName(sent_rows.drop("salts")), 1, tau)
+    return link_groups(stored_rows.withColumn("role", F.lit(2)).drop("salts").unionByName(sent_rows.drop("salts")), words, tau)
 
 
 def near_duplicate_components(docs: DataFrame, words: int = 3, tau: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,6 +360,8 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, tau: int = 2, id_
 SKETCH = 1 << 20
 #: Sets of one coarse component that are compared in one group, at most.
 BLOCK = 1 << 12
+#: Bits of 128 up to which the pigeonhole principle links codes; shingles link what lies beyond.
+NEAR = 8
 
 
 #: Odd multipliers, from which a shingle's hash is put together, and words whose hashes a worker keeps.
@@ -419,7 +436,7 @@ def shingle_sketch(texts: DataFrame, words: int) -> np.ndarray:
     return array_sums(texts.select("text"), work, SKETCH).astype(np.int64)
 
 
-def similar_links(texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+def similar_links(texts: DataFrame, similarity: float = 0.8, words: int = 5, above: int = -1) -> DataFrame:
     """Links (a0, a1, b0, b1) between codes of ``texts.text`` whose sets may be as
     similar as ``similarity``.
 
@@ -427,7 +444,7 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, words: int = 5) ->
     rare ones first, so that a passage that many texts hold is asked for only
     where little else is. What meets there is linked within a bit distance
     five standard deviations over that expected at the similarity. Neither
-    rule depends on the number of texts.
+    rule depends on the number of texts. Links of ``above`` bits or fewer are left out.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     limit = int(128 * share + 5 * (128 * share * (1 - share)) ** 0.5 + 0.5)
@@ -454,7 +471,7 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, words: int = 5) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows)), pa.int32()), pa.array(value[rows]), pa.array(np.concatenate([dealt, asked]), pa.int32()), pa.array(role, pa.int32()), *(pa.array(codes[doc[rows], k]) for k in range(2))], names=["part", "value", "salt", "role", "fp0", "fp1"])
 
     rows = texts.select("text").mapInArrow(run, "part int, value long, salt int, role int, fp0 long, fp1 long")
-    return link_groups(rows, 2, limit)
+    return link_groups(rows, 2, limit, above)
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -517,9 +534,11 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     """``docs`` with one document of each group of near copies: that with the smallest id.
 
     A group is what pairs connect whose sets of ``words``-word shingles have a
-    Jaccard similarity of at least ``similarity``. Candidates by shared rare
-    shingles and 128-bit fingerprints make coarse components; within these
-    the sets themselves are compared. All documents without words are copies
+    Jaccard similarity of at least ``similarity``. Fingerprints of 128 bits that
+    differ in ``NEAR`` or fewer are linked by the pigeonhole principle with
+    thresholds of each code's own, which alone finds them; those further apart
+    by shared rare shingles. Both make coarse components; within these the
+    sets themselves are compared. All documents without words are copies
     of each other. Of repeated rows the first stays; a null id sorts last.
     The rows are stored with their places first, so that a place means the same
     row whenever it is read. Columns of any name are kept.
@@ -530,7 +549,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     marked = checkpointed(set_keys(texts, words))
     classes = checkpointed(marked.groupBy("s0", "s1").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_place")).alias("first"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1")).withColumn("row_place", F.col("first.row_place")))
     name = lambda s: F.concat_ws(":", F.col(f"{s}0").cast("string"), F.col(f"{s}1").cast("string"))
-    coarse = components(similar_links(texts, similarity, words).select(name("a").alias("a"), name("b").alias("b")))
+    near, beyond = pigeonhole_links(classes, NEAR, 2), similar_links(texts, similarity, words, NEAR)
+    coarse = components(near.unionByName(beyond).select(name("a").alias("a"), name("b").alias("b")))
     named = classes.select("row_place", name("fp").alias("name"))
     rooted = checkpointed(named.join(coarse, named["name"] == coarse["node"], "left").select("row_place", F.coalesce("root", "name").alias("root")))
     # A coarse component of over BLOCK sets is compared by pairs of blocks.
