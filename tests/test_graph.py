@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tollgate.operators import assign, evaluate, kernels as K, network
+from tollgate.operators import assign, evaluate, kernels as K, layers as L, network
 from tollgate.plans import api, sweep
 from tollgate.plans.catalogue import PIGOU_EDGES, TOY_EDGES, TOY_NODES, small_network, toy
 
@@ -99,6 +99,54 @@ def test_many_origins_at_once_are_searched_as_each_alone():
         assert K.search_many(g, np.arange(n), w * 0.0) is None
 
 
+def test_layers_carry_what_searches_carry():
+    rng = np.random.default_rng(7)
+    k = np.arange(240)
+    steps = [(1, k % 8 < 7), (-1, k % 8 > 0), (8, k < 232), (-8, k >= 8)]
+    lattice = np.concatenate([k[ok] for _, ok in steps]), np.concatenate([k[ok] + step for step, ok in steps])
+    holes = rng.random(len(lattice[0])) > 0.3
+    # A lattice, one with holes that cut pairs off, and edges at random, also doubled and from a node to itself.
+    for n, src, dst in ((240, *lattice), (240, lattice[0][holes], lattice[1][holes]), (60, rng.integers(0, 60, 150), rng.integers(0, 60, 150))):
+        g = K.Csr.build(n, src, dst, *np.ones((3, len(src))))
+        cost = rng.random(g.edges) ** 4 * 1e6 + 1
+        a, b, many = rng.integers(0, n, 3000), rng.integers(0, n, 3000), rng.integers(1, 4, 3000).astype(float)
+        layers = L.layers_of(g)
+        over = L.crossing(layers.count, layers.layer[a], layers.layer[b])
+        at = np.argsort(over, kind="stable")
+        flow, spent, lost = L.loads(layers, cost, a[at], b[at], many[at], over[at])
+        want, total, gone = np.zeros(g.edges), 0.0, 0
+        for s in range(n):
+            dist, via = K.search(g, s, cost)
+            for r in np.flatnonzero(a == s).tolist():
+                gone += b[r] not in dist
+                if b[r] in dist:
+                    total += many[r] * dist[b[r]]
+                    np.add.at(want, K.path_to(g, via, s, int(b[r])), many[r])
+        assert (flow == want).all() and lost == gone and spent == pytest.approx(total, rel=1e-12)
+
+
+def test_loops_on_long_graphs_search_only_where_paths_are_alike(spark, monkeypatch):
+    places = [(41.0 + k // 3 * 0.01, -8.0 + k % 3 * 0.01) for k in range(90)]
+    pairs = [(k, k + step) for k in range(90) for step, ok in ((1, k % 3 < 2), (-1, k % 3 > 0), (3, k < 87), (-3, k >= 3)) if ok]
+    for like in (True, False):
+        net = small_network(spark, places, [(f"{e}:0:F", s, d, 500.0, 36.0 if like else 30.0 + e % 97 / 7 + e / 1000, 1800.0) for e, (s, d) in enumerate(pairs)])
+        q = requests(spark, [(s, (s * 7 + k * 11) % 90) for s in range(90) for k in range(5)])
+        monkeypatch.setattr(L, "LARGE", 10**9)
+        want = assign.msa(net, q, limit=4)
+        monkeypatch.setattr(L, "LARGE", 0)
+        with assign.dealt(assign.pair_demand(q), net) as demand:
+            assert demand.pays
+            least = assign.all_or_nothing(demand, net, net.arrays[0].freeflow)[1]
+            # Costs that are all alike leave paths to the searches' rule.
+            assert ("by_origin" in demand.__dict__) == like and ("by_crossing" in demand.__dict__) != like
+        with assign.by_origin(assign.pair_demand(q)) as demand:
+            assert least == pytest.approx(assign.all_or_nothing(demand, net, net.arrays[0].freeflow)[1], rel=1e-12)
+        got = assign.msa(net, q, limit=4)
+        assert got.iterations == want.iterations
+        if not like:
+            assert got.flows == pytest.approx(want.flows, rel=1e-9) and got.gap == pytest.approx(want.gap, rel=1e-9)
+
+
 def test_costs_of_requests_need_no_paths(spark, toy_net, cut_net):
     q = requests(spark, [(s, d) for s in range(6) for d in range(6)] * 2)
     for n in (toy_net, cut_net):

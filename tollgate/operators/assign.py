@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.demand import hash_uniform
-from ..session import cut
+from ..session import cut, drop_steps
 from . import kernels as K
+from . import layers as L
 from .network import Network
 from .ranking import numbered
 
@@ -146,19 +148,26 @@ def least_costs(requests: DataFrame, network: Network, cost: np.ndarray) -> Data
     return own.mapInArrow(run, "request_id string, cost_s double")
 
 
-def all_or_nothing(demand: by_origin, network: Network, cost: np.ndarray) -> tuple[np.ndarray, float]:
+def all_or_nothing(demand: by_origin | dealt, network: Network, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Edge flows when all of ``demand`` takes its shortest path, and the sum of weight times cost.
 
     A task searches its origins, many at once, and adds up its own flows; the
     tasks' arrays, as long as the checked graph has edges, are summed in a tree.
+    Where very many origins meet a long graph, matrices of its layers take the
+    place of searches, unless the cost leaves many paths alike.
     """
+    by_layer = isinstance(demand, dealt) and demand.pays and L.settles(cost)
+    if isinstance(demand, dealt):
+        demand = demand.by_crossing if by_layer else demand.by_origin
     graph, weight = network.broadcast, network.edges.sparkSession.sparkContext.broadcast(cost)
 
     def run(parts):
         g, w = graph.value[0], weight.value
         flow, spent, lost = np.zeros(g.edges), 0.0, 0
         held = list(parts)
-        if held:
+        if held and by_layer:
+            flow, spent, lost = L.loads(L.layers_of(g), w, *(np.concatenate(x) for x in zip(*held)))
+        elif held:
             src, dst, many = (np.concatenate(x) for x in zip(*held))
             for rows, col, dist, via in K.trees(g, src, w):
                 at, x, cost = dst[rows], many[rows], dist[dst[rows], col]
@@ -188,17 +197,23 @@ class by_origin:
     """Demand dealt out by origin once, as arrays that stay with the executors for many
     searches; gone when the block ends. What an executor loses is made again."""
 
+    order = ("src", "dst")
+
     def __init__(self, demand: DataFrame):
+        self.rdd = self.packed(demand.select(F.col("src").cast("int"), F.col("dst").cast("int"), F.col("weight").cast("double")))
+
+    def packed(self, own: DataFrame):
+        names, kinds = own.columns, [np.float64 if kind == "double" else np.int32 for _, kind in own.dtypes]
+
         def arrays(batches):
             for batch in batches:
                 if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in batch.columns], names=["src", "dst", "weight"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in batch.columns], names=names)
 
-        own = demand.select(F.col("src").cast("int"), F.col("dst").cast("int"), F.col("weight").cast("double"))
         # Origins with near ids are searched at once, over as many tasks as can run.
-        own = own.repartitionByRange(demand.sparkSession.sparkContext.defaultParallelism, "src").sortWithinPartitions("src", "dst")
-        packed = own.mapInArrow(arrays, "src binary, dst binary, weight binary")
-        self.rdd = packed.rdd.map(lambda r: (np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.int32), np.frombuffer(r[2]))).persist(StorageLevel.MEMORY_AND_DISK)
+        own = own.repartitionByRange(own.sparkSession.sparkContext.defaultParallelism, *self.order).sortWithinPartitions(*self.order)
+        packed = own.mapInArrow(arrays, ", ".join(f"{c} binary" for c in names))
+        return packed.rdd.map(lambda r: tuple(np.frombuffer(x, kind) for x, kind in zip(r, kinds))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def __enter__(self) -> "by_origin":
         return self
@@ -207,6 +222,55 @@ class by_origin:
         self.rdd.unpersist()
 
 
+class by_crossing(by_origin):
+    """Demand dealt out by the layer that its paths cross, which is its fourth array."""
+
+    order = ("crossing", "src", "dst")
+
+    def __init__(self, demand: DataFrame, network: Network):
+        graph = network.broadcast
+
+        def crossed(batches):
+            layers = L.layers_of(graph.value[0])
+            for batch in batches:
+                src, dst = (layers.layer[batch.column(k).to_numpy(zero_copy_only=False)] for k in range(2))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(L.crossing(layers.count, src, dst).astype(np.int32))], names=["src", "dst", "weight", "crossing"])
+
+        own = demand.select(F.col("src").cast("int"), F.col("dst").cast("int"), F.col("weight").cast("double"))
+        self.rdd = self.packed(own.mapInArrow(crossed, "src int, dst int, weight double, crossing int"))
+
+
+class dealt:
+    """Demand of a loop, dealt out either way when a step asks for it; on graphs too small for
+    matrices only by origin."""
+
+    def __init__(self, demand: DataFrame, network: Network):
+        self.network, self.held, self.pays = network, None, False
+        g = network.arrays[0]
+        if g.nodes**2 >= L.LARGE:
+            demand = self.held = cut(demand)
+            self.pays = L.pays(g, demand.select("src").distinct().count())
+        self.demand = demand
+
+    @cached_property
+    def by_origin(self) -> "by_origin":
+        return by_origin(self.demand)
+
+    @cached_property
+    def by_crossing(self) -> "by_crossing":
+        return by_crossing(self.demand, self.network)
+
+    def __enter__(self) -> "dealt":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in ("by_origin", "by_crossing"):
+            if name in self.__dict__:
+                self.__dict__[name].rdd.unpersist()
+        if self.held is not None:
+            drop_steps(self.held)
+
+
 def _routes(requests: DataFrame, paths: DataFrame) -> DataFrame:
     return requests.join(paths, ["src", "dst"]).select("request_id", "idx", "edges", "cost_s")
 
@@ -263,7 +327,7 @@ def _averages(network: Network, requests: DataFrame, price: Price, marginal: boo
     the flow before the step, under the cost it was routed on."""
     g = network.arrays[0]
     flow, gap, k = np.zeros(g.edges), 0.0, 0
-    with by_origin(pair_demand(requests)) as demand:
+    with dealt(pair_demand(requests), network) as demand:
         for k in range(1, limit + 1):
             cost = price.of(g, flow, marginal)
             target, least = all_or_nothing(demand, network, cost)
